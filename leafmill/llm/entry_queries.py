@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_native
+from . import queries_match, queries_native
 
-QUERIES = {**queries_native.QUERIES}
-ORACLES = {**queries_native.ORACLES}
+QUERIES = {**queries_native.QUERIES, **queries_match.QUERIES}
+ORACLES = {**queries_native.ORACLES, **queries_match.ORACLES}
