@@ -1,10 +1,14 @@
-"""op5 and op10: queries. SQL can express neither; both are tested against plain readings."""
+"""op5, op7, op8 and op10: queries, and the SQL of op8.
+
+SQL can't express the others: op5 and op10 are tested against plain readings, op7 by its
+accuracy on labels that it has not seen.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, secrets
+from . import html_text, quality, secrets, warc
 from ._common import table
 
 
@@ -16,5 +20,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op5_html_extraction": op5_html_extraction, "op10_secret_scan": op10_secret_scan}
-ORACLES: dict[str, str] = {}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+QUERIES = {"op5_html_extraction": op5_html_extraction, "op7_quality": op7_quality, "op8_warc": op8_warc, "op10_secret_scan": op10_secret_scan}
+ORACLES = {"op8_warc": OP8_SQL}
