@@ -26,7 +26,7 @@ from ._common import free_name, quoted, small_batches, text_of
 #: Rows of either sample that the model is fitted on. More rows leave accuracy as it is.
 SAMPLE = 4_000
 THRESHOLD = 0.7
-HIDDEN, STEPS, RATE, DECAY = 16, 1_500, 0.01, 1e-4
+HIDDEN, STEPS, RATE, DECAY = 16, 300, 0.01, 1e-3
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -122,15 +122,22 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int = STE
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     """The share of positives among unlabelled rows: the least ratio of the tails of both, of a
-    score that tells them apart, over thresholds with a tenth of the positives above, with a
-    margin for chance. Where no negative scores high, that ratio is the share itself."""
-    g = _fit(pos, unl, None, 500)
-    sp, su = np.sort(g.scores(pos)), np.sort(g.scores(unl))
-    at = np.quantile(sp, np.linspace(0.0, 0.9, 91))
-    above_p = 1 - np.searchsorted(sp, at, "left") / len(sp)
-    above_u = 1 - np.searchsorted(su, at, "left") / len(su)
-    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su))) / 4
-    return float(np.clip(np.min((above_u + slack) / np.maximum(above_p - slack, 1e-3)), 0.05, 0.95))
+    score that tells them apart, over thresholds with half of the positives or more above. Where
+    no negative scores high, that ratio is the share itself. Each half of the rows is scored by a
+    model fitted on the other, since a model tells apart the very rows that it has seen."""
+    draw = np.random.default_rng(3)
+    half_p, half_u = draw.permutation(len(pos)) % 2, draw.permutation(len(unl)) % 2
+    found = []
+    for k in (0, 1):
+        if not all((h == j).any() for h in (half_p, half_u) for j in (0, 1)):
+            return 0.5
+        g = _fit(pos[half_p != k], unl[half_u != k], None, 200)
+        sp, su = np.sort(g.logits(pos[half_p == k])), np.sort(g.logits(unl[half_u == k]))
+        at = np.quantile(sp, np.linspace(0.0, 0.5, 50))
+        above_p = 1 - np.searchsorted(sp, at, "left") / len(sp)
+        above_u = 1 - np.searchsorted(su, at, "left") / len(su)
+        found.append(np.min(above_u / above_p))
+    return float(np.clip(np.mean(found), 0.05, 0.95))
 
 
 def fit(
