@@ -1,4 +1,4 @@
-"""op4: query and oracle SQL."""
+"""op1 and op4: queries, and the SQL of op4. op1 is tested against brute force."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
 from .decontamination import contamination, digest
+from .ngram_join import similar_classes
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,5 +50,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM doc_words d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
 """
 
-QUERIES = {"op4_decontamination": op4_decontamination}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op4_decontamination": op4_decontamination}
 ORACLES = {"op4_decontamination": OP4_SQL}
