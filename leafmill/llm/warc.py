@@ -170,14 +170,29 @@ def _inflated(data: bytes) -> bytes:
 _PART = pa.schema(
     [
         ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()),
-        ("stated", pa.string()), ("refers_to_id", pa.string()), ("block", pa.binary()),
+        ("stated", pa.string()), ("refers_to_id", pa.string()), ("status", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("block", pa.binary()),
     ]
 )
-_PARTS = "origin string, number int, total long, kind string, page_id long, url string, stated string, refers_to_id string, block binary"
+_PARTS = (
+    "origin string, number int, total long, kind string, page_id long, url string, stated string, refers_to_id string,"
+    " status string, payload_bytes long, payload_digest string, block binary"
+)
+
+
+def _decoded(block: bytes, total: int | None) -> tuple[str, bytes | None]:
+    """The status of a whole block, and its payload where that is ok."""
+    if total is not None and total != len(block):
+        return "wrong total length", None
+    payload = payload_of(block)
+    return ("broken block", None) if payload is None else ("ok", payload)
 
 
-def parts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record below path, continuation records with the id of their origin."""
+def parts(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
+    """One row per record below path, continuation records with the id of their origin.
+
+    Records that are not segmented are decoded here, and hand on the payload (as block) only if
+    it is kept; blocks of segments go on as they are.
+    """
     small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
 
@@ -187,13 +202,19 @@ def parts(spark: SparkSession, path: str) -> DataFrame:
                 rows, size = [], 0
                 for h, block in _parsed(_inflated(data.as_py() or b"")):
                     page, number, total = h.get("warc-page-id"), h.get("warc-segment-number"), h.get("warc-segment-total-length")
-                    rows.append(
-                        {
-                            "origin": h.get("warc-segment-origin-id") or h.get("warc-record-id"), "number": int(number) if number else 1,
-                            "total": int(total) if total else None if number else -1, "kind": h.get("warc-type"), "page_id": int(page) if page else None,
-                            "url": h.get("warc-target-uri"), "stated": h.get("warc-payload-digest"), "refers_to_id": h.get("warc-refers-to"), "block": block,
-                        }
-                    )
+                    row = {
+                        "origin": h.get("warc-segment-origin-id") or h.get("warc-record-id"), "number": int(number) if number else 1,
+                        "total": int(total) if total else None, "kind": h.get("warc-type"), "page_id": int(page) if page else None,
+                        "url": h.get("warc-target-uri"), "stated": h.get("warc-payload-digest"), "refers_to_id": h.get("warc-refers-to"),
+                    }
+                    if block is not None and not number:
+                        row["status"], block = _decoded(block, None)
+                        if block is not None:
+                            row |= {"payload_bytes": len(block), "payload_digest": hashlib.sha256(block).hexdigest()}
+                        block = block if keep_payload else None
+                    elif not number:
+                        row["status"] = "segment missing"
+                    rows.append(row | {"block": block})
                     size += len(block or b"")
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema=_PART)
@@ -223,7 +244,7 @@ def reassembled(found: DataFrame, keep_payload: bool = True) -> DataFrame:
     in the archives is one row with copies = k.
     """
     grouped = found.groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("number", "total", "kind", "page_id", "url", "stated", "refers_to_id", "block"))).alias("segments")
+        F.array_sort(F.collect_list(F.struct("number", "total", "kind", "page_id", "url", "stated", "refers_to_id", "status", "payload_bytes", "payload_digest", "block"))).alias("segments")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,20 +258,22 @@ def reassembled(found: DataFrame, keep_payload: bool = True) -> DataFrame:
                 payload = None
                 if head is None:
                     status = "no origin"
+                elif n == 1 and head["status"]:
+                    status, payload = head["status"], head["block"]
+                    row |= {"payload_bytes": head["payload_bytes"], "payload_digest": head["payload_digest"]}
                 elif sorted(by) != list(range(1, n + 1)) or top["total"] is None or any(s["block"] is None for s in by.values()):
                     status = "segment missing"
                 else:
-                    block = b"".join(by[i]["block"] for i in range(1, n + 1))
-                    payload = payload_of(block)
-                    status = "wrong total length" if top["total"] not in (-1, len(block)) else "broken block" if payload is None else "ok"
-                    payload = payload if status == "ok" else None
+                    status, payload = _decoded(b"".join(by[i]["block"] for i in range(1, n + 1)), top["total"])
+                    if payload is not None:
+                        row |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
                 if head:
                     row |= {"record_type": head["kind"], "page_id": head["page_id"], "url": head["url"], "refers_to_id": head["refers_to_id"]}
                 row["status"] = status
                 if head and head["kind"] == "revisit":
-                    row["payload_digest"] = (head["stated"] or "").removeprefix("sha256:") or None
-                elif payload is not None:
-                    row |= {"payload": payload if keep_payload else None, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
+                    row |= {"payload_bytes": None, "payload_digest": (head["stated"] or "").removeprefix("sha256:") or None}
+                else:
+                    row["payload"] = payload if keep_payload else None
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=_WHOLE)
 
@@ -271,5 +294,5 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write(records(pages, id_col, url_col, html_col), path)
-    found = resolved(reassembled(parts(spark, path), keep_payload=False))
+    found = resolved(reassembled(parts(spark, path, False), False))
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
