@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, quality, secrets, warc
+from . import html_text, quality, repeats, secrets, warc
 from ._common import table
 
 
@@ -20,6 +20,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,5 +45,7 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM f
 """
 
-QUERIES = {"op5_html_extraction": op5_html_extraction, "op7_quality": op7_quality, "op8_warc": op8_warc, "op10_secret_scan": op10_secret_scan}
+QUERIES = {
+    "op5_html_extraction": op5_html_extraction, "op6_suffix_dedup": op6_suffix_dedup, "op7_quality": op7_quality, "op8_warc": op8_warc, "op10_secret_scan": op10_secret_scan,
+}
 ORACLES = {"op8_warc": OP8_SQL}
