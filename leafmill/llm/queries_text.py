@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, quality, repeats, secrets, warc
+from . import chat, html_text, quality, repeats, secrets, warc
 from ._common import table
 
 
@@ -16,6 +16,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -46,6 +50,6 @@ FROM f
 """
 
 QUERIES = {
-    "op5_html_extraction": op5_html_extraction, "op6_suffix_dedup": op6_suffix_dedup, "op7_quality": op7_quality, "op8_warc": op8_warc, "op10_secret_scan": op10_secret_scan,
+    "op5_html_extraction": op5_html_extraction, "op6_suffix_dedup": op6_suffix_dedup, "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_chat_formatting": op9_chat_formatting, "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {"op8_warc": OP8_SQL}
