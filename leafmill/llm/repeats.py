@@ -36,7 +36,7 @@ from ._windows import Rolling, U, anchors, mixed
 
 LENGTH, GRAM = 200, 64
 #: Anchors with more contexts than this are compared by aggregation.
-LARGE = 16_384
+LARGE = 100_000
 #: Bytes of documents that are hashed at a time.
 CHUNK = 1 << 20
 _NO_ID = -(1 << 63)
@@ -135,13 +135,18 @@ def occurrences(rows: DataFrame, words, length: int, gram: int) -> DataFrame:
 _CONTEXT = "anchor long, context long, before int, after int, bytes binary"
 
 
-def context_bytes(rows: DataFrame, words, length: int, gram: int) -> DataFrame:
-    """The bytes of contexts (one of equal ones in a chunk) that the filter lets through."""
+def context_bytes(rows: DataFrame, words, large_words, large: bool, length: int, gram: int) -> DataFrame:
+    """The bytes of contexts of the anchors that a filter lets through; of equal ones in a chunk, one.
+
+    What the filter lets through too much is compared as well, which changes nothing: stretches
+    that are found equal are equal. A context that comes twice stands in two places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in _anchored(_texts(b), length, gram):
-                some = np.flatnonzero(maybe(words.value, x["context"]))
+                of_large = maybe(large_words.value, x["anchor"]) if large_words else False
+                some = np.flatnonzero(maybe(words.value, x["anchor"]) & (of_large if large else ~np.asarray(of_large)))
                 _, first = np.unique(x["context"][some], return_index=True)
                 some = some[first]
                 begin, size = x["begin"][some], x["before"][some] + gram + x["after"][some]
@@ -180,7 +185,7 @@ def _compared(table: pa.Table, length: int, gram: int) -> pa.RecordBatch:
     """(anchor, context, offset) of stretches of which another context has an equal one."""
     rows, offsets = [], []
     for d, at, value in _offset_hashes(table, length, gram):
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value)
         same = value[order[1:]] == value[order[:-1]]
         hit = at[order[np.append(same, False) | np.append(False, same)]]
         rows.append(hit)
@@ -211,7 +216,11 @@ _RUN = "anchor long, context long, low int, high int"
 _AT_ONCE = 20_000
 
 
-def _within_tasks(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+def _within_tasks(contexts: DataFrame, single_words, length: int, gram: int) -> DataFrame:
+    def compared(t: pa.Table) -> pa.RecordBatch:
+        found = _compared(t, length, gram)
+        return _runs_of_offsets(found.filter(pa.array(maybe(single_words.value, found.column(1).to_numpy().view(np.uint64)))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for b in batches:
@@ -222,16 +231,16 @@ def _within_tasks(contexts: DataFrame, length: int, gram: int) -> DataFrame:
             anchor = t.column("anchor").to_numpy()
             cut = np.flatnonzero(anchor[1:] != anchor[:-1])
             if len(cut):
-                yield _runs_of_offsets(_compared(t.slice(0, int(cut[-1]) + 1), length, gram))
+                yield compared(t.slice(0, int(cut[-1]) + 1))
                 t = t.slice(int(cut[-1]) + 1)
             rest = t.to_batches()
         if rest:
-            yield _runs_of_offsets(_compared(pa.Table.from_batches(rest), length, gram))
+            yield compared(pa.Table.from_batches(rest))
 
     return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _RUN)
 
 
-def _by_aggregation(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+def _by_aggregation(contexts: DataFrame, single_words, length: int, gram: int) -> DataFrame:
     """The same for anchors with very many contexts: each stretch's hash is a row, counted everywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +256,13 @@ def _by_aggregation(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     rows = stored(contexts.mapInArrow(run, "anchor long, context long, offset int, value long"), "stretches")
     twice = rows.groupBy("anchor", "offset", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     hit = rows.join(stored(twice, "stretches-twice"), ["anchor", "offset", "value"], "left_semi")
-    return hit.select("anchor", "context", F.col("offset").alias("low"), F.col("offset").alias("high"))
+    hit = hit.select("anchor", "context", "offset").repartition("anchor", "context")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _runs_of_offsets(b.filter(pa.array(maybe(single_words.value, b.column(1).to_numpy().view(np.uint64)))))
+
+    return hit.sortWithinPartitions("anchor", "context", "offset").mapInArrow(merged, _RUN)
 
 
 def covered(
@@ -261,31 +276,39 @@ def covered(
     words = spark.sparkContext.broadcast(bloom(again, "anchor"))
     found = stored(occurrences(rows, words, length, gram), "occurrences")
     words.unpersist()
-    kinds = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"))
-    kinds = stored(kinds, "contexts")
-    per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"))
-    mixed_ = stored(per.where("contexts > 1 AND single > 0").select("anchor", "contexts"), "to-compare")
-    asked = kinds.join(mixed_, "anchor")
-    asked = stored(asked.select("anchor", "context", "contexts"), "contexts-to-compare")
-    words = spark.sparkContext.broadcast(bloom(asked, "context"))
-    data = context_bytes(rows, words, length, gram).join(asked, ["anchor", "context"])
-    data = data.groupBy("anchor", "context").agg(*[F.first(c).alias(c) for c in ("before", "after", "bytes", "contexts")])
-    data = stored(data, "context-bytes")
-    words.unpersist()
-    runs = _within_tasks(data.where(F.col("contexts") <= large).drop("contexts"), length, gram)
-    runs = stored(runs.unionByName(_by_aggregation(data.where(F.col("contexts") > large).drop("contexts"), length, gram)), "runs")
-    forget(data)
+    kinds = stored(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n")), "contexts")
+    per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.count_if(F.col("n") == 1).alias("single"))
+    asked = stored(per.where("contexts > 1 AND single > 0").select("anchor", "contexts"), "to-compare")
+    share = spark.sparkContext.broadcast
+    words, single = share(bloom(asked, "anchor")), share(bloom(kinds.where("n = 1"), "context"))
+    most = asked.where(F.col("contexts") > large)
+    large_words = None if most.isEmpty() else share(bloom(most, "anchor"))
+    runs = _within_tasks(context_bytes(rows, words, large_words, False, length, gram), single, length, gram)
+    if large_words:
+        runs = runs.unionByName(_by_aggregation(context_bytes(rows, words, large_words, True, length, gram), single, length, gram))
     reach = length - gram
-    whole = found.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").where(F.col("before") + F.col("after") >= reach)
-    whole = whole.select("own", "text_hash", (F.col("place") - F.col("before")).alias("begin"), (F.col("place") + gram + F.col("after")).alias("end"))
-    part = found.join(runs, ["anchor", "context"])
-    part = part.select("own", "text_hash", (F.col("place") - F.col("high")).alias("begin"), (F.col("place") - F.col("low") + length).alias("end"))
-    return whole.unionByName(part)
+    none = F.lit(None).cast("int")
+    status = stored(runs.unionByName(kinds.where("n > 1").select("anchor", "context", none.alias("low"), none.alias("high"))), "runs")
+    part = found.join(status, ["anchor", "context"])
+    whole = F.col("low").isNull()
+    part = part.where(~whole | (F.col("before") + F.col("after") >= reach))
+    begin = F.when(whole, F.col("place") - F.col("before")).otherwise(F.col("place") - F.col("high"))
+    end = F.when(whole, F.col("place") + gram + F.col("after")).otherwise(F.col("place") - F.col("low") + length)
+    return part.select("own", "text_hash", begin.alias("begin"), end.alias("end"))
 
 
 _REMOVED = "doc_id long, n_bytes long, runs array<array<long>>, kept binary, kept_sha256 string"
 
 
+def _union(begins: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """The union of ranges: begins and ends of what they cover, in order. Ranges that touch are one."""
+    order = np.argsort(begins)
+    begins, reach = begins[order], np.maximum.accumulate(ends[order])
+    new = np.append(True, begins[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    return np.stack([begins[first], reach[np.append(first[1:], len(reach)) - 1]], axis=1).tolist()
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, large: int = LARGE, keep_text: bool = True
 ) -> DataFrame:
@@ -298,8 +321,8 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     spans = covered(docs, id_col, text_col, length, gram, large)
-    spans = spans.groupBy("own", "text_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    spans = stored(spans.select(F.col("own").alias("s_own"), F.col("text_hash").alias("s_hash"), "spans"), "spans")
+    spans = spans.groupBy("own", "text_hash").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    spans = stored(spans.select(F.col("own").alias("s_own"), F.col("text_hash").alias("s_hash"), "begins", "ends"), "spans")
     words = spark.sparkContext.broadcast(bloom(spans, "s_hash"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,19 +344,14 @@ def remove_repeats(
 
     texts = _rows(docs, id_col, text_col).mapInArrow(packed, "doc_id long, own long, text_hash long, n_bytes long, packed binary, sha256 string")
     both = texts.join(spans, (F.col("own") == F.col("s_own")) & (F.col("text_hash") == F.col("s_hash")), "left")
-    both = both.select("doc_id", "n_bytes", "packed", "sha256", "spans")
+    both = both.select("doc_id", "n_bytes", "packed", "sha256", "begins", "ends")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for b in batches:
             out_runs, kept, sha = [], [], []
-            for data, digest, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                runs: list[list[int]] = []
-                for a, z in sorted((s["begin"], s["end"]) for s in spans or ()):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], z)
-                    else:
-                        runs.append([a, z])
+            for data, digest, begins, ends in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5)):
+                runs = _union(begins.values.to_numpy(), ends.values.to_numpy()) if begins.is_valid else []
                 out_runs.append(runs)
                 if data is None:
                     kept.append(None)
