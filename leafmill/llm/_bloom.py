@@ -7,10 +7,15 @@ if very many keys fill it up, it lets more through and nothing is lost.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import free_name, quoted
+
 #: 2 ** BITS bits are 16 MB.
 BITS = 27
 SHIFTS = (0, 18, 37)
@@ -34,3 +39,23 @@ def maybe(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
         bit = (keys >> np.uint64(s)) & np.uint64((1 << BITS) - 1)
         ok &= (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
     return ok
+
+
+def drop_rows(docs: DataFrame, key: Column, bad: DataFrame, bad_key: str) -> DataFrame:
+    """docs without the rows whose key (a long) is among bad's, null keys staying.
+
+    Rows that the filter clears, most of them, aren't shuffled; the others are joined exactly.
+    """
+    spark = docs.sparkSession
+    bad = bad.select(F.col(bad_key).alias("bad_key"), F.xxhash64(bad_key).alias("bad_hash"))
+    words = spark.sparkContext.broadcast(bloom(bad, "bad_hash"))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array(maybe(words.value, b.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    own, doubt = free_name(docs, "key_"), free_name(docs, "doubt_")
+    rows = docs.withColumn(own, key).withColumn(doubt, F.arrow_udf(run, "boolean")(F.xxhash64(quoted(own))))
+    left = rows.where(quoted(doubt)).join(bad, quoted(own) == F.col("bad_key"), "left_anti")
+    return rows.where(~quoted(doubt)).unionByName(left).drop(own, doubt)

@@ -6,7 +6,8 @@ shorter text), similarity is the Jaccard index of two texts' shingle sets.
 1. Texts that are equal word for word become one; each gets SIGNATURE MinHash values.
 2. Bands of ROWS values put texts into buckets; similar texts share one but for a chance
    of (1 - t ** ROWS) ** BANDS, below 1e-5 at the threshold t = 0.8 and less above it.
-   Of buckets with the same members one is kept.
+   Of buckets with the same members one is kept. Buckets are counted by their hash alone;
+   what is in no shared one is left behind by a Bloom filter of fixed size.
 3. In a bucket, pairs' MinHash values are compared a few at a time; a pair is dropped as
    soon as the posterior probability that its similarity reaches t falls below TOLERANCE.
    What is left, as spanning trees, joins texts into clusters.
@@ -26,10 +27,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget, free_name, quoted, small_batches, stored, text_of
+from ._bloom import bloom, drop_rows, maybe
+from ._common import forget, quoted, small_batches, stored, text_of
 from ._graph import components
 
 SHINGLE = 5
@@ -227,21 +229,50 @@ def text_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             texts = [plain_words(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
             sig, counts = signatures(texts)
-            keys = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
+            keys, short = _keys(texts)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), keys, pa.array(counts, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "key", "n_shingles", "sig"]
+                [b.column(0), keys, short, pa.array(counts, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "key", "short", "n_shingles", "sig"]
             )
 
-    return stored(rows.mapInArrow(run, "doc_id long, key binary, n_shingles long, sig binary"), "signatures")
+    return stored(rows.mapInArrow(run, "doc_id long, key binary, short long, n_shingles long, sig binary"), "signatures")
+
+
+def _keys(texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """SHA-256 of each text, and its first eight bytes as a number."""
+    keys = [hashlib.sha256(t).digest() for t in texts]
+    return pa.array(keys, pa.binary()), pa.array(np.frombuffer(b"".join(k[:8] for k in keys), np.int64), pa.int64())
+
+
+def _buckets(sig: list[bytes]) -> np.ndarray:
+    """The buckets of each signature: a hash per band."""
+    s = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, BANDS, ROWS).astype(_U)
+    value = np.zeros(s.shape[:2], _U) + np.arange(1, BANDS + 1, dtype=_U)
+    for k in range(ROWS):
+        value = _mixed(value * _BASE + s[:, :, k])
+    return value
 
 
 def _candidate_clusters(texts: DataFrame, t: Fraction, tolerance: float, block: int) -> DataFrame:
     """node, root: texts joined by pairs that the pruning keeps."""
     need = least_matches(float(t), tolerance)
-    bands = texts.where("n_shingles > 0").select(
-        "rep", F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])).alias("bucket")
-    )
-    bands = stored(bands, "bands")
+    some = texts.where("n_shingles > 0").select("rep", "sig")
+
+    def all_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_buckets(b.column(1).to_pylist()).reshape(-1).view(np.int64))], ["bucket"])
+
+    shared = some.mapInArrow(all_buckets, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    shared = stored(shared, "shared-buckets")
+    words = texts.sparkSession.sparkContext.broadcast(bloom(shared, "bucket"))
+
+    def in_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _buckets(b.column(1).to_pylist()).reshape(-1)
+            ok = maybe(words.value, found)
+            rep = np.repeat(b.column(0).to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(found[ok].view(np.int64)), pa.array(rep[ok])], ["bucket", "rep"])
+
+    bands = stored(some.mapInArrow(in_shared, "bucket long, rep long"), "bands")
     full = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
     one = stored(full.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("of")).select("of", "n"), "buckets")
     members = bands.join(one, F.col("bucket") == F.col("of")).select("bucket", "n", "rep")
@@ -264,7 +295,7 @@ def _candidate_clusters(texts: DataFrame, t: Fraction, tolerance: float, block:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
     found = components(rows.mapInArrow(run, "a long, b long"))
-    for done in (bands, one, members):
+    for done in (shared, bands, one, members):
         forget(done)
     return found
 
@@ -302,8 +333,9 @@ def _links(texts: list[bytes], t: Fraction) -> np.ndarray:
     common = np.zeros((len(sets), len(sets)), np.int64)
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    width = max(1, (8 << 20) // max(1, len(sets)))
-    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(columns, max(1, (8 << 20) // max(1, len(sets))))
+    for begin in range(0, columns, max(1, width)):
         a, b = np.searchsorted(column, [begin, begin + width])
         part = np.zeros((len(sets), width), np.float32)
         part[row[a:b], column[a:b] - begin] = 1
@@ -316,17 +348,19 @@ def _verified(docs: DataFrame, texts: DataFrame, clusters: DataFrame, id_col: st
     """rep, root, links: rows to be summed up; root is a text that rep is linked to, or itself."""
     size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     dealt = clusters.join(size, "root").select("root", "n", F.col("node").alias("rep"))
-    dealt = dealt.join(texts.select("rep", F.col("key").alias("of"), "first_id"), "rep")
+    dealt = dealt.join(texts.select("rep", F.col("key").alias("of"), "short", "first_id"), "rep")
     dealt = stored(dealt, "cluster-members")
+    words = docs.sparkSession.sparkContext.broadcast(bloom(dealt, "short"))
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             plain = [plain_words(x) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            keys, short = _keys(plain)
+            ok = np.flatnonzero(maybe(words.value, short.to_numpy().view(_U)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([hashlib.sha256(x).digest() for x in plain], pa.binary()), pa.array([press.compress(x) for x in plain], pa.binary())],
-                ["doc_id", "key", "packed"],
+                [b.column(0).take(pa.array(ok)), keys.take(pa.array(ok)), pa.array([press.compress(plain[i]) for i in ok.tolist()], pa.binary())], ["doc_id", "key", "packed"]
             )
 
     rows = rows.mapInArrow(packed, "doc_id long, key binary, packed binary")
@@ -369,7 +403,7 @@ def similar_classes(
     from the text; rows that share an id but not the text are one node of the graph of links.
     """
     rows = text_table(docs, id_col, text_col)
-    texts = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.max("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    texts = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.max("n_shingles").alias("n_shingles"), F.first("short").alias("short"), F.first("sig").alias("sig"))
     made = -F.abs(F.shiftright(F.xxhash64("key"), 1)) - 1
     texts = stored(texts.withColumn("rep", F.coalesce("first_id", made)), "texts")
     clusters = stored(_candidate_clusters(texts, t, tolerance, block_signatures), "clusters")
@@ -389,11 +423,8 @@ def similar_classes(
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Fraction = SIMILAR) -> DataFrame:
     """The rows of docs whose id names their class, with all their columns and nothing else.
 
-    Rows without an id are never dropped; of rows that are repeated with id and text one stays.
+    Rows without an id are never dropped. Rows that share an id stay or go together, so rows
+    repeated with id and text should have been made one before.
     """
-    nth = free_name(docs, "nth_")
-    kept = similar_classes(docs, id_col, text_col, t).where("doc_id = class_id").select(F.col("doc_id").alias("k_id")).distinct()
-    found = docs.join(stored(kept, "kept-ids"), quoted(id_col).cast("long") == F.col("k_id"), "left_semi")
-    same = Window.partitionBy(quoted(id_col), F.sha2(text_of(text_col), 256)).orderBy(F.lit(1))
-    found = found.withColumn(nth, F.row_number().over(same)).where(quoted(nth) == 1).drop(nth)
-    return found.unionByName(docs.where(quoted(id_col).isNull()))
+    found = stored(similar_classes(docs, id_col, text_col, t).where("doc_id <> class_id").select("doc_id").distinct(), "similar-ids")
+    return drop_rows(docs, quoted(id_col).cast("long"), found, "doc_id")
