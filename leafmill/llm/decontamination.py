@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bloom import drop_rows
 from ._common import quoted, small_batches, stored, text_of
 
 WINDOW = 13
@@ -358,3 +359,14 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns and nothing else.
+
+    Rows go by a hash of id and text, so that rows which share an id are judged each by its text.
+    """
+    key = F.xxhash64(quoted(id_col), text_of(text_col))
+    rows = docs.select(key.alias("doc_id"), text_of(text_col).alias("text"))
+    found = digest(contamination(rows, items, item_id_col=item_id_col, item_text_col=item_text_col))
+    return drop_rows(docs, key, stored(found.where("contaminated").select("doc_id"), "contaminated"), "doc_id")
