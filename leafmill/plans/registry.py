@@ -529,3 +529,51 @@ def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id")
     e = _read(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.row_number().over(w.orderBy("ts", "event_id")) * 100.0 / F.count(F.lit(1)).over(w)).alias("percent"))
     return throttled(e, "user_id", ["ts", "event_id"], "percent")
+
+
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.sources import pdf_make
+
+    return pdf_make.from_texts(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query(r"""
+SELECT doc_id::VARCHAR AS doc_id, greatest(ceil(len(string_split(text, chr(10))) / 50.0), 1)::INTEGER AS page_count,
+       length(regexp_replace(text, '[ \n\r\t]', '', 'g'))::BIGINT AS text_chars
+FROM documents WHERE len(string_split(text, chr(10))) <= 24 * 50
+""")
+def pdf_text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDF files, parsed again: pages, and characters shown on them (all of up to 24 pages)."""
+    from leafmill.sources import pdf
+
+    f = pdf.facts(_made(spark, sf_dir))
+    return f.where(F.col("page_count") <= scoring.SAMPLED_PAGES).select("doc_id", "page_count", "text_chars")
+
+
+@_query(None)
+def pdf_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDF files, analysed."""
+    from leafmill.sources import pdf
+
+    return pdf.analyze(_made(spark, sf_dir))
+
+
+@_query(None)
+def pdf_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDF files, rewritten: never larger than before."""
+    from leafmill.sources import pdf
+
+    return pdf.optimize(_made(spark, sf_dir)).drop("content", "skips")
+
+
+@_query(r"""
+SELECT doc_id::VARCHAR AS doc_id, (3 + 2 * greatest(ceil(len(string_split(text, chr(10))) / 50.0), 1))::BIGINT AS objects,
+       greatest(ceil(len(string_split(text, chr(10))) / 50.0), 1)::BIGINT AS streams, (2 + 3 * greatest(ceil(len(string_split(text, chr(10))) / 50.0), 1))::BIGINT AS refs
+FROM documents
+""")
+def pdf_object_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDF files, as tables of objects and references, counted."""
+    from leafmill.sources import pdf
+
+    o = pdf.objects(_made(spark, sf_dir))
+    return o.groupBy("doc_id").agg(F.count(F.lit(1)).alias("objects"), F.count_if(F.col("kind") == "stream").alias("streams"), F.sum(F.size("refs")).alias("refs"))
