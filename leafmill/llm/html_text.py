@@ -29,31 +29,35 @@ BLOCK = frozenset(
 DROPPED = frozenset("nav aside footer form button input label head menu dialog fieldset".split())
 ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption body html".split())
 SCOPED = frozenset("table td th caption button object body html".split())
-#: Words in a class, id or role that mark what is not the article.
-UNLIKELY = frozenset(
-    "ad ads adbox advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright"
-    " disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination paywall popup print promo promoted"
-    " related recommended reply replies respond search share sharing shoutbox sidebar sidebars sign signup skyscraper social sponsor sponsored subscribe"
-    " tags tagcloud toolbar tracking widget complementary contentinfo dialog alert disclaimer teaser outbrain taboola".split()
+#: Words in a class, id or role that mark what is not the article: always, or unless a word of LIKELY stands beside.
+CLUTTER = frozenset(
+    "ad ads adbox adsense advert adverts advertisement advertising advertorial breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright"
+    " disclaimer disqus gdpr login menu modal nav navbar navigation newsletter outbrain pager pagination paywall popup promo promoted recommended related replies reply"
+    " respond search share sharing shoutbox sidebar sidebars signup skyscraper social sponsor sponsored subscribe subscription taboola tagcloud teaser toolbar tracking"
+    " complementary contentinfo".split()
 )
+DOUBTFUL = frozenset("alert banner dialog footer form header masthead notice print sign tags widget".split())
 LIKELY = frozenset("article body content entry hentry main page post story text blog".split())
+#: Layout words: beside them a name says what a container holds, not what it is.
+LAYOUT = frozenset("has with no without container wrapper layout grid row col column".split())
 _POSITIVE = {"article": 25, "main": 20, "section": 3, "div": 5, "td": 3, "blockquote": 3, "pre": 3}
 _NEGATIVE = {"ol": -3, "ul": -3, "dl": -3, "li": -3, "dd": -3, "dt": -3, "form": -3, "address": -3, "th": -5}
 
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|![^>]*>|\?[^>]*>|/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.DOTALL)
-_ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _COMMA = re.compile(r"[,،、，]")
 
 
 class Node:
-    __slots__ = ("name", "marks", "parent", "kids", "score", "hidden")
+    __slots__ = ("name", "marks", "parent", "kids", "score", "hidden", "holds")
 
     def __init__(self, name: str, parent: Node | None, marks: frozenset[str] = frozenset(), hidden: bool = False):
         self.name, self.parent, self.marks, self.hidden = name, parent, marks, hidden
         self.kids: list[Node | str] = []
         self.score: float | None = None
+        self.holds = False  # an article or main element below
 
 
 def _attributes(raw: str) -> tuple[frozenset[str], bool]:
@@ -118,6 +122,10 @@ def parse(page: str) -> Node:
             marks, hidden = _attributes(raw) if raw.strip() else (frozenset(), False)
             node = Node(name, here, marks, hidden)
             here.kids.append(node)
+            if name in ("article", "main"):
+                up = here
+                while up is not None and not up.holds:
+                    up.holds, up = True, up.parent
             if name not in VOID and not raw.endswith("/"):
                 here = node
 
@@ -128,7 +136,11 @@ def _unlikely(n: Node) -> bool:
         return True
     if n.name == "header":
         return not any(p.name in ("article", "main") for p in _up(n))
-    return n.name not in ("body", "html", "article", "main") and bool(n.marks & UNLIKELY) and not n.marks & LIKELY
+    if n.holds or n.name in ("body", "html", "article", "main") or not n.marks:
+        return False
+    if n.marks & CLUTTER:
+        return not n.marks & LAYOUT
+    return bool(n.marks & DOUBTFUL) and not n.marks & LIKELY
 
 
 def _up(n: Node) -> Iterator[Node]:
@@ -190,7 +202,7 @@ def _own_size(n: Node) -> tuple[int, int]:
 
 
 def _start(n: Node) -> float:
-    return _POSITIVE.get(n.name, 0) + _NEGATIVE.get(n.name, 0) + 25 * bool(n.marks & LIKELY) - 25 * bool(n.marks & UNLIKELY)
+    return _POSITIVE.get(n.name, 0) + _NEGATIVE.get(n.name, 0) + 25 * bool(n.marks & LIKELY) - 25 * bool(n.marks & (CLUTTER | DOUBTFUL))
 
 
 def best_containers(root: Node) -> list[Node]:

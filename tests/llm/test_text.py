@@ -37,6 +37,18 @@ def test_best_container_without_an_article_element():
     assert html_text.main_text(page).split("\n") == [para.strip(), para.strip(), "Short."]
 
 
+def test_names_of_containers():
+    keep = "Kept text, of the article, long enough, with commas, to count. " * 2
+    drop = "Dropped text, of other things, long enough, with commas, to count."
+    inner = "".join(
+        f"<div {a}>{drop}</div>"
+        for a in ('class="post-comments"', "id=article-sidebar", 'class="ad-content"', 'role="navigation"', "hidden", 'style="display: none"', 'class="shareBar"', 'class="related posts"')
+    )
+    title = '<div class="post-header"><h1>Title</h1></div>'
+    page = f'<body class="no-sidebar"><div class="content-with-sidebar"><div id=entry title="hidden gem" data-class="comments">{title}<p>{keep}</p>{inner}<p>{keep}</p></div></div>'
+    assert html_text.main_text(page) == "\n".join(["Title", keep.strip(), keep.strip()])
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "</p></div>", "<script>x", "<!-- open", "<div " * 50, "&#xD800;&bad;", "a<b>c" * 1000, "<div>" * 3000 + "x"])
 def test_broken_pages_dont_fail(page):
     assert isinstance(html_text.main_text(page), str)
