@@ -10,7 +10,7 @@ from typing import Any
 
 import numpy as np
 
-from leafmill.functions import fax, jpeg, planes
+from leafmill.functions import fax, fonts, jpeg, planes
 from leafmill.sources.pdf_model import Document, Name, PdfError, Ref, Stream, canonical, decoded, filters_of, operations, parms_of
 
 #: Gates of images and streams, as in operators.images.
@@ -187,6 +187,126 @@ def remove_unused_resources(doc: Document) -> int:
     return removed
 
 
+# ---- fonts
+
+
+def font_candidates(doc: Document) -> dict[Ref, dict]:
+    """Fonts that can be subset, by reference: composite, two-byte identity codes, an embedded program.
+
+    Of each: program (reference), kind (truetype or cff), glyph (from CID to glyph number).
+    """
+    out = {}
+    for ref, o in doc.objects.items():
+        if not isinstance(o, dict) or o.get(b"Subtype") != b"Type0" or doc.get(o.get(b"Encoding")) not in (b"Identity-H", b"Identity-V"):
+            continue
+        below = doc.get(o.get(b"DescendantFonts"))
+        d = doc.dict_of(below[0]) if isinstance(below, list) and len(below) == 1 else {}
+        descriptor = doc.dict_of(d.get(b"FontDescriptor"))
+        for subtype, key, kind in ((b"CIDFontType2", b"FontFile2", "truetype"), (b"CIDFontType0", b"FontFile3", "cff")):
+            program = descriptor.get(key)
+            if d.get(b"Subtype") != subtype or not isinstance(program, Ref) or not isinstance(doc.get(program), Stream):
+                continue
+            try:
+                data = decoded(doc.get(program))
+                if kind == "truetype":
+                    glyph = _glyph_map(doc, d.get(b"CIDToGIDMap"))
+                else:
+                    a, b = fonts.cff_of(data)
+                    font = fonts.Cff(data[a:b])
+                    glyph = {c: g for g, c in enumerate(font.cids())}.get if font.cid_keyed else lambda c: c
+            except (PdfError, ValueError, TypeError, IndexError):
+                continue
+            out[ref] = {"program": program, "kind": kind, "glyph": glyph, "data": data}
+    return out
+
+
+def _glyph_map(doc: Document, x: Any):
+    """From CID to glyph by a map, the CID itself past its end or without one."""
+    x = doc.get(x)
+    if not isinstance(x, Stream):
+        return lambda c: c
+    table = decoded(x)
+    return lambda c: int.from_bytes(table[2 * c : 2 * c + 2], "big") if 2 * c + 2 <= len(table) else c
+
+
+def _cids(doc: Document, content: bytes, res: dict, out: dict[Ref, set[int]], seen: set, depth: int = 0) -> None:
+    """Add the CIDs that content shows, by the font's reference. A trailing odd byte shows nothing."""
+    names, objects, states = (doc.dict_of(res.get(k)) for k in (b"Font", b"XObject", b"ExtGState"))
+    font, stack = None, []
+    for op, args in operations(content):
+        if op == b"q":
+            stack.append(font)
+        elif op == b"Q":
+            font = stack.pop() if stack else None
+        elif op == b"Tf" and args and isinstance(args[0], Name):
+            if bytes(args[0]) not in names:
+                raise _Unproven
+            font = names[bytes(args[0])]
+        elif op == b"gs" and args and isinstance(args[0], Name):
+            held = doc.get(doc.dict_of(states.get(bytes(args[0]))).get(b"Font"))
+            font = held[0] if isinstance(held, list) and held else font
+        elif op in (b"Tj", b"TJ", b"'", b'"') and args:
+            for s in args[-1] if isinstance(args[-1], list) else [args[-1]]:
+                if isinstance(s, bytes) and not isinstance(s, Name) and isinstance(font, Ref):
+                    out.setdefault(font, set()).update(int.from_bytes(s[i : i + 2], "big") for i in range(0, len(s) - 1, 2))
+        elif op == b"Do" and args and isinstance(args[0], Name):
+            form = doc.get(objects.get(bytes(args[0])))
+            if not isinstance(form, Stream):
+                raise _Unproven
+            if form.dict.get(b"Subtype") == b"Form" and (id(form), id(res)) not in seen:
+                seen.add((id(form), id(res)))
+                if depth > 40:
+                    raise _Unproven
+                inner = doc.get(form.dict.get(b"Resources"))
+                _cids(doc, decoded(form, 64 << 20), inner if isinstance(inner, dict) else res, out, seen, depth + 1)
+
+
+def subset_fonts(doc: Document) -> tuple[int, int]:
+    """(fonts, bytes saved): outlines that no page shows leave their programs.
+
+    One page whose text can't be known, an appearance stream, or a consumer of a program that
+    isn't a candidate keeps it whole: the first two end the pass.
+    """
+    found = font_candidates(doc)
+    if not found:
+        return 0, 0
+    shown: dict[Ref, set[int]] = {}
+    try:
+        for _, page, up in doc.pages():
+            res = resources_of(doc, page, up)
+            content = doc.content(page)
+            if content is None or any(b"AP" in doc.dict_of(a) for a in doc.get(page.get(b"Annots")) or []):
+                return 0, 0
+            _cids(doc, content, res[1] if res else {}, shown, set())
+    except (_Unproven, PdfError, ValueError, TypeError, RecursionError):
+        return 0, 0
+    users: dict[Ref, set[Ref]] = {}
+    for ref, o in doc.objects.items():
+        if isinstance(o, dict) and o.get(b"Type") == b"Font":
+            below = doc.get(o.get(b"DescendantFonts"))
+            for d in [o, *(doc.dict_of(x) for x in (below if isinstance(below, list) else []))]:
+                for key in (b"FontFile2", b"FontFile3"):
+                    if isinstance(p := doc.dict_of(d.get(b"FontDescriptor")).get(key), Ref) and o.get(b"Subtype") != b"CIDFontType2" and o.get(b"Subtype") != b"CIDFontType0":
+                        users.setdefault(p, set()).add(ref)
+    n = saved = 0
+    for program, refs in sorted(users.items()):
+        if not refs <= set(found):
+            continue
+        glyphs = {g for r in refs for c in shown.get(r, ()) if (g := found[r]["glyph"](c)) is not None}
+        one = found[next(iter(refs))]
+        try:
+            data = fonts.subset_truetype(one["data"], glyphs) if one["kind"] == "truetype" else fonts.subset_cff(one["data"], glyphs)
+        except (ValueError, IndexError):
+            continue
+        packed, s = zlib.compress(data, 9), doc.objects[program]
+        if len(packed) < len(s.data):
+            saved += len(s.data) - len(packed)
+            n += bool(glyphs)
+            d = {k: v for k, v in s.dict.items() if k not in (b"DecodeParms", b"Length1")} | {b"Filter": Name(b"FlateDecode")}
+            doc.objects[program] = Stream(d | ({b"Length1": len(data)} if one["kind"] == "truetype" else {}), packed)
+    return n, saved
+
+
 # ---- images
 
 
@@ -455,9 +575,10 @@ def prepare(doc: Document, settings: dict) -> dict:
     """Everything but the images; the order matters."""
     images, others = merge_duplicates(doc)
     removed = remove_unused_resources(doc)
+    n_fonts, saved = subset_fonts(doc) if settings["subset_fonts"] else (0, 0)
     packed = deflate_streams(doc) if settings["compress_streams"] else 0
     gone = settings["strip_metadata"] and strip_metadata(doc)
-    return {"images_deduplicated": images, "streams_deduplicated": others, "resources_removed": removed, "streams_compressed": packed, "metadata_removed": bool(gone)}
+    return {"images_deduplicated": images, "streams_deduplicated": others, "resources_removed": removed, "streams_compressed": packed, "metadata_removed": bool(gone), "fonts_subsetted": n_fonts, "font_bytes_saved": saved}
 
 
 def optimize(doc: Document, settings: dict) -> tuple[bytes, dict]:

@@ -191,7 +191,7 @@ def analyze(files: DataFrame, settings: dict[str, Column] | None = None, passwor
     )
 
 
-_STATS = ("images_recompressed", "images_skipped", "images_deduplicated", "streams_deduplicated", "streams_compressed", "resources_removed")
+_STATS = ("images_recompressed", "images_skipped", "images_deduplicated", "streams_deduplicated", "streams_compressed", "resources_removed", "fonts_subsetted", "font_bytes_saved")
 RESULT = (
     f"doc_id string, error {_ERROR}, original_size_bytes bigint, compressed_size_bytes bigint, {', '.join(f'{s} int' for s in _STATS)}, metadata_removed boolean,"
     " skips array<struct<num: int, reason: string>>, target_met boolean, quality int, attempts int, output_was_smaller boolean, content binary"
