@@ -534,7 +534,9 @@ def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.sources import pdf_make
 
-    return pdf_make.from_texts(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    # parsing is by far dearer than moving the texts: deal them to every core
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
+    return pdf_make.from_texts(docs, "doc_id", "text")
 
 
 @_query(r"""

@@ -15,6 +15,8 @@ import zlib
 from collections.abc import Iterator
 from typing import Any
 
+from leafmill.functions import aes
+
 MAX_STREAM = 512 << 20
 MAX_CONTENT = 64 << 20
 MAX_FILE = 2 << 30
@@ -460,15 +462,42 @@ class Document:
         if not isinstance(e, dict) or e.get(b"Filter") != b"Standard":
             raise PdfError("encryptedPdf", "handler")
         v, r = e.get(b"V", 0), e.get(b"R", 2)
-        if v not in (1, 2) or r not in (2, 3):
+        cipher = "rc4"
+        if v in (4, 5):
+            one = self.dict_of(e.get(b"CF")).get(bytes(e.get(b"StmF", b"")))
+            method = self.dict_of(one).get(b"CFM")
+            cipher = {b"V2": "rc4", b"AESV2": "aes", b"AESV3": "aes256", b"None": "none"}.get(bytes(method or b"None"))
+            if e.get(b"StmF") != e.get(b"StrF"):
+                cipher = None
+        if v not in (1, 2, 4, 5) or r not in (2, 3, 4, 5, 6) or cipher is None:
             raise PdfError("encryptedPdf", "algorithm")
+        key = self._key_256(e, r, password) if r >= 5 else self._key(e, r, v, password)
+        if key is None:
+            raise PdfError("wrongPassword" if password else "passwordRequired")
+        skip = self.trailer[b"Encrypt"]
+        for ref in list(self.objects):
+            if ref == skip or cipher == "none":
+                continue
+            if cipher == "aes256":
+                own = key
+            else:
+                salt = b"sAlT" if cipher == "aes" else b""
+                own = hashlib.md5(key + ref[0].to_bytes(4, "little")[:3] + ref[1].to_bytes(2, "little") + salt).digest()[: min(len(key) + 5, 16)]
+            self.objects[ref] = _clear(self.objects[ref], own, cipher)
+        if isinstance(skip, Ref):
+            self.objects.pop(skip, None)
+        del self.trailer[b"Encrypt"]
+        self.unlocked = True
+
+    def _key(self, e: dict, r: int, v: int, password: str | None) -> bytes | None:
+        """The file's key of revisions 2 to 4, by the empty or the given password."""
         ident = self.trailer.get(b"ID")
         ident = ident[0] if isinstance(ident, list) and ident and isinstance(ident[0], bytes) else b""
-        size = int(e.get(b"Length", 40)) // 8 if r == 3 else 5
-        key = None
+        size = 5 if r == 2 else 16 if v == 4 else int(e.get(b"Length", 40)) // 8
+        plain = b"" if e.get(b"EncryptMetadata", True) or r < 4 else b"\xff\xff\xff\xff"
         for attempt in dict.fromkeys((b"", (password or "").encode("latin-1", "replace"))):
-            k = hashlib.md5((attempt + _PAD)[:32] + e.get(b"O", b"")[:32] + (int(e.get(b"P", 0)) & 0xFFFFFFFF).to_bytes(4, "little") + ident).digest()
-            for _ in range(50 if r == 3 else 0):
+            k = hashlib.md5((attempt + _PAD)[:32] + e.get(b"O", b"")[:32] + (int(e.get(b"P", 0)) & 0xFFFFFFFF).to_bytes(4, "little") + ident + plain).digest()
+            for _ in range(50 if r >= 3 else 0):
                 k = hashlib.md5(k[:size]).digest()
             k = k[:size]
             if r == 2:
@@ -479,19 +508,21 @@ class Document:
                     u = rc4(bytes(x ^ i for x in k), u)
                 ok = u[:16] == e.get(b"U", b"")[:16]
             if ok:
-                key = k
-                break
-        if key is None:
-            raise PdfError("wrongPassword" if password else "passwordRequired")
-        skip = self.trailer[b"Encrypt"]
-        for ref in list(self.objects):
-            if ref != skip:
-                own = hashlib.md5(key + ref[0].to_bytes(4, "little")[:3] + ref[1].to_bytes(2, "little")).digest()[: min(size + 5, 16)]
-                self.objects[ref] = _clear(self.objects[ref], own)
-        if isinstance(skip, Ref):
-            self.objects.pop(skip, None)
-        del self.trailer[b"Encrypt"]
-        self.unlocked = True
+                return k
+        return None
+
+    def _key_256(self, e: dict, r: int, password: str | None) -> bytes | None:
+        """The file's key of revisions 5 and 6, by the user's or the owner's password."""
+        u, o = e.get(b"U", b"")[:48], e.get(b"O", b"")[:48]
+        ue, oe = e.get(b"UE", b"")[:32], e.get(b"OE", b"")[:32]
+        if min(len(u), len(o)) < 48 or min(len(ue), len(oe)) < 32:
+            raise PdfError("encryptedPdf", "keys")
+        for attempt in dict.fromkeys((b"", (password or "").encode()[:127])):
+            for known, own, extra in ((u, ue, b""), (o, oe, u)):
+                make = aes.hardened if r == 6 else lambda p, s, x=b"": hashlib.sha256(p + s + x).digest()
+                if make(attempt, known[32:40], extra) == known[:32]:
+                    return aes.decrypt_cbc(make(attempt, known[40:48], extra), bytes(16), own, padded=False)
+        return None
 
     def get(self, x: Any, hops: int = 32) -> Any:
         """The object that x refers to, or x; a reference that leads nowhere is null."""
@@ -592,17 +623,17 @@ class Document:
         return bytes(out)
 
 
-def _clear(x: Any, key: bytes) -> Any:
+def _clear(x: Any, key: bytes, cipher: str = "rc4") -> Any:
     if isinstance(x, Name):
         return x
     if isinstance(x, bytes):
-        return rc4(key, x)
+        return rc4(key, x) if cipher == "rc4" else aes.decrypt_cbc(key, x[:16], x[16:]) if len(x) >= 32 else b""
     if isinstance(x, list):
-        return [_clear(v, key) for v in x]
+        return [_clear(v, key, cipher) for v in x]
     if isinstance(x, dict):
-        return {k: _clear(v, key) for k, v in x.items()}
+        return {k: _clear(v, key, cipher) for k, v in x.items()}
     if isinstance(x, Stream):
-        return x if x.dict.get(b"Type") == b"XRef" else Stream(_clear(x.dict, key), rc4(key, x.data))
+        return x if x.dict.get(b"Type") == b"XRef" else Stream(_clear(x.dict, key, cipher), _clear(x.data, key, cipher))
     return x
 
 

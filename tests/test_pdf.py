@@ -273,3 +273,54 @@ def test_font_subsets():
                 fonts.Cff(broken).cids()
             except (fonts.FontError, IndexError):
                 pass
+
+
+def test_aes_by_published_vectors():
+    from leafmill.functions import aes
+
+    key, plain = bytes(range(16)), bytes.fromhex("00112233445566778899aabbccddeeff")
+    assert aes.encrypt_cbc(key, bytes(16), plain).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
+    assert aes.encrypt_cbc(bytes(range(32)), bytes(16), plain).hex() == "8ea2b7ca516745bfeafc49904b496089"
+    for k in (key, bytes(range(32))):
+        assert aes.decrypt_cbc(k, plain, aes.encrypt_cbc(k, plain, plain * 5), padded=False) == plain * 5
+
+
+@pytest.mark.parametrize("revision", [4, 5, 6])
+def test_aes_passwords(revision):
+    import hashlib
+
+    from leafmill.functions import aes
+
+    start, text = b"\7" * 16, b"BT /F1 9 Tf (secret) Tj ET"
+    text += bytes([16 - len(text) % 16]) * (16 - len(text) % 16)
+
+    def locked(password):
+        if revision == 4:
+            pad, ident, o = bytes.fromhex("28bf4e5e4e758a4164004e56fffa01082e2e00b6d0683e802f0ca9fe6453697a"), b"0123456789abcdef", b"o" * 32
+            key = hashlib.md5((password + pad)[:32] + o + (0xFFFFFFFC).to_bytes(4, "little") + ident).digest()
+            for _ in range(50):
+                key = hashlib.md5(key).digest()
+            u = rc4(key, hashlib.md5(pad + ident).digest())
+            for i in range(1, 20):
+                u = rc4(bytes(x ^ i for x in key), u)
+            own = hashlib.md5(key + (4).to_bytes(4, "little")[:3] + b"\0\0sAlT").digest()
+            e = {b"V": 4, b"R": 4, b"O": o, b"U": u + bytes(16), b"P": -4, b"Length": 128}
+            method = b"AESV2"
+        else:
+            make = aes.hardened if revision == 6 else lambda p, s, x=b"": hashlib.sha256(p + s + x).digest()
+            own, ident = bytes(range(32)), b""
+            u = make(password, b"a" * 8) + b"a" * 8 + b"b" * 8
+            o = make(b"owner", b"c" * 8, u) + b"c" * 8 + b"d" * 8
+            e = {b"V": 5, b"R": revision, b"U": u, b"O": o, b"UE": aes.encrypt_cbc(make(password, b"b" * 8), bytes(16), own), b"OE": aes.encrypt_cbc(make(b"owner", b"d" * 8, u), bytes(16), own)}
+            method = b"AESV3"
+        e |= {b"Filter": Name(b"Standard"), b"StmF": Name(b"StdCF"), b"StrF": Name(b"StdCF"), b"CF": {b"StdCF": {b"CFM": Name(method)}}}
+        data = base(o4=Stream({}, start + aes.encrypt_cbc(own, start, text)), o14=e)
+        return data.replace(b"trailer\n<<", b"trailer\n<</Encrypt 14 0 R/ID[" + written(ident) + b"]")
+
+    doc = Document(locked(b""))
+    assert doc.unlocked and b"(secret)" in doc.content(doc.pages()[0][1])
+    assert Document(locked(b"pw"), "pw").unlocked and (revision == 4 or Document(locked(b"pw"), "owner").unlocked)
+    for password, code in ((None, "passwordRequired"), ("wrong", "wrongPassword")):
+        with pytest.raises(PdfError) as e:
+            Document(locked(b"pw"), password)
+        assert e.value.code == code
