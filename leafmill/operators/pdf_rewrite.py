@@ -583,7 +583,7 @@ def prepare(doc: Document, settings: dict) -> dict:
 
 def optimize(doc: Document, settings: dict) -> tuple[bytes, dict]:
     """The rewritten file and what was done."""
-    stats = prepare(doc, settings) | {"images_recompressed": 0, "images_skipped": 0, "skips": []}
+    stats = prepare(doc, settings) | {"images_recompressed": 0, "images_skipped": 0, "bilevel_encoded": 0, "skips": []}
     if settings["optimize_images"]:
         tasks, skipped = image_tasks(doc, settings)
         for t in tasks:
@@ -593,6 +593,7 @@ def optimize(doc: Document, settings: dict) -> tuple[bytes, dict]:
             else:
                 put(doc, t[0], *found)
                 stats["images_recompressed"] += 1
+                stats["bilevel_encoded"] += found[0][b"Filter"] == b"CCITTFaxDecode"
         stats["images_skipped"], stats["skips"] = len(skipped), [{"num": n, "reason": r} for n, r in sorted(skipped)]
     return doc.save(), stats
 
@@ -606,7 +607,7 @@ def optimize_to(doc: Document, settings: dict, target: int, rounds: int = ROUNDS
     """
     if target <= 0:
         raise PdfError("config", "target size")
-    stats = prepare(doc, settings) | {"images_recompressed": 0, "images_skipped": 0, "skips": []}
+    stats = prepare(doc, settings) | {"skips": []}
     baseline = len(doc.save())
     tasks, skipped = image_tasks(doc, settings | {"max_image_size_px": MOST_EDGE}) if settings["optimize_images"] else ([], [])
     original = {t[0]: doc.objects[t[0]] for t in tasks}
@@ -634,7 +635,8 @@ def optimize_to(doc: Document, settings: dict, target: int, rounds: int = ROUNDS
                 if not isinstance(x, str):
                     put(doc, t[0], *x)
             data = doc.save()
-            done = (len(data), data, quality, edge, sum(not isinstance(x, str) for x in made))
+            kept = [x for x in made if not isinstance(x, str)]
+            done = (len(data), data, quality, edge, len(kept), sum(x[0][b"Filter"] == b"CCITTFaxDecode" for x in kept))
             fits = len(data) <= target
             if fits and (best is None or done[0] > best[0]):
                 best = done
@@ -643,6 +645,6 @@ def optimize_to(doc: Document, settings: dict, target: int, rounds: int = ROUNDS
         low, high = (quality + 1, high) if fits else (low, quality - 1)
         if not tasks:
             break
-    size, data, quality, edge, n = best or least
-    stats |= {"images_recompressed": n, "images_skipped": len(skipped) + len(tasks) - n, "attempts": attempts, "target_met": best is not None, "quality": quality, "edge": edge}
+    _, data, quality, edge, n, fax_coded = best or least
+    stats |= {"images_recompressed": n, "images_skipped": len(skipped) + len(tasks) - n, "bilevel_encoded": fax_coded, "attempts": attempts, "target_met": best is not None, "quality": quality, "edge": edge}
     return data, stats

@@ -565,7 +565,7 @@ def pdf_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as PDF files, rewritten: never larger than before."""
     from leafmill.sources import pdf
 
-    return pdf.optimize(_made(spark, sf_dir)).drop("content", "skips")
+    return pdf.optimize(_made(spark, sf_dir)).drop("content", "skips", "notices")
 
 
 @_query(r"""

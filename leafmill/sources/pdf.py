@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from leafmill.functions import presets
-from leafmill.operators import graph, images, pdf_rewrite, scoring
+from leafmill.operators import batch, graph, images, pdf_rewrite, scoring
 from leafmill.sources.pdf_model import MAX_FILE, Document, Name, PdfError, Ref, Stream, canonical, filters_of, operations, references
 
 #: Texts of errors, by code.
@@ -191,10 +191,10 @@ def analyze(files: DataFrame, settings: dict[str, Column] | None = None, passwor
     )
 
 
-_STATS = ("images_recompressed", "images_skipped", "images_deduplicated", "streams_deduplicated", "streams_compressed", "resources_removed", "fonts_subsetted", "font_bytes_saved")
+_STATS = ("images_recompressed", "images_skipped", "images_deduplicated", "streams_deduplicated", "streams_compressed", "resources_removed", "fonts_subsetted", "font_bytes_saved", "bilevel_encoded")
 RESULT = (
     f"doc_id string, error {_ERROR}, original_size_bytes bigint, compressed_size_bytes bigint, {', '.join(f'{s} int' for s in _STATS)}, metadata_removed boolean,"
-    " skips array<struct<num: int, reason: string>>, target_met boolean, quality int, attempts int, output_was_smaller boolean, content binary"
+    " skips array<struct<num: int, reason: string>>, was_encrypted boolean, target_met boolean, quality int, attempts int, output_was_smaller boolean, content binary"
 )
 
 
@@ -243,9 +243,9 @@ def optimize(files: DataFrame, settings: dict | None = None, target_bytes: int |
         except (RecursionError, ValueError, TypeError, KeyError, IndexError, OverflowError, MemoryError) as e:
             return row | {"error": _error("pdfBuild", type(e).__name__)}
         smaller = len(out) < len(data)
-        return row | stats | {"compressed_size_bytes": len(out), "output_was_smaller": smaller, "content": out if smaller else data}
+        return row | stats | {"was_encrypted": doc.unlocked, "compressed_size_bytes": len(out), "output_was_smaller": smaller, "content": out if smaller else data}
 
-    return _by_file(files, one, RESULT)
+    return batch.with_notices(_by_file(files, one, RESULT), chosen, target_bytes)
 
 
 OBJECTS = "doc_id string, num int, gen int, kind string, type string, subtype string, filters array<string>, canonical string, stream_len bigint, stream binary, refs array<struct<key_path: string, dst: int>>"

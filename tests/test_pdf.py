@@ -324,3 +324,34 @@ def test_aes_passwords(revision):
         with pytest.raises(PdfError) as e:
             Document(locked(b"pw"), password)
         assert e.value.code == code
+
+
+def test_batch_and_notices(spark, tmp_path):
+    from leafmill.operators import batch
+
+    (tmp_path / "d").mkdir()
+    for name in ("b.pdf", "d/a.PDF", "c.txt"):
+        (tmp_path / name).write_bytes(base())
+    got = [r.path for r in batch.expanded(spark, [str(tmp_path / "b.pdf"), str(tmp_path)]).collect()]
+    assert got == [str(tmp_path / "b.pdf"), str(tmp_path / "d/a.PDF")]
+    results = pdf.optimize(files(spark, base(), pdf_make.text_pdf("x"), b"no"), pdf.default_settings("conservative")).cache()
+    s = batch.summary(results).first()
+    assert (s.files_compressed + s.files_not_smaller, s.files_failed, s.any_failed) == (2, 1, True) and s.original_bytes > s.compressed_bytes > 0
+    r = {x.doc_id: x for x in results.collect()}
+    codes = [n.code for n in r["0"].notices]
+    assert codes[:2] == ["appliedProfile", "safeRewrite"] and {"imageDedupe", "resourcesCleaned", "metadataKept"} <= set(codes) and r["2"].notices is None
+    aimed = pdf.optimize(files(spark, base()), target_bytes=40_000).first()
+    assert [n.code for n in aimed.notices][:2] == ["targetSizeMet", "appliedProfile"] and aimed.savings_percent > 90
+
+
+def test_queue_of_files(spark, tmp_path):
+    from leafmill.streaming import files as stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(base())
+    run = lambda: stream.process(spark, str(tmp_path / "in"), pdf.analyze, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(90)
+    run()
+    (tmp_path / "in" / "b.pdf").write_bytes(pdf_make.text_pdf("hello"))
+    run()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.doc_id.rsplit("/", 1)[1] for r in got.collect()) == ["a.pdf", "b.pdf"] and got.select("batch").distinct().count() == 2
