@@ -72,3 +72,23 @@ def test_stages_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_stages_of_messy_rows(spark, messy, tmp_path):
+    """Nulls anywhere, repeated rows, long and empty texts, columns that are named as ours."""
+    labels = spark.createDataFrame([(1, 1, None), (7, 1, 1), (8, 1, 0), (9, 0, 0), (None, 1, 1), (10, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one"), (None, None), (2, ""), (2, "no id here but words")], "item_id long, text string")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = messy.count()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, messy, str(tmp_path))
+        assert name == "mixing" or got.columns == messy.columns, name
+        n = got.count()
+        assert 0 < n <= rows, name
+        again = sorted(str(r.doc_id) for r in stage(spark, messy.repartition(5), str(tmp_path)).collect())
+        assert again == sorted(str(r.doc_id) for r in got.collect()), name
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.mode("overwrite").parquet(str(tmp_path / f"{t}.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, messy, str(tmp_path)).count() > 0, name
