@@ -1,4 +1,4 @@
-"""Baseline JPEG in numpy: planes to bytes and back."""
+"""JPEG in numpy: planes to baseline files, baseline and progressive files to planes."""
 
 from __future__ import annotations
 
@@ -206,13 +206,13 @@ class _Source:
 
 
 def decode(data: bytes, most_pixels: int = 100_000_000) -> np.ndarray:
-    """A baseline JPEG as a gray (h, w), RGB (h, w, 3) or four-component (h, w, 4) plane.
+    """A JPEG as a gray (h, w), RGB (h, w, 3) or four-component (h, w, 4) plane.
 
-    ValueError for what isn't baseline Huffman, is damaged or too large.
+    ValueError for what isn't Huffman coded with 8 bits, is damaged or too large.
     """
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    at, quant, huff, frame, restart, adobe = 2, {}, {}, None, 0, None
+    at, quant, huff, frame, progressive, restart, adobe = 2, {}, {}, None, False, 0, None
     coefficients: dict[int, np.ndarray] = {}
     while at + 4 <= len(data):
         if data[at] != 0xFF:
@@ -247,16 +247,16 @@ def decode(data: bytes, most_pixels: int = 100_000_000) -> np.ndarray:
             adobe = body[11]
         elif m == 0xDD:
             restart = int.from_bytes(body[:2], "big")
-        elif m in (0xC0, 0xC1):
+        elif m in (0xC0, 0xC1, 0xC2):
             h, w = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             if body[0] != 8 or not h or not w or h * w > most_pixels:
                 raise ValueError("unsupported JPEG")
             parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
             hm, vm = max(p[1] for p in parts), max(p[2] for p in parts)
-            frame = (h, w, parts, hm, vm)
+            frame, progressive = (h, w, parts, hm, vm), m == 0xC2
             for ident, hs, vs, _ in parts:
                 coefficients[ident] = np.zeros((-(-h // (8 * vm)) * vs, -(-w // (8 * hm)) * hs, 64), int)
-        elif 0xC2 <= m <= 0xCF and m != 0xC8 and m != 0xCC:
+        elif 0xC3 <= m <= 0xCF and m != 0xC8 and m != 0xCC:
             raise ValueError("unsupported JPEG")
         elif m == 0xDA and frame:
             end = at
@@ -275,7 +275,10 @@ def decode(data: bytes, most_pixels: int = 100_000_000) -> np.ndarray:
                     break
             chunks.append(data[begin:end])
             at = end
-            _scan(frame, body, chunks, coefficients, huff, restart)
+            try:
+                _scan(frame, body, chunks, coefficients, huff, restart, progressive)
+            except (KeyError, IndexError) as e:
+                raise ValueError("damaged JPEG") from e
     if not frame:
         raise ValueError("no frame")
     h, w, parts, hm, vm = frame
@@ -295,11 +298,12 @@ def decode(data: bytes, most_pixels: int = 100_000_000) -> np.ndarray:
     return 255 - out if len(planes) == 4 and adobe is not None else out
 
 
-def _scan(frame: tuple, body: bytes, chunks: list[bytes], coefficients: dict, huff: dict, restart: int) -> None:
+def _scan(frame: tuple, body: bytes, chunks: list[bytes], coefficients: dict, huff: dict, restart: int, progressive: bool) -> None:
     h, w, parts, hm, vm = frame
     own = {p[0]: p for p in parts}
     listed = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
-    units = []  # of each minimum coded unit: component, rows, columns, tables
+    first, last, fine = body[1 + 2 * body[0]], body[2 + 2 * body[0]], body[3 + 2 * body[0]]
+    units = []  # of each minimum coded unit: component, row, column, tables
     if len(listed) == 1:
         ident, t = listed[0]
         hs, vs = own[ident][1:3]
@@ -311,24 +315,89 @@ def _scan(frame: tuple, body: bytes, chunks: list[bytes], coefficients: dict, hu
                 units.append([(i, y * own[i][2] + v, x * own[i][1] + u, t) for i, t in listed for v in range(own[i][2]) for u in range(own[i][1])])
     step = restart or len(units)
     for n, chunk in enumerate(chunks):
-        source, before = _Source(chunk.replace(b"\xff\0", b"\xff")), dict.fromkeys(own, 0)
+        coder = _Coder(chunk, huff, first, last, fine >> 4, fine & 15, progressive)
         for unit in units[n * step : (n + 1) * step]:
             for ident, y, x, t in unit:
-                block = coefficients[ident][y, x]
-                before[ident] += source.number(source.symbol(huff[t >> 4]))
-                block[0] = before[ident]
-                k = 1
-                table = huff[0x10 | t & 15]
-                while k < 64:
-                    s = source.symbol(table)
-                    run, size = s >> 4, s & 15
-                    if not size:
-                        if run < 15:
-                            break
-                        k += 16
-                        continue
-                    k += run
-                    if k > 63:
-                        raise ValueError("damaged JPEG")
-                    block[_ZIGZAG[k]] = source.number(size)
+                coder.block(coefficients[ident][y, x], ident, t)
+
+
+class _Coder:
+    """Reads blocks of one scan between two restarts."""
+
+    def __init__(self, chunk: bytes, huff: dict, first: int, last: int, high: int, low: int, progressive: bool):
+        self.source, self.huff, self.before, self.skip = _Source(chunk.replace(b"\xff\0", b"\xff")), huff, {}, 0
+        self.first, self.last, self.high, self.low = (first, min(last, 63), high, low) if progressive else (0, 63, 0, 0)
+        self.split = progressive
+
+    def block(self, block: np.ndarray, ident: int, t: int) -> None:
+        s = self.source
+        if self.first == 0:
+            if self.high:
+                block[0] |= s.take(1) << self.low
+            else:
+                self.before[ident] = self.before.get(ident, 0) + s.number(s.symbol(self.huff[t >> 4]))
+                block[0] = self.before[ident] << self.low
+            if self.split:
+                return
+        if self.high:
+            self._refined(block, self.huff[0x10 | t & 15])
+        else:
+            self._direct(block, self.huff[0x10 | t & 15])
+
+    def _direct(self, block: np.ndarray, table: dict) -> None:
+        """Coefficients as they come first."""
+        s, k = self.source, max(self.first, 1)
+        if self.skip:
+            self.skip -= 1
+            return
+        while k <= self.last:
+            code = s.symbol(table)
+            run, size = code >> 4, code & 15
+            if size:
+                k += run
+                if k > 63:
+                    raise ValueError("damaged JPEG")
+                block[_ZIGZAG[k]] = s.number(size) << self.low
+                k += 1
+            elif run == 15:
+                k += 16
+            else:
+                if run:  # this block and some after it end here
+                    self.skip = (1 << run) + s.take(run) - 1
+                return
+
+    def _refined(self, block: np.ndarray, table: dict) -> None:
+        """One more bit of coefficients that are known, and new ones of that bit."""
+        s, k, bit = self.source, self.first, 1 << self.low
+
+        def correct(place: int) -> None:
+            if s.take(1) and not abs(int(block[place])) & bit:
+                block[place] += bit if block[place] > 0 else -bit
+
+        if not self.skip:
+            while k <= self.last:
+                code = s.symbol(table)
+                run, size = code >> 4, code & 15
+                value = 0
+                if size:
+                    value = bit if s.take(1) else -bit
+                elif run < 15:
+                    self.skip = (1 << run) + (s.take(run) if run else 0)
+                    break
+                while k <= self.last:
+                    place = _ZIGZAG[k]
+                    if block[place]:
+                        correct(place)
+                    elif run:
+                        run -= 1
+                    else:
+                        if value:
+                            block[place] = value
+                        k += 1
+                        break
                     k += 1
+        if self.skip:
+            for j in range(k, self.last + 1):
+                if block[_ZIGZAG[j]]:
+                    correct(_ZIGZAG[j])
+            self.skip -= 1

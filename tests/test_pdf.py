@@ -170,7 +170,32 @@ def test_jpeg_quality_rises():
     found = [planes.psnr(p, jpeg.decode(jpeg.encode(p, q))) for q in (30, 60, 90)]
     assert found == sorted(found) and found[0] > 22 and jpeg.header_size(jpeg.encode(p, 50)) == (160, 120)
     with pytest.raises(ValueError, match="JPEG|frame"):
-        jpeg.decode(b"\xff\xd8\xff\xc2" + bytes(40))
+        jpeg.decode(b"\xff\xd8\xff\xc3" + bytes(40))
+
+
+@pytest.mark.parametrize("progressive", [False, True])
+def test_jpeg_of_another_encoder(spark, progressive):
+    """Files of the JVM's encoder, with subsampled colour."""
+    jvm, p = spark.sparkContext._jvm, photo(90, 61)
+    picture = jvm.java.awt.image.BufferedImage(90, 61, 1)
+    for y in range(61):
+        for x in range(90):
+            r, g, b = p[y, x].tolist()
+            picture.setRGB(x, y, r << 16 | g << 8 | b)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    settings = writer.getDefaultWriteParam()
+    if progressive:
+        settings.setProgressiveMode(1)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(picture, None, None), settings)
+    stream.flush()
+    data = bytes(out.toByteArray())
+    assert (b"\xff\xc2" in data) == progressive
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    theirs = np.array([[[back.getRGB(x, y) >> s & 255 for s in (16, 8, 0)] for x in range(90)] for y in range(61)], np.uint8)
+    assert planes.psnr(jpeg.decode(data), theirs) > 30 and jpeg.decode(data).shape == (61, 90, 3)
 
 
 def test_planes():
