@@ -10,7 +10,7 @@ from typing import Any
 
 import numpy as np
 
-from leafmill.functions import fax, fonts, jpeg, planes
+from leafmill.functions import fax, fonts, jbig2, jpeg, planes
 from leafmill.sources.pdf_model import Document, Name, PdfError, Ref, Stream, canonical, decoded, filters_of, operations, parms_of
 
 #: Gates of images and streams, as in operators.images.
@@ -390,6 +390,21 @@ def fax_shape(d: dict) -> dict | None:
     return {"width": w, "height": h, "k": k, "aligned": aligned, "eol": eol, "black_is_1": p.get(b"BlackIs1") is True}
 
 
+def jbig2_shared(doc: Document, d: dict) -> bytes | None:
+    """The shared segments of a JBIG2 image, empty without any; None if the image can't be read."""
+    p = d.get(b"DecodeParms", {})
+    p = p[0] if isinstance(p, list) and len(p) == 1 else p
+    if b"Decode" in d or not isinstance(p, dict) or set(p) - {b"JBIG2Globals"}:
+        return None
+    s = doc.get(p.get(b"JBIG2Globals"))
+    if s is None:
+        return b"" if b"JBIG2Globals" not in p else None
+    try:
+        return decoded(s) if isinstance(s, Stream) else None
+    except (PdfError, ValueError, TypeError):
+        return None
+
+
 def image_facts(doc: Document, ref: Ref, masks: dict[Ref, int], aliases: dict[bytes, Any]) -> dict:
     """What the analysis and the gates look at."""
     s = doc.objects[ref]
@@ -397,9 +412,11 @@ def image_facts(doc: Document, ref: Ref, masks: dict[Ref, int], aliases: dict[by
     w, h, chain = whole(doc.get(d.get(b"Width"))), whole(doc.get(d.get(b"Height"))), filters_of(d)
     ok = bool(w and h and w > 0 and h > 0)
     special = [f for f in chain if f in (b"CCITTFaxDecode", b"JPXDecode", b"JBIG2Decode")]
-    supported = not (special and len(chain) > 1) and not any(f in (b"?", b"Crypt", b"JPXDecode", b"JBIG2Decode") for f in chain)
+    supported = not (special and len(chain) > 1) and not any(f in (b"?", b"Crypt", b"JPXDecode") for f in chain)
     if b"CCITTFaxDecode" in chain:
         supported = supported and fax_shape(d) is not None
+    if b"JBIG2Decode" in chain:
+        supported = supported and jbig2_shared(doc, d) is not None
     mask = d.get(b"SMask")
     return {
         "num": ref[0], "bytes": len(s.data), "width": w, "height": h, "longest_edge": max(w, h) if ok else None, "pixels": w * h if ok else None,
@@ -458,6 +475,8 @@ def gate(doc: Document, s: Stream, f: dict, settings: dict, floor: int, space: d
 def plane_of(doc: Document, s: Stream, f: dict, space: dict | None) -> np.ndarray:
     """The image as a gray or RGB plane. ValueError or PdfError if it can't be decoded."""
     d, w, h = s.dict, f["width"], f["height"]
+    if "JBIG2Decode" in f["filters"]:
+        return np.where(jbig2.decode(s.data, w, h, jbig2_shared(doc, d) or b""), 0, 255).astype(np.uint8)
     if f["bilevel_input"]:
         shape = fax_shape(d)
         if shape is None:

@@ -380,3 +380,105 @@ def test_queue_of_files(spark, tmp_path):
     run()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.doc_id.rsplit("/", 1)[1] for r in got.collect()) == ["a.pdf", "b.pdf"] and got.select("batch").distinct().count() == 2
+
+
+def test_arithmetic_decoder_by_the_published_sequence():
+    from leafmill.functions import jbig2
+
+    coded = bytes.fromhex("84c73bfce1a1430402200000410dbb86f4317fff88ff37471adb6adfffac")
+    d, contexts = jbig2.Decoder(coded), [0]
+    bits = [d.bit(contexts, 0) for _ in range(256)]
+    assert np.packbits(bits).tobytes().hex() == "00020051000000c0035287" + "2aaaaaaaaa82c02000fcd79ef6bf7fed904f46a3bf"
+
+
+class _Encoder:
+    """The arithmetic encoder, to make test data."""
+
+    def __init__(self):
+        self.a, self.c, self.count, self.out = 0x8000, 0, 12, bytearray(b"\0")
+
+    def bit(self, contexts, number, value):
+        from leafmill.functions import jbig2
+
+        state, likely = contexts[number] >> 1, contexts[number] & 1
+        q = jbig2._QE[state]
+        self.a -= q
+        if value == likely:
+            if self.a & 0x8000:
+                self.c += q
+                return
+            if self.a < q:
+                self.a = q
+            else:
+                self.c += q
+            state = jbig2._NEXT[state]
+        else:
+            if self.a < q:
+                self.c += q
+            else:
+                self.a = q
+            likely ^= jbig2._SWAP[state]
+            state = jbig2._LESS[state]
+        contexts[number] = state << 1 | likely
+        while not self.a & 0x8000:
+            self.a <<= 1
+            self.c <<= 1
+            self.count -= 1
+            if not self.count:
+                self.byte()
+
+    def byte(self):
+        if self.out[-1] != 0xFF and self.c >= 0x8000000:
+            self.out[-1] += 1
+            if self.out[-1] == 0xFF:
+                self.c &= 0x7FFFFFF
+        if self.out[-1] == 0xFF:
+            self.out.append(self.c >> 20 & 0xFF)
+            self.c &= 0xFFFFF
+            self.count = 7
+        else:
+            self.out.append(self.c >> 19 & 0xFF)
+            self.c &= 0x7FFFF
+            self.count = 8
+
+    def done(self):
+        top = self.c + self.a
+        self.c |= 0xFFFF
+        if self.c >= top:
+            self.c -= 0x8000
+        for _ in range(2):
+            self.c <<= self.count
+            self.byte()
+        return bytes(self.out[1:]) + b"\xff\xac"
+
+
+@pytest.mark.parametrize("template", [0, 1, 2, 3])
+def test_jbig2_generic_regions(template):
+    from leafmill.functions import jbig2
+
+    moved = [(3, -1), (-3, -1), (2, -2), (-2, -2)] if template == 0 else [(3, -1)] if template == 1 else [(2, -1)]
+    y, x = np.mgrid[0:30, 0:45]
+    plane = ((x // 7 + y // 5) % 3 == 0) ^ (np.random.default_rng(1).random((30, 45)) < 0.05)
+    rows, _ = jbig2.TEMPLATES[template]
+    places = sorted([(dy, dx) for dy, a, b in rows for dx in range(a, b + 1)] + [(dy, dx) for dx, dy in moved])
+    e, contexts, wide = _Encoder(), [0] * (1 << len(places)), np.pad(plane, 9)
+    for r in range(30):
+        for c in range(45):
+            number = 0
+            for dy, dx in places:
+                number = number << 1 | int(wide[r + 9 + dy, c + 9 + dx])
+            e.bit(contexts, number, int(plane[r, c]))
+    four = lambda *v: b"".join(n.to_bytes(4, "big") for n in v)
+    segment = lambda n, kind, d: four(n) + bytes([kind, 0, 1]) + four(len(d)) + d
+    at = b"".join(bytes([dx & 255, dy & 255]) for dx, dy in moved)
+    data = segment(0, 48, four(45, 30, 0, 0) + b"\0\0\0") + segment(1, 38, four(45, 30, 0, 0) + bytes([0, template << 1]) + at + e.done())
+    assert (jbig2.decode(data, 45, 30) == plane).all()
+    coded = segment(0, 48, four(45, 30, 0, 0) + b"\0\0\0") + segment(1, 38, four(45, 30, 0, 0) + bytes([0, 1]) + fax.encode_g4(plane))
+    assert (jbig2.decode(coded, 45, 30) == plane).all()
+    for k in range(0, len(data), 5):
+        try:
+            jbig2.decode(data[:k], 45, 30)
+        except ValueError:
+            pass
+    with pytest.raises(ValueError, match="segment"):
+        jbig2.decode(segment(0, 0, b""), 45, 30)
