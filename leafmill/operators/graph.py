@@ -97,9 +97,14 @@ def evictions(entries: DataFrame, group: str, size: str, order: list[str], budge
     return e.withColumn("freed_before", F.coalesce(gone, F.lit(0))).withColumn("evicted", F.col("total") - F.col("freed_before") > budget)
 
 
-def output_names(files: DataFrame, folder: str, stem: str, preset: str, order: list[str], most: int = 99) -> DataFrame:
-    """files with output_name; equal names of a folder get -1, -2, ...; null beyond most."""
+def output_names(files: DataFrame, folder: str, stem: str, preset: str, order: list[str], most: int = 99, short: bool = False) -> DataFrame:
+    """files with output_name; equal names of a folder get -1, -2, ...; null beyond most.
+
+    Names are stem__optimized-preset.pdf, or stem_optimized.pdf if short.
+    """
+    if short:
+        files = files.withColumn(preset, F.lit(""))
     nth = F.row_number().over(Window.partitionBy(folder, stem, preset).orderBy(*order)) - 1
-    base = F.concat(F.col(stem), F.lit("__optimized-"), F.col(preset))
+    base = F.concat(F.col(stem), F.lit("_optimized" if short else "__optimized-"), F.col(preset))
     name = F.when(nth == 0, F.concat(base, F.lit(".pdf"))).when(nth <= most, F.concat(base, F.lit("-"), nth.cast("string"), F.lit(".pdf")))
     return files.withColumn("output_name", name)

@@ -146,3 +146,61 @@ def test_throttled_stream(spark, tmp_path):
     q = progress.throttled_stream(stream, "task", "percent").writeStream.format("memory").queryName("told").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.percent for r in spark.table("told").collect()) == [3.0, 6.0, 100.0]
+
+
+def test_stored_queues(spark):
+    from leafmill.functions import records
+
+    rows = [('{"version":1,"entries":[{"sourcePath":"a.pdf","settings":{"preset":"maximum"}},{"sourcePath":" "},{}]}',), ('[{"sourcePath":"b.pdf"}]',), ("nonsense",), (None,), ('{"version":2,"entries":[]}',)]
+    q = records.stored_queue(F.col("t"))
+    d = spark.createDataFrame(rows, "t string").select(q.alias("q"))
+    assert [[e.sourcePath for e in r.q] for r in d.collect()] == [["a.pdf"], ["b.pdf"], [], [], []]
+    again = d.select(records.stored_queue(records.queue_text(F.col("q"))).alias("q")).collect()
+    assert [r.q for r in again] == [r.q for r in d.collect()]
+    line = records.encoded_meta(F.lit("7"), F.lit(12), F.lit("a|b"))
+    assert values(spark, [(1,)], "n int", line, records.decoded_meta(line)["name"]) == [("7|12|a/b", "a/b")]
+    assert [r[0] for r in values(spark, [("x|y|z",), ("1|2",), ("",)], "t string", records.decoded_meta(F.col("t")))] == [None] * 3
+
+
+def test_messages_and_ui_settings(spark):
+    from leafmill.functions import records
+
+    n = F.array(*[scalars.notice(c, "info", c) for c in ("a", "b", "a", "c", "b")])
+    assert [x.code for x in values(spark, [(1,)], "n int", records.distinct_notices(n))[0][0]] == ["a", "b", "c"]
+    told = records.localized(spark.createDataFrame([("a", "A?"), ("z", "Z!")], "code string, fallback string"), spark.createDataFrame([("a", "Ah")], "code string, template string"))
+    assert {r.code: r.text for r in told.collect()} == {"a": "Ah", "z": "Z!"}
+    x = F.col("x")
+    assert values(spark, [(None,), (-1.0,), (float("nan"),), (5000.0,)], "x double", records.target_megabytes(x), records.percent(x)) == [(None, 0.0), (None, 0.0), (None, 0.0), (2048.0, 100.0)]
+    same = records.same_settings({"a": F.lit(1), "output_dir": F.lit("x")}, {"a": F.lit(1), "b": F.lit(None).cast("int")})
+    built, own = (F.create_map(*[F.lit(v) for v in kv]) for kv in (("balanced", 1, "maximum", 2), ("maximum", 9, "nope", 7)))
+    assert values(spark, [(1,)], "n int", same, records.merged_profiles(built, own)) == [(True, {"balanced": 1, "maximum": 9})]
+    assert records.features(spark).first().fontSubset
+
+
+def test_runs_can_be_called_off(spark):
+    import threading
+    import time
+
+    from leafmill.operators.runs import Runs
+
+    runs, found = Runs(spark), []
+    slow = F.udf(lambda x: time.sleep(30) or x, "long")
+
+    def work():
+        try:
+            runs.run("one", lambda: spark.range(4).select(slow("id")).collect())
+        except PdfError as e:
+            found.append(e.code)
+
+    t = threading.Thread(target=work)
+    t.start()
+    for _ in range(100):
+        if "one" in runs.under_way():
+            break
+        time.sleep(0.1)
+    time.sleep(3)
+    with pytest.raises(PdfError):
+        runs.run("one", lambda: 1)
+    assert runs.cancel("one") and not runs.cancel("two")
+    t.join(25)
+    assert found == ["cancelled"] and runs.run("one", lambda: 5) == 5 and not runs.under_way()
