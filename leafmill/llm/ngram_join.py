@@ -85,7 +85,7 @@ def shingle_hashes(texts: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np
     first = np.searchsorted(starts, begins)
     counts = np.where(sizes > 0, np.diff(np.append(first, len(starts))), 0)
     gram = np.zeros(len(words), _U)
-    for k in range(n):
+    for k in range(min(n, len(words))):
         gram[: len(words) - k] += words[k:] * _mixed(np.array([k + 1], _U))[0]
     made = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
     total = int(made.sum())

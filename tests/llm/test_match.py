@@ -133,6 +133,12 @@ def test_keep_one_of_each(spark, messy):
     assert 2 not in ids and 1 in ids and 8 not in ids and 7 in ids and ids.count(None) == 2
 
 
+@pytest.mark.parametrize("texts", [["one two"], ["", None], ["a"], ["a b c d e"], ["a b c d e", "a b c d e"]])
+def test_tables_of_few_words(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    check_classes(ng.similar_classes(docs).collect(), list(enumerate(texts)))
+
+
 def test_pruning_bounds():
     need = ng.least_matches(0.8, 1e-6)
     assert need[0] == 0 and need[30] < 24 and need[150] < 120 and need == sorted(need)
