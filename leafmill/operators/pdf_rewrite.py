@@ -11,7 +11,7 @@ from typing import Any
 import numpy as np
 
 from leafmill.functions import fax, fonts, jbig2, jpeg, planes
-from leafmill.sources.pdf_model import Document, Name, PdfError, Ref, Stream, canonical, decoded, filters_of, operations, parms_of
+from leafmill.sources.pdf_model import Document, Name, PdfError, Ref, Stream, canonical, decoded, filters_of, operations
 
 #: Gates of images and streams, as in operators.images.
 TRIVIAL_PIXELS, SMALL_JPEG_PIXELS, TINY_JPEG, SMALL, MANY, MIN_STREAM = 10_000, 250_000, 6_144, 65_536, 24, 64
