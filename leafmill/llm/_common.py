@@ -52,6 +52,11 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+#: On a local file system, scratch files go without the checksum file that Hadoop puts beside each:
+#: half the files, and a fraction of the processes that it starts to set their permissions.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -60,7 +65,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**_PLAIN_FILES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._leafmill_path = path
     return out
