@@ -15,15 +15,22 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import quoted, small_batches
+from ._common import quoted, small_batches, stored
 
 ROLES = ("system", "user", "assistant")
 BEGIN, INSIDE = 0, 1
-#: Turns after which a conversation goes on as its next part; the model starts afresh there.
+#: Turn numbers to one number of the output's column part.
 PART_TURNS = 4_096
+#: Rows and characters of a piece of a conversation. Pieces are read in parallel; where they are cut changes nothing.
+PIECE_ROWS, PIECE_CHARS = 4_096, 4 << 20
+#: Log probabilities are whole numbers, this many to 1: sums are exact, however they are grouped.
+_UNIT = 1 << 26
+#: The impossible; twice this and a step still fit 64 bits.
+_NEVER = -(1 << 60)
 #: Names that speakers go by, per role.
 NAMES = {
     "system": ("system", "sys", "instructions", "context"),
@@ -64,10 +71,10 @@ class Model:
 
     def __init__(self, starts: np.ndarray, turns: np.ndarray, shapes: np.ndarray, ends: np.ndarray):
         n = len(ROLES)
-        log = lambda x: np.log(np.maximum(x, 1e-12))
-        self.start = np.full(2 * n, -np.inf)
+        log = lambda x: np.rint(np.log(np.maximum(x, 1e-12)) * _UNIT).astype(np.int64)
+        self.start = np.full(2 * n, _NEVER, np.int64)
         self.start[0::2] = log(starts)
-        self.step = np.full((2 * n, 2 * n), -np.inf)
+        self.step = np.full((2 * n, 2 * n), _NEVER, np.int64)
         for r in range(n):
             for b in (BEGIN, INSIDE):
                 self.step[2 * r + b, 2 * r + INSIDE] = log(1 - ends[r])
@@ -91,16 +98,48 @@ class Model:
         """The most probable states of (line, blank before) pairs; of equal ones the first."""
         if not lines:
             return []
-        best = self.start + self.emission(*lines[0])
-        back = []
+        last, _, ways = self.paths(lines, None)
+        return ways[int(last.argmax())].tolist()
+
+    def paths(self, lines: list[tuple[str, bool]], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each state of the last line: the best score, the state before the lines that leads
+        there, and the states on the way. before: scores by state of the line before, if any."""
+        n, back = len(self.start), []
+        best = before
+        for x in lines:
+            if best is None:
+                back.append(np.zeros(n, np.uint8))
+                best = self.start
+            else:
+                ways = best[:, None] + self.step
+                back.append(ways.argmax(axis=0).astype(np.uint8))
+                best = ways.max(axis=0)
+            best = np.maximum(best + self.emission(*x), _NEVER)
+        at, out = np.arange(n, dtype=np.uint8), np.empty((n, len(lines)), np.uint8)
+        for k in range(len(lines) - 1, -1, -1):
+            out[:, k] = at
+            at = back[k][at]
+        return best, at, out
+
+    def product(self, lines: list[tuple[str, bool]]) -> np.ndarray:
+        """From each state of the first line to each of the last, the best score without the first line's own."""
+        n = len(self.start)
+        best = np.where(np.eye(n, dtype=bool), 0, _NEVER)
         for x in lines[1:]:
-            ways = best[:, None] + self.step
-            back.append(ways.argmax(axis=0))
-            best = ways.max(axis=0) + self.emission(*x)
-        at = [int(best.argmax())]
-        for b in reversed(back):
-            at.append(int(b[at[-1]]))
-        return at[::-1]
+            best = np.maximum((best[:, :, None] + self.step).max(axis=1) + self.emission(*x), _NEVER)
+        return best
+
+    def after(self, before: np.ndarray | None, first: np.ndarray, product: np.ndarray) -> np.ndarray:
+        """The scores by state of a piece's last line, from those before it and its first line's emission."""
+        at = self.start if before is None else (before[:, None] + self.step).max(axis=0)
+        return np.maximum((np.maximum(at + first, _NEVER)[:, None] + product).max(axis=0), _NEVER)
+
+
+def _in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """rows sorted by conv and by, dealt by ranges of that order: a long conversation is many tasks'."""
+    # ranges go by the beginnings of texts, as their limits are held by the driver
+    ends = [F.substring(c, 1, 64) if dict(rows.dtypes)[c] == "string" else F.col(c) for c in ("conv", *by)]
+    return rows.repartitionByRange(*ends).sortWithinPartitions("conv", *by)
 
 
 def fit(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Model:
@@ -111,15 +150,13 @@ def fit(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
         quoted(conv_col).alias("conv"), F.coalesce(quoted(turn_col).cast("long"), F.lit(0)).alias("turn"), F.try_element_at(known, name).alias("role"),
         F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    t = t.withColumn("part", F.floor(F.col("turn") / PART_TURNS))
-    before = F.lag("role").over(Window.partitionBy("conv", "part").orderBy("turn", "role", "text"))
     n = len(ROLES)
     starts, steps = np.ones(n), np.ones((n, n))
-    for r in t.withColumn("before", before).where("role IS NOT NULL").groupBy("before", "role").count().collect():
-        if r["before"] is None:
-            starts[r["role"]] += r["count"]
+    for before, role, count in _role_pairs(t):
+        if before is None:
+            starts[role] += count
         else:
-            steps[r["before"], r["role"]] += r["count"]
+            steps[before, role] += count
     lines = t.where("role IS NOT NULL").select("role", F.posexplode(F.split("text", "\n")).alias("at", "line")).where("trim(line) <> ''")
     size = sum((F.when(F.length("line") > k, 1).otherwise(0) for k in _LENGTHS), F.lit(0))
     form = size * 2 + F.when(F.rtrim("line").endswith("?"), 1).otherwise(0)
@@ -131,23 +168,70 @@ def fit(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     return Model(starts / starts.sum(), steps / steps.sum(axis=1, keepdims=True), shapes / shapes.sum(axis=2, keepdims=True), np.minimum(turns_of / lines_of, 0.999))
 
 
+def _role_pairs(t: DataFrame) -> list[tuple[int | None, int, int]]:
+    """(role of the row before, role, how often) over all conversations; none before: first, or not known.
+
+    A task counts its range of rows and leaves its first row to the driver, which gets the rows
+    at the ends of each task's range besides the counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int | None, int], int] = {}
+        first = last = None
+        for b in batches:
+            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if last is None:
+                    first = row
+                elif row[1] is not None:
+                    pair = (last[1] if last[0] == row[0] else None, row[1])
+                    counts[pair] = counts.get(pair, 0) + 1
+                last = row
+        if first is None:
+            return
+        at = TaskContext.get().partitionId()
+        out = [(at, "pair", None, *k, v) for k, v in counts.items()] + [(at, "end", c, None, r, i) for i, (c, r) in enumerate((first, last))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, y) for x, y in zip(zip(*out), (pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["task", "kind", "conv", "before", "role", "n"]
+        )
+
+    # the text isn't needed: among rows equal in all else it doesn't change which roles follow each other
+    rows = _in_order(t.select(F.col("conv").cast("long").alias("conv"), "turn", "role"), "turn", "role").select("conv", "role")
+    found = rows.mapInArrow(run, "task int, kind string, conv long, before int, role int, n long").collect()
+    out = [(r["before"], r["role"], r["n"]) for r in found if r["kind"] == "pair"]
+    last = None
+    for r in sorted((r for r in found if r["kind"] == "end"), key=lambda r: (r["task"], r["n"])):
+        if r["n"] == 0 and r["role"] is not None:
+            out.append((last["role"] if last and last["conv"] == r["conv"] else None, r["role"], 1))
+        last = r
+    return out
+
+
 def transcript_lines(text: str) -> list[tuple[str, bool]]:
     """(line, blank before) of the lines that aren't blank."""
-    out, blank = [], False
-    for line in re.split(r"\r\n|\r|\n", text):
+    return _piece_lines(text, False)[0]
+
+
+def _piece_lines(text: str, blank: bool) -> tuple[list[tuple[str, bool]], bool]:
+    """transcript_lines of a piece that a line end follows, and whether it ends blank. blank: so did the piece before."""
+    out = []
+    for line in re.split(r"\r\n|\r|\n", text + "\n")[:-1]:
         if line.strip():
             out.append((line, blank))
             blank = False
         else:
             blank = True
-    return out
+    return out, blank
 
 
 def parse(model: Model, text: str) -> list[tuple[str, str]]:
     """(role, text) of the turns of a transcript."""
     lines = transcript_lines(text)
+    return _turns(lines, model.states(lines))
+
+
+def _turns(lines: list[tuple[str, bool]], states: list[int]) -> list[tuple[str, str]]:
     turns: list[tuple[str, list[str]]] = []
-    for (line, blank), state in zip(lines, model.states(lines)):
+    for (line, blank), state in zip(lines, states):
         role, inside = divmod(state, 2)
         if inside == BEGIN or not turns:
             turns.append((ROLES[role], [marker(line)[1].strip()]))
@@ -192,46 +276,148 @@ def _model(values: dict) -> Model:
 
 
 def _batch(rows: list[tuple[int | None, int, str]], m: Model) -> pa.RecordBatch:
-    found = [parse(m, t) for _, _, t in rows]
+    return _written([(c, p, x := transcript_lines(t), m.states(x)) for c, p, t in rows])
+
+
+def _written(rows: list[tuple[int | None, int, list[tuple[str, bool]], list[int]]]) -> pa.RecordBatch:
+    found = [_turns(x, s) for _, _, x, s in rows]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(x) for x in found], pa.int64()),
-            pa.array([len(transcript_lines(r[2])) for r in rows], pa.int64()), pa.array([",".join(r for r, _ in x) for x in found], pa.string()),
+            pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([",".join(r for r, _ in x) for x in found], pa.string()),
             pa.array([render(x) for x in found], pa.string()),
         ],
         ["conv_id", "part", "n_turns", "n_lines", "roles", "rendered"],
     )
 
 
-def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, part, n_turns, n_lines, roles, rendered: one row per conversation and part.
+def format_conversations(
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_rows: int = PIECE_ROWS,
+) -> DataFrame:
+    """conv_id, part, n_turns, n_lines, roles, rendered: one row per conversation.
 
     Each conversation's rows are written out as a plain transcript, with the role as a marker
     where there is one, and read back by the model. Rows are in the order of turn, then role,
     then text; a null turn counts as 0, a null role gives no marker, a null text an empty line.
-    Null conv_ids are one conversation. An empty table gives an empty result.
+    Null conv_ids are one conversation. An empty table gives an empty result. part is the
+    conversation's first turn number by PART_TURNS; it cuts nothing.
+
+    Rows are dealt by ranges of their order. Conversations that may go on in another task, or are
+    long, become pieces: each gives the best scores between its ends, those are chained to get
+    the scores before each piece, and from there each piece finds its states, the same as if
+    all lines had been read in one go. Only the row's own text is put together in one task.
     """
-    small_batches(turns.sparkSession)
-    shared = turns.sparkSession.sparkContext.broadcast(vars(fit(turns, conv_col, turn_col, role_col, text_col)))
+    spark = turns.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(vars(fit(turns, conv_col, turn_col, role_col, text_col)))
     t = turns.select(
         quoted(conv_col).cast("long").alias("conv"), F.coalesce(quoted(turn_col).cast("long"), F.lit(0)).alias("turn"),
         quoted(role_col).cast("string").alias("role"), quoted(text_col).cast("string").alias("text"),
     )
-    t = t.withColumn("part", F.floor(F.col("turn") / PART_TURNS))
-    t = t.repartition("conv", "part").sortWithinPartitions("conv", "part", "turn", "role", "text")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            yield from zip(*(b.column(k).to_pylist() for k in (0, 4, 2, 3)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, done = _model(shared.value), []
-        for (conv, part), group in groupby(rows(batches), key=lambda r: r[:2]):
-            done.append((conv, part, _transcript([r[2:] for r in group])))
-            if len(done) == 256:
-                yield _batch(done, m)
-                done = []
+            yield from zip(*(c.to_pylist() for c in b.columns))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(conv, part, transcript, whether it is the whole conversation) of pieces."""
+        first = True
+        last = None  # the last piece of a conversation is held back till the next one begins
+        for conv, group in groupby(read(batches), key=lambda r: r[0]):
+            if last:
+                yield *last, not first
+                first = False
+            last, whole, held, size = None, True, [], 0
+            for _, turn, role, text in group:
+                if held and (len(held) >= piece_rows or size >= PIECE_CHARS):
+                    yield conv, part, _transcript(held), False
+                    whole, first, held, size = False, False, [], 0
+                if not held:
+                    part = turn // PART_TURNS
+                held.append((role, text))
+                size += len(text or "")
+            if whole:
+                last = conv, part, _transcript(held)
+            else:
+                yield conv, part, _transcript(held), False
+        if last:
+            yield *last, False
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, task, seq = _model(shared.value), TaskContext.get().partitionId(), 0
+        done: list[tuple[int | None, int, str]] = []
+        size = 0
+        for conv, part, text, whole in cut(batches):
+            if whole:
+                done.append((conv, part, text))
+                size += len(text)
+                if len(done) == 256 or size >= PIECE_CHARS:
+                    yield _filled(_batch(done, m), _PIECE)
+                    done, size = [], 0
+                continue
+            seq += 1
+            lines, blank = _piece_lines(text, False)
+            # the first line's emission is added when it is known whether a blank line comes before it
+            firsts = [m.emission(lines[0][0], x).tobytes() for x in (lines[0][1], True)] if lines else [None, None]
+            product = m.product(lines).tobytes() if lines else None
+            yield pa.RecordBatch.from_pylist([dict(zip(_PIECE.names, (conv, part, None, None, None, None, task, seq, text, *firsts, product, blank)))], _PIECE)
         if done:
-            yield _batch(done, m)
+            yield _filled(_batch(done, m), _PIECE)
 
-    return t.mapInArrow(run, _OUT)
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _model(shared.value)
+        for _, group in groupby(read(batches), key=lambda r: r[0]):
+            before, blank = None, False
+            for _, task, seq, first, first_blank, product, ends_blank in group:
+                yield pa.RecordBatch.from_pylist([{"of_task": task, "of_seq": seq, "before": None if before is None else before.tobytes(), "blank": blank}], _BEFORE)
+                if product is not None:
+                    before = m.after(before, np.frombuffer(first_blank if blank else first, np.int64), np.frombuffer(product, np.int64).reshape(len(m.start), -1))
+                blank = ends_blank
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _model(shared.value)
+        for conv, part, task, seq, text, before, blank in read(batches):
+            lines, _ = _piece_lines(text, blank)
+            last, back, ways = m.paths(lines, None if before is None else np.frombuffer(before, np.int64)) if lines else (None, None, None)
+            row = (conv, part, task, seq, text, *(x.tobytes() if lines else None for x in (last, back, ways)))
+            yield pa.RecordBatch.from_pylist([dict(zip(_WALKED.names, row))], _WALKED)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for conv, group in groupby(read(batches), key=lambda r: r[0]):
+            found = list(group)
+            states, at = [], None
+            for *_, last, back, ways in reversed(found):
+                if last is not None:
+                    at = int(np.frombuffer(last, np.int64).argmax()) if at is None else at
+                    states.append(np.frombuffer(ways, np.uint8).reshape(len(back), -1)[at])
+                    at = back[at]
+            lines = transcript_lines("\n".join(r[4] for r in found))
+            yield _written([(conv, found[0][1], lines, np.concatenate(states[::-1]).tolist() if states else [])])
+
+    cuts = stored(_in_order(t, "turn", "role", "text").mapInArrow(pieces, _OUT + ", task int, seq long, text string, first binary, first_blank binary, product binary, ends_blank boolean"), "chat-pieces")
+    parts = cuts.where("task IS NOT NULL")
+    ends = parts.select("conv_id", "task", "seq", "first", "first_blank", "product", "ends_blank")
+    ends = ends.repartition("conv_id").sortWithinPartitions("conv_id", "task", "seq").mapInArrow(chain, "of_task int, of_seq long, before binary, blank boolean")
+    known = parts.join(ends, (F.col("task") == F.col("of_task")) & (F.col("seq") == F.col("of_seq")))
+    walked = known.select("conv_id", "part", "task", "seq", "text", "before", "blank")
+    walked = walked.mapInArrow(walk, "conv_id long, part long, task int, seq long, text string, last binary, back binary, ways binary")
+    joined = walked.repartition("conv_id").sortWithinPartitions("conv_id", "task", "seq").mapInArrow(join, _OUT)
+    return cuts.where("task IS NULL").select(*joined.columns).unionByName(joined)
+
+
+_KINDS = {"l": pa.int64(), "i": pa.int32(), "s": pa.string(), "b": pa.binary(), "?": pa.bool_()}
+
+
+def _schema(names: str, kinds: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[k]) for n, k in zip(names.split(), kinds)])
+
+
+_PIECE = _schema("conv_id part n_turns n_lines roles rendered task seq text first first_blank product ends_blank", "llllssilsbbb?")
+_BEFORE = _schema("of_task of_seq before blank", "ilb?")
+_WALKED = _schema("conv_id part task seq text last back ways", "llilsbbb")
+
+
+def _filled(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """batch with the columns of schema that it hasn't got, all null."""
+    none = [pa.nulls(batch.num_rows, f.type) for f in schema if f.name not in batch.schema.names]
+    return pa.RecordBatch.from_arrays([*batch.columns, *none], schema=schema)

@@ -249,6 +249,35 @@ def test_messy_conversations(spark):
     assert [r.roles for r in chat.format_transcripts(raw, model).collect()] == ["user,assistant", "", ""]
 
 
+def test_long_conversations_are_not_cut(spark):
+    rng = np.random.default_rng(5)
+    texts = ["yes", "and why?", "", "\n", "it goes on\r", "\n\na longer line that is said about a thing\nand another", "User: quoted", "x" * 90 + "?"]
+    roles = ["user", "assistant", "system", None, None, "", "Bot"]
+    rows = [(c, t, roles[rng.integers(7)], texts[rng.integers(8)]) for c, n in ((1, 9), (2, 60), (None, 30), (4, 1)) for t in range(4090, 4090 + n)]
+    rows += [(5, None, None, f"{i % 7} tied") for i in range(40)] + [(6, 4095, "user", "first"), (6, 4096, None, "and on")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    by = {}
+    for c, t, r, x in sorted(rows, key=lambda r: (r[0] or -1, r[1] or 0, r[2] is not None, r[2] or "", r[3])):
+        by.setdefault(c, []).append((r, x))
+    raw = spark.createDataFrame([(c, chat._transcript(v)) for c, v in by.items()], "conv_id long, text string")
+    fields = lambda r: (r.n_turns, r.n_lines, r.roles, r.rendered)
+    want = {r.conv_id: fields(r) for r in chat.format_transcripts(raw, chat.fit(d)).collect()}
+    assert want[6][2] == "user"
+    known, steps = {"system": 0, "user": 1, "assistant": 2, "bot": 2}, {}
+    for c in by:
+        ids = [r for _, r in sorted((t or 0, known.get((r or "").lower(), -1)) for k, t, r, _ in rows if k == c)]
+        for a, b in zip([-1, *ids], ids):
+            if b >= 0:
+                steps[a, b] = steps.get((a, b), 0) + 1
+    step = np.array([[1 + steps.get((a, b), 0) for b in range(3)] for a in range(3)])
+    assert np.allclose(chat.fit(d).step[0::2, 0::2] / chat._UNIT - np.log(step / step.sum(axis=1, keepdims=True)), chat.fit(d).step[0::2, :1] / chat._UNIT - np.log(step[:, :1] / step.sum(axis=1, keepdims=True)), atol=1e-6)
+    got = chat.format_conversations(d).collect()
+    assert len(got) == len(by) and {r.conv_id: fields(r) for r in got} == want
+    for n in (1, 3):
+        got = chat.format_conversations(d, piece_rows=n).collect()
+        assert len(got) == len(by) and {r.conv_id: fields(r) for r in got} == want
+
+
 # ---- secrets
 
 
