@@ -545,11 +545,10 @@ SELECT doc_id::VARCHAR AS doc_id, greatest(ceil(len(string_split(text, chr(10)))
 FROM documents WHERE len(string_split(text, chr(10))) <= 24 * 50
 """)
 def pdf_text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as PDF files, parsed again: pages, and characters shown on them (all of up to 24 pages)."""
+    """Documents as PDF files, parsed again: pages, and characters shown on all of them. The SQL covers those of up to 24 pages."""
     from leafmill.sources import pdf
 
-    f = pdf.facts(_made(spark, sf_dir))
-    return f.where(F.col("page_count") <= scoring.SAMPLED_PAGES).select("doc_id", "page_count", "text_chars")
+    return pdf.facts(_made(spark, sf_dir), pages=None).select("doc_id", "page_count", "text_chars")
 
 
 @_query(None)

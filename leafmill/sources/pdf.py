@@ -95,15 +95,15 @@ def _page_images(doc: Document, res: dict) -> int:
     return len(found)
 
 
-def sampled(n: int, size: int = scoring.SAMPLED_PAGES) -> list[int]:
-    """Indexes of an even sample of n pages; halves round up."""
-    return list(range(n)) if n <= size else sorted({int(i * (n - 1) / (size - 1) + 0.5) for i in range(size)})
+def sampled(n: int, size: int | None = scoring.SAMPLED_PAGES) -> list[int]:
+    """Indexes of an even sample of n pages, or of all; halves round up."""
+    return list(range(n)) if size is None or n <= size else sorted({int(i * (n - 1) / (size - 1) + 0.5) for i in range(size)})
 
 
-def _signals(doc: Document) -> dict[str, int]:
+def _signals(doc: Document, size: int | None) -> dict[str, int]:
     pages = doc.pages()
     out = dict.fromkeys(_SIGNALS, 0)
-    for i in sampled(len(pages)):
+    for i in sampled(len(pages), size):
         _, page, up = pages[i]
         found = pdf_rewrite.resources_of(doc, page, up)
         res = found[1] if found else {}
@@ -122,8 +122,8 @@ def _signals(doc: Document) -> dict[str, int]:
     return out
 
 
-def facts(files: DataFrame, password: str | None = None) -> DataFrame:
-    """One row per file: signals of sampled pages and the images' facts, or an error."""
+def facts(files: DataFrame, password: str | None = None, pages: int | None = scoring.SAMPLED_PAGES) -> DataFrame:
+    """One row per file: signals of sampled pages (None: of all) and the images' facts, or an error."""
 
     def one(ident: str, data: bytes | None) -> dict:
         doc = _opened(data, password)
@@ -132,7 +132,7 @@ def facts(files: DataFrame, password: str | None = None) -> DataFrame:
             return row | {"error": doc}
         masks, aliases = pdf_rewrite.mask_uses(doc), pdf_rewrite.colour_aliases(doc)
         found = [pdf_rewrite.image_facts(doc, r, masks, aliases) for r, o in sorted(doc.objects.items()) if pdf_rewrite.is_image(o)]
-        return row | {"page_count": len(doc.pages()), "unlocked": doc.unlocked, "images": found} | _signals(doc)
+        return row | {"page_count": len(doc.pages()), "unlocked": doc.unlocked, "images": found} | _signals(doc, pages)
 
     return _by_file(files, one, FACTS)
 

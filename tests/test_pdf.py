@@ -482,3 +482,12 @@ def test_jbig2_generic_regions(template):
             pass
     with pytest.raises(ValueError, match="segment"):
         jbig2.decode(segment(0, 0, b""), 45, 30)
+
+
+def test_text_signals_of_long_documents(spark, tmp_path):
+    from leafmill.plans import registry
+
+    texts = {1: "a b\n" * 30, 2: "\n".join(f"line {i}" for i in range(1201)), 3: "xy\n" * 4000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.page_count, r.text_chars) for r in registry.pdf_text_signals(spark, str(tmp_path)).collect()}
+    assert got == {str(k): (-(-len(t.split("\n")) // 50), len("".join(t.split()))) for k, t in texts.items()}
