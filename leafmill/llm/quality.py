@@ -153,7 +153,7 @@ def fit(
     small_batches(spark)
     good = labels.select(quoted(label_id_col).cast("long").alias("id"), quoted(label_col).alias("y")).where(~held_out(F.col("id")) & F.col("id").isNotNull())
     good = good.groupBy("id").agg(F.min("y").alias("y")).where("y = 1")
-    ids = docs.select(quoted(id_col).cast("long").alias("id")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    ids = docs.select(quoted(id_col).cast("long").alias("id")).where(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
     by = F.md5(F.concat(F.lit("s"), F.col("id").cast("string")))
     few = [x.select("id").orderBy(by, "id").limit(sample).select("id", F.lit(k).alias("part")) for k, x in enumerate((good, ids))]
     wanted: dict[int, list[int]] = {}
@@ -166,11 +166,13 @@ def fit(
         for b in batches:
             hit = [i for i, x in enumerate(b.column(0).to_pylist()) if x in parts]
             rows = b.take(pa.array(hit, pa.int64()))
-            found = [(p, measures(t)) for x, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()) for p in parts[x]]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([m for _, m in found], pa.list_(pa.float64()))], ["part", "m"])
+            found = [(p, x, h, m) for x, t, h in zip(*(rows.column(k).to_pylist() for k in range(3))) for m in [measures(t)] for p in parts[x]]
+            kinds = (pa.int32(), pa.int64(), pa.string(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], ["part", "id", "h", "m"])
 
-    texts = docs.select(quoted(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = texts.mapInArrow(picked, "part int, m array<double>").limit(4 * sample).collect()  # repeated ids may add rows
+    texts = docs.select(quoted(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.md5(text_of(text_col)).alias("h"))
+    # of the rows of an id, that with the least hash of its text
+    rows = texts.mapInArrow(picked, "part int, id long, h string, m array<double>").groupBy("part", "id").agg(F.min(F.struct("h", "m"))["m"].alias("m")).select("part", "m").collect()
     width = len(measures(""))
     pos, unl = (np.array([r["m"] for r in rows if r["part"] == k], float).reshape(-1, width) for k in (0, 1))
     # the order rows arrive in is not fixed; the model must be

@@ -162,6 +162,15 @@ def test_quality_of_messy_rows(spark, messy, nothing):
     assert quality.score_documents(nothing, labels).count() == 0
 
 
+def test_quality_fit_of_repeated_ids(spark):
+    once = [(i, f"text number {i} " + "with some more words " * (i % 9)) for i in range(200)]
+    docs = spark.createDataFrame(once, "doc_id long, text string")
+    many = spark.createDataFrame(once + once[:40] * 25, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int")
+    want, got = (quality.fit(d, labels, sample=60).plain() for d in (docs, many))
+    assert str(want) == str(got)
+
+
 def test_prior_estimate():
     draw = np.random.default_rng(1)
     pos = draw.normal(2, 1, (2000, 24))
