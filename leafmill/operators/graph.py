@@ -48,16 +48,16 @@ def unambiguous(names: DataFrame, doc: list[str], name: str, value: str) -> Data
     return per.where(F.col("value") == F.col("other")).drop("other")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, doc: list[str], hops: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, doc: list[str], hops: int | None = None) -> DataFrame:
     """doc, node, depth: nodes that roots reach over edges (src, dst), with the fewest hops.
 
-    A frontier a round, until none is new or hops is reached; each round's state is written to
+    A frontier a round, until none is new or hops, if given, is reached; each round's state is written to
     the session's checkpoint folder, if it has one, to keep the plan short.
     """
     spark = edges.sparkSession
     seen = roots.select(*doc, "node").distinct().withColumn("depth", F.lit(0))
     front, depth = seen, 0
-    while depth < hops:
+    while hops is None or depth < hops:
         depth += 1
         step = edges.join(front.withColumnRenamed("node", "src").drop("depth"), [*doc, "src"]).select(*doc, F.col("dst").alias("node")).distinct()
         front = step.join(seen, [*doc, "node"], "left_anti").withColumn("depth", F.lit(depth))

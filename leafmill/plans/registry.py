@@ -279,10 +279,10 @@ WITH RECURSIVE e AS (
 SELECT node, min(depth) AS depth FROM r GROUP BY node
 """)
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects that a root reaches over references, with the fewest hops, up to six."""
+    """Objects that a root reaches over references, with the fewest hops. The SQL goes up to six."""
     e = _read(spark, sf_dir, "lineitem").select(F.lit(0).alias("doc"), F.col("l_suppkey").alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 97).alias("dst")).distinct()
     roots = spark.range(1).select(F.lit(0).alias("doc"), F.lit(1).cast("long").alias("node"))
-    return graph.reachable(e, roots, ["doc"], hops=6).select("node", "depth")
+    return graph.reachable(e, roots, ["doc"]).select("node", "depth")
 
 
 @_query("""

@@ -204,3 +204,13 @@ def test_runs_can_be_called_off(spark):
     assert runs.cancel("one") and not runs.cancel("two")
     t.join(25)
     assert found == ["cancelled"] and runs.run("one", lambda: 5) == 5 and not runs.under_way()
+
+
+def test_reachable_goes_on_until_nothing_is_new(spark, tmp_path):
+    from leafmill.plans import registry
+
+    chain = [1]
+    while len(chain) < 10:
+        chain.append((7 * chain[-1] + 1) % 97)
+    spark.createDataFrame([(x, 1) for x in chain[:-1]], "l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted((r.depth, r.node) for r in registry.reachable_objects(spark, str(tmp_path)).collect()) == list(enumerate(chain))
