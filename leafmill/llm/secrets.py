@@ -31,7 +31,9 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nr])*?)-----END \1-----")
+#: Line ends written out, as in JSON and environment strings.
+_ESCAPED = re.compile(r"\\+[nr]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
@@ -43,6 +45,8 @@ _OIDS = {
     bytes.fromhex("2a864886f70d010101"): "rsa", bytes.fromhex("2a8648ce3d0201"): "ec", bytes.fromhex("2b6570"): "ed25519",
     bytes.fromhex("2b656e"): "x25519", bytes.fromhex("2a8648ce380401"): "dsa",
 }
+#: How those of password based encryption begin (PKCS #5, PKCS #12).
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _SIGNING = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA", "none"}
 #: Levels of nesting that are followed.
 _DEPTH = 12
@@ -85,7 +89,7 @@ def _first_oid(data: bytes, nodes: list | None) -> str | None:
 
 def _der_kind(data: bytes) -> str | None:
     """private_key, public_key or certificate, if data is just one such structure."""
-    if len(data) < 40 or data[0] != 0x30:
+    if len(data) < 35 or data[0] != 0x30:  # the shortest: SEC 1 of 28 bytes, without parameters
         return None
     top = _der(data, 0, len(data))
     if not top or len(top) != 1:
@@ -96,6 +100,8 @@ def _der_kind(data: bytes) -> str | None:
         return "private_key"  # PKCS #1: version, modulus, exponents, primes
     if len(tags) >= 3 and tags[:3] == [0x02, 0x30, 0x04] and _first_oid(data, kids[1][3]):
         return "private_key"  # PKCS #8
+    if tags == [0x30, 0x04] and kids[0][3] and kids[0][3][0][0] == 0x06 and data[kids[0][3][0][1] : kids[0][3][0][2]].startswith(_PBE):
+        return "private_key"  # PKCS #8, encrypted
     if len(tags) >= 2 and tags[:2] == [0x02, 0x04] and kids[1][2] - kids[1][1] in (28, 32, 48, 66):
         return "private_key"  # SEC 1
     if len(tags) == 6 and all(t == 0x02 for t in tags):
@@ -178,7 +184,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            for data in _decoded("".join(m[2].split())):
+            for data in _decoded("".join(_ESCAPED.sub(" ", m[2]).split())):
                 if kind := _structure(data):
                     out.append((m.start(), m.end(), kind))
     inside = [(a, b) for a, b, _ in out]

@@ -306,6 +306,19 @@ def test_structures_are_confirmed():
     assert sorted(kinds) == sorted([("private_key", pem), ("public_key", base64.b64encode(spki).decode()), ("signed_token", token), ("private_key", rsa.hex())])
 
 
+def test_more_structures_are_confirmed():
+    pbes2 = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, der(0x30, der(6, b"\x2a\x03"))))
+    keys = [der(0x30, pbes2, der(4, b"e" * 80)), der(0x30, der(2, b"\1"), der(4, b"k" * 32)), der(0x30, der(2, b"\1"), der(4, b"k" * 28))]
+    assert [len(k) for k in keys[1:]] == [39, 35]
+    for key in keys:
+        lines = ["-----BEGIN PRIVATE KEY-----", *base64.encodebytes(key).decode().split(), "-----END PRIVATE KEY-----"]
+        for end in ("\n", "\\n", "\\r\\n", "\\\\n"):
+            assert secrets.confirmed_spans(f'"{end.join(lines)}{end}"') == [(1, 1 + len(end.join(lines)), "private_key")]
+        assert [k for *_, k in secrets.confirmed_spans(f"x {key.hex()} y")] == ["private_key"]
+    digest_info = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")), der(5)), der(4, b"h" * 32))
+    assert secrets.confirmed_spans(digest_info.hex()) == []
+
+
 def test_base_spans():
     text = "😀 Token = 'abc123', api-key: x, API_KEY:\"ABCDEF\" ſecret=123456 password==xyzxyz AKIA" + "A" * 16 + " AKIAB " + "0" * 24 + "f " + "0" * 23
     got = [(k, text[a:b]) for a, b, k in secrets.base_spans(text)]
