@@ -27,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bloom import bloom, drop_rows, maybe
@@ -221,9 +221,9 @@ def _dealt(members: DataFrame, group: str, size: str, ident: str, block: int) ->
 
 
 def text_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key, n_shingles, sig: stored, one row per row of docs."""
+    """doc_id, key, n_shingles, sig, mark: stored, one row per row of docs; mark: a hash of id and text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), _mark(id_col, text_col).alias("mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,10 +231,15 @@ def text_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sig, counts = signatures(texts)
             keys, short = _keys(texts)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), keys, short, pa.array(counts, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "key", "short", "n_shingles", "sig"]
+                [b.column(0), keys, short, pa.array(counts, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), b.column(2)],
+                ["doc_id", "key", "short", "n_shingles", "sig", "mark"],
             )
 
-    return stored(rows.mapInArrow(run, "doc_id long, key binary, short long, n_shingles long, sig binary"), "signatures")
+    return stored(rows.mapInArrow(run, "doc_id long, key binary, short long, n_shingles long, sig binary, mark long"), "signatures")
+
+
+def _mark(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(quoted(id_col).cast("long"), text_of(text_col))
 
 
 def _keys(texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
@@ -400,31 +405,46 @@ def similar_classes(
     n_links: how many different texts are similar to it; class_id: the least text_id that it
     reaches over links. Null and blank texts have no words: they are copies of each other and
     have no links. If all rows of a text have a null id, its text_id is a negative number made
-    from the text; rows that share an id but not the text are one node of the graph of links.
+    from the text. Different texts have links of their own even where they share an id.
+    """
+    rows, named = _named_texts(docs, id_col, text_col, t, tolerance, block_signatures, block_texts)
+    return rows.select("doc_id", "key").join(named, F.col("key") == F.col("of")).select("doc_id", "text_id", "class_id", "n_links", "n_copies")
+
+
+def _named_texts(docs: DataFrame, id_col: str, text_col: str, t: Fraction, tolerance: float, block_signatures: int, block_texts: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of text_table; of (a key), text_id, class_id, n_links, n_copies, chosen: a row per text.
+
+    chosen: of the class's texts with the least text_id the one with the least key.
     """
     rows = text_table(docs, id_col, text_col)
     texts = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.max("n_shingles").alias("n_shingles"), F.first("short").alias("short"), F.first("sig").alias("sig"))
     made = -F.abs(F.shiftright(F.xxhash64("key"), 1)) - 1
-    texts = stored(texts.withColumn("rep", F.coalesce("first_id", made)), "texts")
+    # ids may be shared by different texts, so nodes have numbers of their own; storing fixes them
+    texts = stored(texts.withColumns({"rep": F.monotonically_increasing_id(), "text_id": F.coalesce("first_id", made)}), "texts")
     clusters = stored(_candidate_clusters(texts, t, tolerance, block_signatures), "clusters")
     links = _verified(docs, texts, clusters, id_col, text_col, t, block_texts)
     linked = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
     roots = stored(components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))), "classes")
     named = (
-        texts.select(F.col("key").alias("of"), F.col("rep").alias("text_id"), "n_copies")
-        .join(linked.withColumnRenamed("rep", "l"), F.col("text_id") == F.col("l"), "left")
-        .join(roots, F.col("text_id") == F.col("node"), "left")
-        .select("of", "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "text_id").alias("class_id"))
+        texts.select(F.col("key").alias("of"), "rep", "text_id", "n_copies")
+        .join(linked.withColumnRenamed("rep", "l"), F.col("rep") == F.col("l"), "left")
+        .join(roots, F.col("rep") == F.col("node"), "left")
+        .select("of", "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "root")
     )
-    named = stored(named, "named-texts")
-    return rows.select("doc_id", "key").join(named, F.col("key") == F.col("of")).select("doc_id", "text_id", "class_id", "n_links", "n_copies")
+    named = stored(named, "linked-texts")
+    least = named.where("root IS NOT NULL").groupBy(F.col("root").alias("class")).agg(F.min(F.struct("text_id", "of")).alias("least"))
+    named = named.join(least, F.col("root") == F.col("class"), "left").select(
+        "of", "text_id", "n_copies", "n_links", F.coalesce("least.text_id", "text_id").alias("class_id"), F.coalesce(F.col("least.of") == F.col("of"), F.lit(True)).alias("chosen")
+    )
+    return rows, stored(named, "named-texts")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Fraction = SIMILAR) -> DataFrame:
-    """The rows of docs whose id names their class, with all their columns and nothing else.
+    """The rows of docs whose id and text name their class, with all their columns and nothing else.
 
-    Rows without an id are never dropped. Rows that share an id stay or go together, so rows
-    repeated with id and text should have been made one before.
+    Rows without an id are never dropped. Rows that share id and text stay or go together, so
+    those should have been made one before; rows that share only the id are judged each by its text.
     """
-    found = stored(similar_classes(docs, id_col, text_col, t).where("doc_id <> class_id").select("doc_id").distinct(), "similar-ids")
-    return drop_rows(docs, quoted(id_col).cast("long"), found, "doc_id")
+    rows, named = _named_texts(docs, id_col, text_col, t, TOLERANCE, BLOCK_SIGNATURES, BLOCK_TEXTS)
+    found = rows.select("doc_id", "key", "mark").join(named, F.col("key") == F.col("of")).where("doc_id IS NOT NULL AND NOT (chosen AND doc_id = text_id)")
+    return drop_rows(docs, _mark(id_col, text_col), stored(found.select("mark").distinct(), "similar-rows"), "mark")

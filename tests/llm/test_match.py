@@ -151,3 +151,14 @@ def test_signatures_estimate_similarity():
     assert counts.tolist() == [396, 396, 0, 1]
     assert abs((sig[0] == sig[1]).mean() - 356 / 436) < 0.15
     assert len(LONG) > 50_000
+
+
+def test_texts_that_share_an_id(spark):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = lambda w: " ".join(w[:-1] + ["other"])
+    lone = " ".join(f"c{i}" for i in range(60))
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (5, near(a)), (5, near(b)), (5, lone), (6, lone + " x"), (7, lone + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text_id, r.class_id, r.n_links, r.n_copies) for r in ng.similar_classes(docs).collect())
+    assert got == [(1, 1, 1, 1, 1), (2, 2, 2, 1, 1), (5, 5, 1, 1, 1), (5, 5, 2, 1, 1), (5, 5, 5, 1, 1), (6, 6, 5, 1, 2), (7, 6, 5, 1, 2)]
+    assert sorted((r.doc_id, r.text) for r in ng.keep_one_of_each(docs).collect()) == [rows[0], rows[1], rows[4]]
