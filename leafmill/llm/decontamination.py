@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bloom import drop_rows
@@ -351,22 +351,34 @@ def matches(
     return out
 
 
+def _n_hit() -> Column:
+    return F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + r[1] - r[0])
+
+
+def _contaminated(n_hit: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated, from contamination()."""
-    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + r[1] - r[0])
-    out = found.withColumn("n_hit", hit)
-    return out.select(
+    return found.withColumn("n_hit", _n_hit()).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        _contaminated(F.col("n_hit")).alias("contaminated"),
     )
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns and nothing else.
+def keep_clean(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW
+) -> DataFrame:
+    """The rows of docs without passages of the items, with all their columns and nothing else.
 
+    A row goes if window words or more of it in a row are inside matches, however long its text
+    is, or if it is contaminated as digest() says (which matters for items of fewer words).
     Rows go by a hash of id and text, so that rows which share an id are judged each by its text.
     """
     key = F.xxhash64(quoted(id_col), text_of(text_col))
     rows = docs.select(key.alias("doc_id"), text_of(text_col).alias("text"))
-    found = digest(contamination(rows, items, item_id_col=item_id_col, item_text_col=item_text_col))
-    return drop_rows(docs, key, stored(found.where("contaminated").select("doc_id"), "contaminated"), "doc_id")
+    found = contamination(rows, items, item_id_col=item_id_col, item_text_col=item_text_col, window=window)
+    passage = F.exists("runs", lambda r: r[1] - r[0] >= window)
+    bad = found.where(passage | _contaminated(_n_hit())).select("doc_id")
+    return drop_rows(docs, key, stored(bad, "contaminated"), "doc_id")
