@@ -126,6 +126,58 @@ def test_similar_classes_of_a_large_group(spark, blocks):
     check_classes(ng.similar_classes(docs, block_signatures=blocks[0], block_texts=blocks[1]).collect(), rows)
 
 
+def near_copies(n, words, edits, seed):
+    """Texts of that many words that differ from one by up to so many edits; at the ends, some that differ more."""
+    import random
+
+    draw = random.Random(seed)
+    rows = []
+    for i in range(n):
+        w = [f"w{k}" for k in range(words)]
+        for _ in range(draw.randrange(edits + 1) if i % 10 else draw.randrange(words // 4)):
+            w[draw.randrange(words)] = f"x{draw.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "words", "edits", "block"), [(150, 80, 3, 8), (120, 60, 8, 5), (64, 5, 2, 4)])
+def test_large_groups_against_brute_force(spark, monkeypatch, n, words, edits, block):
+    monkeypatch.setattr(ng, "MEET", 1)
+    monkeypatch.setattr(ng, "LEADERS", 2)
+    monkeypatch.setattr(ng, "PIVOT", 3)
+    rows = near_copies(n, words, edits, n)
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").repartition(5)
+    check_classes(ng.similar_classes(docs, block_signatures=block, block_texts=block).collect(), rows + rows[:5])
+
+
+def test_rows_of_a_large_group_grow_with_its_texts(spark, monkeypatch):
+    """Rows that are written, on the way, for a group of near copies of twice and four times the size."""
+    counts = {}
+    for n in (400, 800, 1600):
+        total = 0
+
+        def counted(df, label, plain=ng.stored):
+            nonlocal total
+            out = plain(df, label)
+            total += out.count()
+            return out
+
+        def dealt(df, odd, n_odd, n_even, block, plain=ng._dealt):
+            nonlocal total
+            out = plain(df, odd, n_odd, n_even, block)
+            total += out.count()
+            return out
+
+        monkeypatch.setattr(ng, "stored", counted)
+        monkeypatch.setattr(ng, "_dealt", dealt)
+        docs = spark.createDataFrame([(i, t) for i, t in near_copies(n, 120, 2, 1) if i % 10], "doc_id long, text string")
+        got = ng.similar_classes(docs, block_signatures=32, block_texts=32)
+        assert {r.class_id for r in got.collect()} == {1}
+        monkeypatch.undo()
+        counts[n] = total
+    assert counts[800] < 2.3 * counts[400] and counts[1600] < 2.3 * counts[800]
+
+
 def test_keep_one_of_each(spark, messy):
     kept = ng.keep_one_of_each(messy)
     assert kept.columns == messy.columns
