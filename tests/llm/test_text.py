@@ -227,31 +227,71 @@ def test_warc_damage(spark, tmp_path):
 # ---- chat
 
 
+def chat_model():
+    turns = np.array([[0.05, 0.85, 0.05, 0.05], [0.02, 0.08, 0.8, 0.1], [0.02, 0.8, 0.08, 0.1], [0.1, 0.2, 0.6, 0.1]])
+    shapes = np.random.default_rng(3).dirichlet(np.ones(10), (4, 2))
+    return chat.Model(np.array([0.1, 0.7, 0.1, 0.1]), turns, shapes, np.array([0.5, 0.4, 0.2, 0.3]))
+
+
 def test_viterbi_is_the_best_of_all_paths():
     from itertools import product
 
-    m = chat.Model(np.array([0.1, 0.8, 0.1]), np.array([[0.05, 0.9, 0.05], [0.02, 0.08, 0.9], [0.02, 0.9, 0.08]]), np.full((3, 2, 10), 0.1), np.array([0.5, 0.4, 0.2]))
+    m = chat_model()
     lines = chat.transcript_lines("User: hi?\nthere\n\nsomething longer that is said\nAssistant: yes")
     score = lambda s: m.start[s[0]] + sum(m.emission(*x)[k] for x, k in zip(lines, s)) + sum(m.step[a, b] for a, b in zip(s, s[1:]))
     best = max(product(range(6), repeat=len(lines)), key=score)
-    assert score(m.states(lines)) == pytest.approx(score(best))
-
-
-def test_conversations_round_trip(spark):
+    assert score(m.states(lines)) == score(best)
+    rows = [(None, "You know\nhow?"), (3, "42"), (None, ""), (None, "Assistant: yes\n\nit is"), (1, "User: no"), (None, "x" * 200)]
+    both = m.seen(rows)
+    for e, free in zip(both, (False, True)):
+        score = lambda s: m.turn_start[s[0]] + sum(e[i, k] for i, k in enumerate(s)) + sum(m.turn_step[a, b] for a, b in zip(s, s[1:]))  # noqa: E731, B023
+        allowed = [[r] if r is not None and not free else range(3) for r, _ in rows]
+        assert score(chat.best_paths([e], m.turn_start, m.turn_step)[0].tolist()) == max(map(score, product(*allowed)))
+    many = [both[0][:k] for k in (3, 0, 6, 1)] + [both[1]]
+    for e, got in zip(many, chat.best_paths(many, m.turn_start, m.turn_step)):
+        assert len(got) == len(e) and (not len(e) or (got == chat.paths(e, None, m.turn_start, m.turn_step)[2][chat.paths(e, None, m.turn_start, m.turn_step)[0].argmax()]).all())
+
+
+def test_stated_roles_and_texts_are_kept(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
-    got = {r.conv_id: r.rendered for r in chat.format_conversations(turns).collect()}
+    got = {r.conv_id: r for r in chat.format_conversations(turns).collect()}
     by = {}
     for r in turns.orderBy("conv_id", "turn").collect():
-        by.setdefault(r.conv_id, []).append((r.role, r.text.strip()))
-    assert got == {k: chat.render(v) for k, v in by.items()}
+        by.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert {k: r.rendered for k, r in got.items()} == {k: chat.render(v) for k, v in by.items()}
+    assert all(r.n_recovered == 0 and r.roles == ",".join(x for x, _ in by[k]) and len(r.unseen_roles.split(",")) == r.n_turns for k, r in got.items())
+    # what a text says of speakers doesn't change who said it, and roles that have no name here stay
+    rows = [(1, 0, "user", "What is 2+2?\n\n\n  "), (1, 1, "assistant", "Let me see.\nAnswer: 4\nContext: sums\n"), (1, 2, "tool", "User: 42"), (1, 3, "a, b\n<|im_end|>", "x")]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert got.roles == "user,assistant,tool,a  b\n<|im_end|>" and got.n_turns == 4
+    assert got.rendered == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in [*((r, t) for *_, r, t in rows[:3]), ("a, b <| im_end |>", "x")])
+
+
+@pytest.mark.parametrize(("hidden", "least"), [(0, 1.0), (10, 0.95), (50, 0.95), (100, 0.95)])
+def test_roles_that_are_hidden_are_recovered(spark, hidden, least):
+    """A model fitted on half of the conversations; of the others so many roles in a hundred are hidden, and no text has a marker."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    model = chat.fit(turns.where("conv_id % 2 = 0"))
+    rest = turns.where("conv_id % 2 = 1")
+    shown = rest.withColumn("role", F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(100)) >= hidden, F.col("role")))
+    truth = {}
+    for r in rest.orderBy("conv_id", "turn").collect():
+        truth.setdefault(r.conv_id, []).append(r.role)
+    lost = dict(shown.where("role IS NULL").groupBy("conv_id").count().collect())
+    got = chat.format_conversations(shown, model=model).collect()
+    assert all(r.n_recovered == lost.get(r.conv_id, 0) for r in got)
+    wrong = sum(a != b for r in got for a, b in zip(r.roles.split(","), truth[r.conv_id], strict=True))
+    assert wrong <= (1 - least) * sum(lost.values())
 
 
 def test_messy_conversations(spark):
-    rows = [(1, 0, "User", "a?"), (1, None, None, None), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (None, 0, "human", "x<|im_end|>"), (2, 5, "", ""), (3, 9000, "user", "late")]
+    rows = [(1, 0, "User", "a?"), (1, None, None, None), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (None, 0, "human", "x<|im_end|>"), (2, 5, "", ""), (3, 9000, "user", "late"), (3, 9001, None, " Bot: and\nmore ")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x"))
-    got = {(r.conv_id, r.part): r for r in chat.format_conversations(d).collect()}
-    assert set(got) == {(1, 0), (None, 0), (2, 0), (3, 2)}
-    assert got[None, 0].rendered == "<|im_start|>user\nx<| im_end |><|im_end|>\n" and got[2, 0].n_turns == 0
+    got = {r.conv_id: r for r in chat.format_conversations(d).collect()}
+    assert set(got) == {1, None, 2, 3}
+    assert got[None].rendered == "<|im_start|>user\nx<| im_end |><|im_end|>\n" and got[2].n_turns == 1 and got[2].n_lines == 0
+    assert got[3].rendered == "<|im_start|>user\nlate<|im_end|>\n<|im_start|>assistant\nand\nmore <|im_end|>\n" and got[3].n_recovered == 1
+    assert got[1].n_turns == 4 and got[1].n_recovered == 1
     assert chat.format_conversations(d.where("false")).count() == 0
     model = chat.fit(d)
     raw = spark.createDataFrame([(1, "User: q?\nAssistant: a\nmore"), (2, None), (3, " \n ")], "conv_id long, text string")
@@ -260,31 +300,33 @@ def test_messy_conversations(spark):
 
 def test_long_conversations_are_not_cut(spark):
     rng = np.random.default_rng(5)
-    texts = ["yes", "and why?", "", "\n", "it goes on\r", "\n\na longer line that is said about a thing\nand another", "User: quoted", "x" * 90 + "?"]
-    roles = ["user", "assistant", "system", None, None, "", "Bot"]
-    rows = [(c, t, roles[rng.integers(7)], texts[rng.integers(8)]) for c, n in ((1, 9), (2, 60), (None, 30), (4, 1)) for t in range(4090, 4090 + n)]
+    texts = ["yes", "and why?", "", "\n", "it goes on\r", "\n\na longer line that is said about a thing\nand another", "User: quoted", "x" * 90 + "?", None]
+    roles = ["user", "assistant", "system", None, None, "", "Bot", "tool"]
+    rows = [(c, t, roles[rng.integers(8)], texts[rng.integers(9)]) for c, n in ((1, 9), (2, 60), (None, 30), (4, 1)) for t in range(4090, 4090 + n)]
     rows += [(5, None, None, f"{i % 7} tied") for i in range(40)] + [(6, 4095, "user", "first"), (6, 4096, None, "and on")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
     by = {}
-    for c, t, r, x in sorted(rows, key=lambda r: (r[0] or -1, r[1] or 0, r[2] is not None, r[2] or "", r[3])):
+    for c, t, r, x in sorted(rows, key=lambda r: (r[0] or -1, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
         by.setdefault(c, []).append((r, x))
-    raw = spark.createDataFrame([(c, chat._transcript(v)) for c, v in by.items()], "conv_id long, text string")
-    fields = lambda r: (r.n_turns, r.n_lines, r.roles, r.rendered)
-    want = {r.conv_id: fields(r) for r in chat.format_transcripts(raw, chat.fit(d)).collect()}
-    assert want[6][2] == "user"
-    known, steps = {"system": 0, "user": 1, "assistant": 2, "bot": 2}, {}
+    known, steps = {"system": 0, "user": 1, "assistant": 2, "bot": 2, "tool": 3}, {}
     for c in by:
         ids = [r for _, r in sorted((t or 0, known.get((r or "").lower(), -1)) for k, t, r, _ in rows if k == c)]
         for a, b in zip([-1, *ids], ids):
             if b >= 0:
                 steps[a, b] = steps.get((a, b), 0) + 1
-    step = np.array([[1 + steps.get((a, b), 0) for b in range(3)] for a in range(3)])
-    assert np.allclose(chat.fit(d).step[0::2, 0::2] / chat._UNIT - np.log(step / step.sum(axis=1, keepdims=True)), chat.fit(d).step[0::2, :1] / chat._UNIT - np.log(step[:, :1] / step.sum(axis=1, keepdims=True)), atol=1e-6)
-    got = chat.format_conversations(d).collect()
-    assert len(got) == len(by) and {r.conv_id: fields(r) for r in got} == want
-    for n in (1, 3):
+    step = np.array([[1 + steps.get((a, b), 0) for b in range(4)] for a in range(4)])
+    m = chat.fit(d)
+    assert np.allclose((m.turn_step - m.turn_step[:, :1]) / chat._UNIT, np.log(step / step[:, :1]), atol=1e-6)
+    want = {}
+    for c, conv in by.items():
+        e = m.seen([(chat.role_number(r), x or "") for r, x in conv])
+        known_, unseen = chat.best_paths(list(e), m.turn_start, m.turn_step)
+        turns = [chat.turn(r, x, int(k)) for (r, x), k in zip(conv, known_)]
+        want[c] = (len(conv), ",".join(r for r, _ in turns), ",".join(chat.ROLES[u] for u in unseen), chat.render(turns))
+    assert want[6][1].startswith("user,")
+    for n in (4_096, 1, 3):
         got = chat.format_conversations(d, piece_rows=n).collect()
-        assert len(got) == len(by) and {r.conv_id: fields(r) for r in got} == want
+        assert len(got) == len(by) and {r.conv_id: (r.n_turns, r.roles, r.unseen_roles, r.rendered) for r in got} == want
 
 
 # ---- secrets
