@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def canonical(objects: DataFrame, doc: list[str], content: list[str], ident: str) -> DataFrame:
     """duplicate, canonical: objects equal to one with a smaller id, and that id.
 
-    Equal content meets by a hash first and is compared as such; the least id is an aggregate,
-    so very many equal objects are combined before they are shuffled.
+    Content is equal where its SHA-256 and a second hash of 64 bits are. The least id is an
+    aggregate, so very many equal objects are combined before they are shuffled.
     """
     key = F.sha2(F.to_json(F.struct(*content)), 256)
     keyed = objects.select(*doc, ident, key.alias("content_key"), F.xxhash64(*content).alias("content_check"))
@@ -69,24 +69,38 @@ def reachable(edges: DataFrame, roots: DataFrame, doc: list[str], hops: int | No
     return seen
 
 
-def inherited(pages: DataFrame, parents: DataFrame, doc: list[str], node: str = "node", hops: int = 64) -> DataFrame:
-    """Each page's nearest value up its parents: pages (doc, node, parent, value), parents likewise."""
+def inherited(pages: DataFrame, parents: DataFrame, doc: list[str], node: str = "node") -> DataFrame:
+    """Each page's nearest value up its parents: pages (doc, node, parent, value), parents likewise.
+
+    Each round doubles how far a parent looks up, so a chain of n parents takes log2(n) rounds,
+    after which only cycles are left, whose value is null. Rounds are written to the session's
+    checkpoint folder, if it has one.
+    """
+    spark = pages.sparkSession
     at = pages.select(*doc, node, F.col("parent").alias("up"), "value")
     nodes = parents.select(*doc, F.col("node").alias("up"), F.col("parent").alias("next_up"), F.col("value").alias("up_value"))
-    for _ in range(hops):
-        open_ = at.where(F.col("value").isNull() & F.col("up").isNotNull())
-        if open_.isEmpty():
+    for _ in range(max(1, parents.count()).bit_length() + 1):
+        if at.where(F.col("value").isNull() & F.col("up").isNotNull()).isEmpty():
             break
         at = at.join(nodes, [*doc, "up"], "left").select(
             *doc, node, F.when(F.col("value").isNull(), F.col("next_up")).alias("up"), F.coalesce("value", "up_value").alias("value")
         )
+        far = nodes.select(*doc, F.col("up").alias("next_up"), F.col("next_up").alias("far_up"), F.col("up_value").alias("far_value"))
+        nodes = nodes.join(far, [*doc, "next_up"], "left").select(
+            *doc, "up", F.when(F.col("up_value").isNull(), F.col("far_up")).alias("next_up"), F.coalesce("up_value", "far_value").alias("up_value")
+        )
+        if spark.conf.get("spark.checkpoint.dir", None):
+            at, nodes = at.checkpoint(), nodes.checkpoint()
     return at.select(*doc, node, "value")
 
 
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key; rows with a null or blank key go."""
+    """The first row of each key; rows with a null or blank key go. An aggregate, so that a key
+    which stands in very many rows is combined where they are read."""
     clean = rows.where(F.trim(F.col(key)) != "")
-    return clean.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("nth = 1").drop("nth")
+    # nulls come last, as the smallest number stands for a value that is there
+    least = F.min_by(F.struct(*rows.columns), F.struct(*[x for c in order for x in (F.col(c).isNull().cast("int").alias(f"{c}_none"), F.col(c).alias(c))]))
+    return clean.groupBy(F.col(key).alias("of_key")).agg(least.alias("first")).select("first.*")
 
 
 def evictions(entries: DataFrame, group: str, size: str, order: list[str], budget: int) -> DataFrame:
@@ -98,7 +112,7 @@ def evictions(entries: DataFrame, group: str, size: str, order: list[str], budge
 
 
 def output_names(files: DataFrame, folder: str, stem: str, preset: str, order: list[str], most: int = 99, short: bool = False) -> DataFrame:
-    """files with output_name; equal names of a folder get -1, -2, ...; null beyond most.
+    """files with output_name; equal names of a folder get -1, -2, ...; null beyond most: no name is free.
 
     Names are stem__optimized-preset.pdf, or stem_optimized.pdf if short.
     """

@@ -7,6 +7,8 @@ batches; what is relational about the results stays in DataFrame functions.
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -308,6 +310,8 @@ class PdfReader(DataSourceReader):
         self.path, self.password = options["path"].removeprefix("file://"), options.get("password")
 
     def partitions(self) -> list[InputPartition]:
+        if not os.path.exists(self.path):
+            raise FileNotFoundError(f"{self.path} isn't a path that Python opens; read_files() takes those of Spark's file systems")
         if os.path.isfile(self.path):
             return [InputPartition(self.path)]
         found = [os.path.join(d, n) for d, _, names in os.walk(self.path) for n in names if n.lower().endswith(".pdf")]
@@ -327,23 +331,54 @@ def write_outputs(results: DataFrame, path: str) -> None:
     results.where("output_was_smaller").select("doc_id", "content").write.mode("overwrite").parquet(path)
 
 
-def write_files(results: DataFrame, folder: str, preset: str) -> int:
-    """Results that are smaller as files of a folder that executors reach: written beside their name
-    and renamed, so that no file is ever half there. Names are settled before anything is written."""
+def write_files(results: DataFrame, folder: str, preset: str) -> DataFrame:
+    """doc_id, output_path, error: a row per result that is smaller, all written by the time this returns.
+
+    Files go to a folder that executors reach. Names are settled before anything is written; a file
+    is written beside its name and linked to it, which never replaces a file that is there, so
+    none is ever half there or lost. Where another file has the name the next free one is taken; the
+    hundredth clash, and whatever can't be written, is a row with an error. The part that was
+    written goes in any case. A task that runs again finds its own files and leaves them.
+    """
+    spark = results.sparkSession
     stem = F.regexp_replace(F.element_at(F.split("doc_id", "/"), -1), r"\.[pP][dD][fF]$", "")
     named = results.where("output_was_smaller").withColumns({"stem": stem, "preset": F.lit(preset), "folder": F.lit(folder)})
-    named = graph.output_names(named, "folder", "stem", "preset", ["doc_id"]).where("output_name IS NOT NULL").select("output_name", "content")
+    named = graph.output_names(named, "folder", "stem", "preset", ["doc_id"]).select("doc_id", "stem", "output_name", "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(folder, exist_ok=True)
         for f in frames:
-            for name, data in zip(f["output_name"], f["content"]):
-                part = os.path.join(folder, f".{name}.{os.getpid()}.part")
-                with open(part, "wb") as out:
-                    out.write(data)
-                    out.flush()
-                    os.fsync(out.fileno())
-                os.replace(part, os.path.join(folder, name))
-            yield pd.DataFrame({"n": [len(f)]})
-
-    return named.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            rows = [_written_file(folder, preset, *r) for r in zip(f["stem"], f["output_name"], f["content"])]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "output_path": pd.Series([r[0] for r in rows], dtype=object), "error": pd.Series([r[1] for r in rows], dtype=object)})
+
+    told = f"{folder.rstrip('/')}/_outcomes-{uuid.uuid4().hex[:12]}"
+    named.mapInPandas(run, f"doc_id string, output_path string, error {_ERROR}").write.parquet(told)
+    return spark.read.parquet(told)
+
+
+def _written_file(folder: str, preset: str, stem: str, name: str | None, data: bytes) -> tuple[str | None, dict | None]:
+    """The path that data is at, or an error."""
+    if name is None:
+        return None, _error("io", "no free name")
+    part = os.path.join(folder, f".{uuid.uuid4().hex}.part")
+    try:
+        with open(part, "wb") as out:
+            out.write(data)
+            out.flush()
+            os.fsync(out.fileno())
+        clash = re.search(r"-(\d+)\.pdf$", name.removeprefix(f"{stem}__optimized-{preset}"))
+        for k in range(int(clash[1]) if clash else 0, 100):
+            path = os.path.join(folder, f"{stem}__optimized-{preset}{f'-{k}' if k else ''}.pdf")
+            try:
+                os.link(part, path)
+                return path, None
+            except FileExistsError:
+                with open(path, "rb") as f:
+                    if f.read() == bytes(data):
+                        return path, None
+        return None, _error("io", "no free name")
+    except OSError as e:
+        return None, _error("io", os.strerror(e.errno or 0))
+    finally:
+        if os.path.exists(part):
+            os.remove(part)

@@ -1,8 +1,9 @@
 """PDF objects: reading them from bytes, decoding their streams, writing them back.
 
-Reading scans the file for objects instead of trusting its cross-reference table, so files
-with a damaged table open as well; of objects defined twice the later one counts. Nothing
-here raises for a bad file but PdfError, whose code is one of a closed set.
+Reading follows the cross-reference tables and streams from the newest on. Where they are
+missing or damaged anywhere the file is scanned for objects instead; of objects defined
+twice the later one counts then. Nothing here raises for a bad file but PdfError, whose
+code is one of a closed set.
 """
 
 from __future__ import annotations
@@ -55,6 +56,9 @@ _DELIMITER = b"()<>[]{}/%"
 _HEADER = re.compile(rb"(\d{1,10})[\0\t\n\x0c\r ]+(\d{1,5})[\0\t\n\x0c\r ]+obj\b")
 _REF = re.compile(rb"(\d{1,10})[\0\t\n\x0c\r ]+(\d{1,5})[\0\t\n\x0c\r ]+R(?![A-Za-z0-9])")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)")
+_INTEGER = re.compile(rb"(\d{1,10})[\0\t\n\x0c\r ]+(\d{1,5})[\0\t\n\x0c\r ]+obj[\0\t\n\x0c\r ]+(\d{1,10})[\0\t\n\x0c\r ]+endobj")
+_END_STREAM = re.compile(rb"[\0\t\n\x0c\r ]*endstream")
+_ENTRY = re.compile(rb"[\0\t\n\x0c\r ]*(\d{1,10})[\0\t\n\x0c\r ]+(\d{1,5})[\0\t\n\x0c\r ]+([nf])")
 _SKIP = re.compile(rb"(?:[\0\t\n\x0c\r ]|%[^\r\n]*)*")
 _REGULAR = re.compile(rb"[^\0\t\n\x0c\r ()<>\[\]{}/%]*")
 _ESCAPES = {ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("f"): 12}
@@ -389,8 +393,14 @@ class Document:
         self.objects: dict[Ref, Any] = {}
         self.trailer: dict = {}
         self.unlocked = False
-        self._scan(data)
-        self._trailers(data)
+        self._lengths: dict[Ref, list[int]] | None = None
+        #: Numbers of packed objects and of the object streams that hold them, if the table tells.
+        self._packed: dict[int, int] | None = None
+        if not self._table(data):
+            self.objects, self.trailer, self._packed = {}, {}, None
+            self._scan(data)
+            self._trailers(data)
+        self._lengths = None
         if self.trailer.get(b"Encrypt") is not None:
             self._decrypt(password)
         self._unpack()
@@ -401,33 +411,123 @@ class Document:
         if not isinstance(self.get(self.trailer.get(b"Root")), dict):
             raise PdfError("pdfBuild", "no catalog")
 
+    def _object(self, data: bytes, m: re.Match) -> tuple[Any, int]:
+        """The object behind a header, and where it ends."""
+        r = Reader(data, m.end())
+        value = r.value()
+        r.skip()
+        if isinstance(value, dict) and data.startswith(b"stream", r.at):
+            begin = r.at + 6
+            begin += 2 if data.startswith(b"\r\n", begin) else 1 if data[begin : begin + 1] in (b"\n", b"\r") else 0
+            for size in self._sizes(data, value.get(b"Length")):
+                if 0 <= size <= len(data) - begin and _END_STREAM.match(data, begin + size):
+                    end = begin + size
+                    break
+            else:  # no length, or a wrong one: up to the end mark
+                end = data.find(b"endstream", begin)
+                end = len(data) if end < 0 else end
+                if data[end - 2 : end] == b"\r\n":
+                    end -= 2
+                elif data[end - 1 : end] in (b"\n", b"\r"):
+                    end -= 1
+            value = Stream(value, data[begin : max(begin, end)])
+            r.at = max(begin, end)
+        return value, max(r.at, m.end())
+
+    def _sizes(self, data: bytes, stated: Any) -> list[int]:
+        """What a stream's length may be: stated, or that of the objects referred to, the last first."""
+        if isinstance(stated, int):
+            return [stated]
+        if not isinstance(stated, Ref):
+            return []
+        if isinstance(known := self.objects.get(stated), int):
+            return [known]
+        if self._lengths is None:
+            self._lengths = {}
+            for m in _INTEGER.finditer(data):
+                self._lengths.setdefault(Ref(int(m[1]), int(m[2])), []).insert(0, int(m[3]))
+        return self._lengths.get(stated, [])
+
+    def _table(self, data: bytes) -> bool:
+        """Objects by the cross-references; false if anything about them is wrong."""
+        marks = list(re.compile(rb"startxref[\0\t\n\x0c\r ]+(\d{1,10})").finditer(data, max(0, len(data) - 4096)))
+        places: dict[int, tuple[str, int, int]] = {}
+        todo, seen = [int(marks[-1][1])] if marks else [], set()
+        try:
+            while todo:
+                at = todo.pop(0)
+                if at in seen:
+                    continue
+                seen.add(at)
+                at = _SKIP.match(data, at).end()
+                found, own = self._classic(data, at) if data.startswith(b"xref", at) else self._modern(data, at)
+                for number, place in own.items():
+                    places.setdefault(number, place)
+                self.trailer = {k: v for k, v in found.items() if k in (b"Root", b"Info", b"Encrypt", b"ID")} | self.trailer
+                todo += [found[k] for k in (b"XRefStm", b"Prev") if isinstance(found.get(k), int)]
+            for number, (kind, x, generation) in sorted(places.items()):
+                if kind == "n":
+                    m = _HEADER.match(data, _SKIP.match(data, x).end())
+                    if not m or int(m[1]) != number:
+                        return False
+                    value, _ = self._object(data, m)
+                    if not isinstance(value, Keyword):
+                        self.objects[Ref(number, int(m[2]))] = value
+        except (PdfError, ValueError, TypeError, IndexError, OverflowError):
+            return False
+        self._packed = {number: x for number, (kind, x, _) in places.items() if kind == "p"}
+        return isinstance(self.trailer.get(b"Root"), Ref) and (self.trailer[b"Root"] in self.objects or self.trailer[b"Root"][0] in self._packed)
+
+    def _classic(self, data: bytes, at: int) -> tuple[dict, dict[int, tuple[str, int, int]]]:
+        """The trailer and the entries of a table."""
+        r, own = Reader(data, at + 4), {}
+        while True:
+            r.skip()
+            if data.startswith(b"trailer", r.at):
+                r.at += 7
+                d = r.value()
+                if not isinstance(d, dict):
+                    raise PdfError("pdfBuild", "trailer")
+                return d, own
+            first, n = r.value(refs=False), r.value(refs=False)
+            for number in range(int(first), int(first) + int(n)):
+                m = _ENTRY.match(data, r.at)
+                if not m:
+                    raise PdfError("pdfBuild", "cross-reference")
+                r.at = m.end()
+                own[number] = (m[3].decode(), int(m[1]), int(m[2]))
+
+    def _modern(self, data: bytes, at: int) -> tuple[dict, dict[int, tuple[str, int, int]]]:
+        """The dictionary and the entries of a cross-reference stream."""
+        m = _HEADER.match(data, at)
+        s = self._object(data, m)[0] if m else None
+        if not isinstance(s, Stream) or s.dict.get(b"Type") != b"XRef":
+            raise PdfError("pdfBuild", "cross-reference")
+        widths, body, own, i = [int(w) for w in s.dict[b"W"]], decoded(s), {}, 0
+        index = s.dict.get(b"Index") or [0, int(s.dict[b"Size"])]
+        for first, n in zip(index[::2], index[1::2]):
+            for number in range(first, first + n):
+                field = []
+                for w in widths[:3]:
+                    if i + w > len(body):
+                        raise PdfError("pdfBuild", "cross-reference")
+                    field.append(int.from_bytes(body[i : i + w], "big"))
+                    i += w
+                kind = field[0] if widths[0] else 1
+                own[number] = ({0: "f", 1: "n", 2: "p"}.get(kind, "f"), field[1], field[2])
+        return s.dict, own
+
     def _scan(self, data: bytes) -> None:
         at = 0
         while m := _HEADER.search(data, at):
-            r = Reader(data, m.end())
             try:
-                value = r.value()
+                value, at = self._object(data, m)
             except (PdfError, ValueError, OverflowError):
                 at = m.end()
                 continue
-            r.skip()
-            if isinstance(value, dict) and data.startswith(b"stream", r.at):
-                begin = r.at + 6
-                begin += 2 if data.startswith(b"\r\n", begin) else 1 if data[begin : begin + 1] in (b"\n", b"\r") else 0
-                size = value.get(b"Length")
-                end = begin + size if isinstance(size, int) and size >= 0 else -1
-                if end < 0 or end > len(data) or not re.compile(rb"[\0\t\n\x0c\r ]*endstream").match(data, end):
-                    end = data.find(b"endstream", begin)
-                    end = len(data) if end < 0 else end
-                    if data[end - 2 : end] == b"\r\n":
-                        end -= 2
-                    elif data[end - 1 : end] in (b"\n", b"\r"):
-                        end -= 1
-                value = Stream(value, data[begin : max(begin, end)])
-                r.at = max(begin, end)
             if not isinstance(value, Keyword):
-                self.objects[Ref(int(m[1]), int(m[2]))] = value
-            at = max(r.at, m.end())
+                self.objects.pop(ref := Ref(int(m[1]), int(m[2])), None)
+                self.objects[ref] = value
 
     def _trailers(self, data: bytes) -> None:
         for m in re.finditer(rb"trailer[\0\t\n\x0c\r ]*(?=<<)", data):
@@ -442,8 +542,8 @@ class Document:
                 self.trailer |= {k: v for k, v in o.dict.items() if k in (b"Root", b"Info", b"Encrypt", b"ID")}
 
     def _unpack(self) -> None:
-        """Objects of object streams; those written directly win."""
-        for o in list(self.objects.values()):
+        """Objects of object streams, as the table tells; without one, those written directly win, then the last."""
+        for ref, o in reversed(list(self.objects.items())):
             if not isinstance(o, Stream) or o.dict.get(b"Type") != b"ObjStm":
                 continue
             try:
@@ -451,7 +551,7 @@ class Document:
                 head = Reader(body)
                 pairs = [(head.value(refs=False), head.value(refs=False)) for _ in range(min(n, len(body)))]
                 for number, place in pairs:
-                    if isinstance(number, int) and isinstance(place, int):
+                    if isinstance(number, int) and isinstance(place, int) and (self._packed is None or self._packed.get(number) == ref[0]):
                         self.objects.setdefault(Ref(number), Reader(body, first + place).value())
             except (PdfError, ValueError, TypeError):
                 continue

@@ -82,8 +82,70 @@ def test_object_tables(spark, tmp_path):
 
 def test_written_files(spark, tmp_path):
     results = pdf.optimize(files(spark, base(), base(b4=Stream({}, b"BT /F1 9 Tf (x) Tj ET /Im1 Do"))))
-    assert pdf.write_files(results.withColumn("doc_id", F.lit("/in/a.pdf")), str(tmp_path / "out"), "balanced") == 2
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a__optimized-balanced-1.pdf", "a__optimized-balanced.pdf"]
+    results = results.withColumn("doc_id", F.lit("/in/a.pdf"))
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "a__optimized-balanced.pdf").write_text("someone else's")
+    first = {r.output_path for r in pdf.write_files(results, str(out), "balanced").collect()}
+    names = sorted(p.name for p in out.iterdir() if not p.name.startswith("_"))
+    assert names == ["a__optimized-balanced-1.pdf", "a__optimized-balanced-2.pdf", "a__optimized-balanced.pdf"] and len(first) == 2
+    assert (out / "a__optimized-balanced.pdf").read_text() == "someone else's" and not list(out.glob(".*.part"))
+    small = spark.createDataFrame([(f"/{i}/b.PDF", True, bytearray(b"%d" % i)) for i in range(103)], "doc_id string, output_was_smaller boolean, content binary")
+    got = pdf.write_files(small, str(out), "maximum").collect()
+    assert len(got) == 103 and sum(r.error is not None for r in got) == 3 and {r.error.code for r in got if r.error} == {"error.io"}
+    assert len({r.output_path for r in got if r.output_path}) == 100
+
+
+def with_table(objects, **trailer):
+    """A file with a classic cross-reference table; raw bytes are written as they are."""
+    out, places = bytearray(b"%PDF-1.4\n"), {}
+    for n, o in objects.items():
+        places[n] = len(out)
+        out += b"%d 0 obj\n" % n + (o if isinstance(o, bytes) else written(o)) + b"\nendobj\n"
+    at, top = len(out), max(objects) + 1
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % top
+    for n in range(1, top):
+        out += b"%010d 00000 n \n" % places[n] if n in places else b"0000000000 00000 f \n"
+    d = {b"Root": Ref(1), b"Size": top} | {k.encode(): v for k, v in trailer.items()}
+    return bytes(out) + b"trailer\n" + written(d) + b"\nstartxref\n%d\n%%%%EOF" % at
+
+
+TREE = {1: {b"Type": Name(b"Catalog"), b"Pages": Ref(2)}, 2: {b"Type": Name(b"Pages"), b"Kids": [Ref(3)], b"Count": 1}, 3: {b"Type": Name(b"Page"), b"Parent": Ref(2), b"Contents": Ref(4)}}
+
+
+@pytest.mark.parametrize("table", [True, False])
+@pytest.mark.parametrize("data", [b"seven b\r", b"ends\n", b"ends\r\n", b"a endstream inside b", b"endstream", b"", b"x endobj 9 0 obj 3 endobj"] + [bytes([65, x]) for x in range(0, 256, 17)])
+def test_streams_of_indirect_length(table, data):
+    raw = b"<</Length 5 0 R>>\nstream\n" + data + b"\nendstream"
+    made = with_table(TREE | {4: raw, 5: b"%d" % len(data)})
+    doc = Document(made if table else made[: made.rindex(b"xref\n0 ")] + b"trailer\n<</Root 1 0 R>>")
+    assert doc.objects[Ref(4)].data == data
+    assert Document(doc.save()).content(Document(doc.save()).pages()[0][1]) == data
+
+
+def test_newest_cross_references_win():
+    old = with_table(TREE | {4: Stream({}, b"old"), 5: b"(gone)"})
+    at = len(old) + 1
+    new = b"\n4 0 obj\n" + written(Stream({}, b"new")) + b"\nendobj\n"
+    table = b"xref\n4 1\n%010d 00000 n \n5 1\n0000000000 00001 f \n" % at
+    begin = len(old) + len(new)
+    prev = int(old.split(b"startxref\n")[1].split()[0])
+    doc = Document(old + new + table + b"trailer\n<</Root 1 0 R/Prev %d>>\nstartxref\n%d\n%%%%EOF" % (prev, begin))
+    assert doc.objects[Ref(4)].data == b"new" and Ref(5) not in doc.objects
+    # a table that points elsewhere is no table: the file is scanned
+    broken = old.replace(b"startxref\n%d" % prev, b"startxref\n%d" % (prev - 30))
+    assert Document(broken).objects[Ref(4)].data == b"old" and Ref(5) in Document(broken).objects
+
+
+def test_packed_objects_of_an_older_revision():
+    doc = Document(base())
+    first = Document(doc.save())
+    assert first._packed and Ref(1) in first.objects
+    # a second object stream that redefines an object, found by scanning alone: the later one counts
+    body = b"1 0 <</Type/Catalog/Pages 2 0 R/Later true>>"
+    later = Stream({b"Type": Name(b"ObjStm"), b"N": 1, b"First": 4}, body)
+    whole = doc.save().replace(b"startxref", b"startxxxx") + b"\n900 0 obj\n" + written(later) + b"\nendobj\n"
+    assert Document(whole).dict_of(Document(whole).trailer[b"Root"]).get(b"Later") is True
 
 
 def test_mutants_never_raise(spark):
