@@ -267,7 +267,7 @@ def inherit_up_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nation's own value, or its region's where it has none."""
     pages = _read(spark, sf_dir, "nation").select(F.lit(0).alias("doc"), "n_nationkey", F.col("n_regionkey").alias("parent"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).alias("value"))
     up = _read(spark, sf_dir, "region").select(F.lit(0).alias("doc"), F.col("r_regionkey").alias("node"), F.lit(None).cast("int").alias("parent"), F.col("r_name").alias("value"))
-    return graph.inherited(pages, up, ["doc"], "n_nationkey", hops=4).select("n_nationkey", "value")
+    return graph.inherited(pages, up, ["doc"], "n_nationkey").select("n_nationkey", "value")
 
 
 @_query("""
