@@ -2,7 +2,8 @@
 
 Candidates come from patterns; a base64 or hex candidate is reported only after it has
 been decoded and what it holds has been parsed: nested lengths that add up (DER and
-OpenSSH keys), a known algorithm name, or the JSON header of a signed token.
+OpenSSH keys), a known algorithm name, or the JSON header of a signed token. Time is
+linear in the text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,12 +32,15 @@ _ASSIGN = re.compile(
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nr])*?)-----END \1-----")
+_LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
+_PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]*")
+_HEADER_LINE = re.compile(r"([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*)")
 #: Line ends written out, as in JSON and environment strings.
 _ESCAPED = re.compile(r"\\+[nr]")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Parts joined by dots, as long as they go on.
+_CHAIN = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
 
 _HEX_BYTES = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 _B64_BYTES = bytes(98 if c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 32 for c in range(256))
@@ -48,6 +53,8 @@ _OIDS = {
 #: How those of password based encryption begin (PKCS #5, PKCS #12).
 _PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _SIGNING = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA", "none"}
+#: Bytes of an initial vector, by the cipher of a PEM body that is encrypted as a whole.
+_PEM_CIPHERS = {"DES-CBC": 8, "DES-EDE3-CBC": 8, "AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16}
 #: Levels of nesting that are followed.
 _DEPTH = 12
 
@@ -115,32 +122,76 @@ def _der_kind(data: bytes) -> str | None:
     return None
 
 
-def _ssh_parts(data: bytes) -> list[bytes] | None:
-    parts, at = [], 0
-    while at < len(data):
-        if at + 4 > len(data):
-            return None
+def _ssh_parts(data: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Strings with their lengths before them, up to the end or so many, and where they end."""
+    parts: list[bytes] = []
+    while at < len(data) if most is None else len(parts) < most:
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
             return None
         parts.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return parts
+    return parts, at
+
+
+def _ssh_name(x: bytes) -> bool:
+    return x.startswith((b"ssh-", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-"))
+
+
+def _is_openssh(data: bytes) -> bool:
+    """Whether the sections of an OpenSSH private key add up: the parameters, each public key, and
+    the private ones, which are whole blocks and, where they aren't encrypted, are read as well."""
+    if not (found := _ssh_parts(data, 15, 3)):
+        return False
+    (cipher, derivation, options), at = found
+    n = int.from_bytes(data[at : at + 4], "big")
+    if at + 4 > len(data) or not 1 <= n <= 16 or not (found := _ssh_parts(data, at + 4, n + 1)) or found[1] != len(data):
+        return False
+    *public, private = found[0]
+    names = []
+    for key in public:
+        parts = _ssh_parts(key)
+        if not parts or len(parts[0]) < 2 or not _ssh_name(parts[0][0]):
+            return False
+        names.append(parts[0][0])
+    if cipher != b"none":
+        salt = _ssh_parts(options, 0, 1)
+        return derivation == b"bcrypt" and salt is not None and salt[1] + 4 == len(options) and len(private) > 0 and len(private) % 8 == 0
+    if options or derivation != b"none" or len(private) % 8 or private[:4] != private[4:8]:
+        return False
+    parts = _ssh_parts(private, 8, 2)
+    return parts is not None and parts[0][0] == names[0]
 
 
 def _structure(data: bytes) -> str | None:
     if kind := _der_kind(data):
         return kind
     if data.startswith(b"openssh-key-v1\0"):
-        at, sizes = 15, 0
-        for _ in range(3):  # cipher, derivation, its options
-            if at + 4 > len(data):
-                return None
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-            sizes += 1
-        return "ssh_key" if at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16 else None
-    if data[:4] in (b"\0\0\0\x07", b"\0\0\0\x0b", b"\0\0\0\x13") and (parts := _ssh_parts(data)) and len(parts) >= 2:
-        return "public_key" if parts[0].startswith((b"ssh-", b"ecdsa-sha2-")) else None
+        return "ssh_key" if _is_openssh(data) else None
+    if data[:4] in (b"\0\0\0\x07", b"\0\0\0\x0b", b"\0\0\0\x13") and (found := _ssh_parts(data)) and len(found[0]) >= 2:
+        return "public_key" if _ssh_name(found[0][0]) else None
+    return None
+
+
+def _pem_kind(label: str, body: str) -> str | None:
+    """What the text between two marks proves to be. Header lines end with a blank one."""
+    lines = _ESCAPED.sub("\n", body).strip().splitlines()
+    head: dict[str, str] = {}
+    n = 0
+    while n < len(lines) and (m := _HEADER_LINE.fullmatch(lines[n].strip())):
+        head[m[1].lower()] = m[2]
+        n += 1
+    rest = "".join(lines[n:])
+    if not _PEM_BODY.fullmatch(rest):
+        return None
+    for data in _decoded("".join(rest.split())):
+        if kind := _structure(data):
+            return kind
+        if "ENCRYPTED" in head.get("proc-type", "") and label.endswith("PRIVATE KEY"):
+            cipher, _, iv = head.get("dek-info", "").partition(",")
+            size = _PEM_CIPHERS.get(cipher.strip().upper(), 0)
+            if size and re.fullmatch(rf"[0-9A-Fa-f]{{{2 * size}}}", iv.strip()) and data and len(data) % size == 0:
+                return "private_key"
     return None
 
 
@@ -155,15 +206,34 @@ def _decoded(text: str) -> Iterator[bytes]:
         return
 
 
-def _signed(text: str) -> bool:
-    """Whether the first part decodes to the JSON header of a signed token, and the second to JSON."""
-    head, body, _ = text.split(".")
+def _json(part: str) -> object:
+    """What a part of a token holds; ValueError if it isn't JSON."""
     try:
-        header = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-        json.loads(base64.urlsafe_b64decode(body + "=" * (-len(body) % 4)))
-    except (ValueError, RecursionError):
-        return False
-    return isinstance(header, dict) and header.get("alg") in _SIGNING
+        return json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
+
+
+def _tokens(text: str) -> list[tuple[int, int, str]]:
+    """Signed tokens: three parts of a chain, the first of which holds the JSON header of a
+    signature (from an eyJ on, where it begins with anything else), the second JSON."""
+    out = []
+    for m in _CHAIN.finditer(text):
+        parts, at, i = m[0].split("."), m.start(), 0
+        while i + 2 < len(parts):
+            skip, used = parts[i].find("eyJ"), 1
+            if skip >= 0 and parts[i + 1]:
+                try:
+                    header = _json(parts[i][skip:])
+                    if isinstance(header, dict) and header.get("alg") in _SIGNING:
+                        _json(parts[i + 1])
+                        out.append((at + skip, at + sum(map(len, parts[i : i + 3])) + 2, "signed_token"))
+                        used = 3
+                except ValueError:
+                    pass
+            at += sum(len(p) + 1 for p in parts[i : i + used])
+            i += used
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -183,17 +253,22 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of what decodes to a structure that proves it a secret or key."""
     out = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            for data in _decoded("".join(_ESCAPED.sub(" ", m[2]).split())):
-                if kind := _structure(data):
-                    out.append((m.start(), m.end(), kind))
-    inside = [(a, b) for a, b, _ in out]
+        begun = None  # a mark counts with the very next one, so that every text between is read once
+        for m in _PEM_MARK.finditer(text):
+            if m[1] == "BEGIN":
+                begun = m
+            elif begun:
+                if begun[2] == m[2] and (kind := _pem_kind(m[2], text[begun.end() : m.start()])):
+                    out.append((begun.start(), m.end(), kind))
+                begun = None
+    begins, ends = [a for a, _, _ in out], [b for _, b, _ in out]
     if "eyJ" in text:
-        out += [(m.start(), m.end(), "signed_token") for m in _TOKEN.finditer(text) if _signed(m[0])]
+        out += _tokens(text)
     flat = text.encode("utf-8", "replace").translate(_B64_BYTES)
     if b"b" * 40 in flat:
         for m in _BASE64.finditer(text):
-            if any(a <= m.start() < b for a, b in inside):
+            i = bisect_right(begins, m.start()) - 1
+            if i >= 0 and m.start() < ends[i]:
                 continue
             for data in _decoded(m[0]):
                 if kind := _structure(data):

@@ -54,6 +54,28 @@ def test_broken_pages_dont_fail(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+def test_content_of_the_article_is_kept():
+    page = "<article><p>Text, really. <label>kept</label> <math><mi>x</mi></math> <object>shown</object> <noscript>plain</noscript> end.</p>"
+    page += '<p class="copyright-history">It is a history.</p><table class="tags"><tr><td>one</td></tr></table><p class="note print">Noted.</p><label>Last</label><p class="ad">Buy.</p></article>'
+    assert html_text.main_text(page) == "Text, really. kept x shown plain end.\nIt is a history.\none\nNoted.\nLast"
+    long = "Running text, with commas, that goes on for a while, so that it scores. " * 4
+    page = f"<body><div id=wrap><div><p>{long}</p><p>{long}</p></div><div><p>A short one.</p></div><div>© 2024 Us. All rights reserved.</div><div><a href=x>Read more.</a></div></div></body>"
+    assert html_text.main_text(page) == "\n".join([long.strip(), long.strip(), "A short one."])
+
+
+LINEAR = ["<div>text<p>text</p>", "<div><p>a, b, c, ", "<a ", '<a "', "<a '\"x", "</a ", "<!--", "<script ", "<script></script ", "<ul><li>x", "<b>x", "<header><p>hello</p>", "<td>some text here, and more of it", "<article><p>x, y</p>", "&#"]
+
+
+@pytest.mark.parametrize("piece", LINEAR)
+def test_a_megabyte_of_open_markup_is_read_in_linear_time(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 8  # some 1 to 2 s; quadratic time would be minutes
+
+
 def test_extract_keeps_every_row(spark):
     d = spark.createDataFrame([(1, "u", "<p>Some text here, enough of it.</p>", 1), (1, None, None, 2), (None, "u", "", 3)], "page_id long, url string, html string, text int")
     got = html_text.extract(d).collect()
@@ -361,6 +383,58 @@ def test_more_structures_are_confirmed():
     assert secrets.confirmed_spans(digest_info.hex()) == []
 
 
+def openssh(cipher=b"none", options=b"", rounds=True, checks=(7, 7), cut=0, kind=b"ssh-ed25519"):
+    one = lambda x: len(x).to_bytes(4, "big") + x
+    public = one(kind) + one(b"k" * 32)
+    private = b"".join(c.to_bytes(4, "big") for c in checks) + one(kind) + one(b"k" * 32) + one(b"s" * 64) + one(b"me")
+    private += bytes(range(1, 1 + -len(private) % 16))
+    head = b"openssh-key-v1\0" + one(cipher) + one(b"none" if cipher == b"none" else b"bcrypt") + one(options)
+    whole = head + (1).to_bytes(4, "big") + one(public) + one(private)
+    return whole[: len(whole) - cut] if cut else whole
+
+
+def test_openssh_keys_are_proven_by_their_sections():
+    text = lambda data: f"x {base64.b64encode(data).decode()} y"
+    salted = (16).to_bytes(4, "big") + b"s" * 16 + (16).to_bytes(4, "big")
+    for good in (openssh(), openssh(b"aes256-ctr", salted, checks=(1, 2))):
+        assert [k for *_, k in secrets.confirmed_spans(text(good))] == ["ssh_key"]
+    head = openssh()[:60]
+    for bad in (openssh(cut=1), openssh(checks=(1, 2)), openssh(b"aes256-ctr", b"x" * 5), openssh(kind=b"nothing"), head + b"garbage" * 9, openssh() + b"more"):
+        assert secrets.confirmed_spans(text(bad)) == []
+
+
+def test_bodies_with_header_lines():
+    rsa = der(0x30, *[der(2, b"\0"), der(2, b"\1" * 128), *[der(2, b"\1" * 64)] * 7])
+    body = base64.encodebytes(rsa).decode()
+    plain = f"-----BEGIN RSA PRIVATE KEY-----\nComment: mine, not yours (really)\nX-Made: 2024\n\n{body}-----END RSA PRIVATE KEY-----"
+    assert [k for *_, k in secrets.confirmed_spans(plain)] == ["private_key"]
+    locked = base64.encodebytes(b"e" * 640).decode()
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{iv}\n\n{body}-----END RSA PRIVATE KEY-----"
+    assert [k for *_, k in secrets.confirmed_spans(head.format(iv="0A" * 16, body=locked))] == ["private_key"]
+    assert secrets.confirmed_spans(head.format(iv="0A" * 5, body=locked)) == []
+    assert secrets.confirmed_spans(head.format(iv="0A" * 16, body=base64.encodebytes(b"e" * 641).decode())) == []
+    nested = f"-----BEGIN A-----\n-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----\n-----END A-----"
+    assert [(a, k) for a, _, k in secrets.confirmed_spans(nested)] == [(18, "private_key")]
+
+
+def test_tokens_anywhere_in_a_chain_of_parts():
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2ln"
+    for before, after in (("", ""), ("a.", ""), ("x", ".y"), ("eyJ.", "."), ("eyJa.eyJb.", "")):
+        assert [(k, a) for a, _, k in secrets.confirmed_spans(f"see {before}{token}{after} there")] == [("signed_token", 4 + len(before))]
+    assert secrets.confirmed_spans(f"{part({'alg': 'HS256'})}.{part({'sub': 1})}") == []
+
+
+@pytest.mark.parametrize("piece", ["-----BEGIN A-----\n", "eyJ", "eyJa.", "-----BEGIN A-----\n-----END B-----\n", "token ", "token=", "AKIA", "abcdef0123456789 ", "A" * 39 + " ", "MIIB", "-----BEGIN A-----\nx: y\n-----END A-----\n", "0" * 64 + " "])
+def test_a_megabyte_is_scanned_in_linear_time(piece):
+    import time
+
+    text = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - began < 8
+
+
 def test_base_spans():
     text = "😀 Token = 'abc123', api-key: x, API_KEY:\"ABCDEF\" ſecret=123456 password==xyzxyz AKIA" + "A" * 16 + " AKIAB " + "0" * 24 + "f " + "0" * 23
     got = [(k, text[a:b]) for a, b, k in secrets.base_spans(text)]
