@@ -20,13 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the session's spark.checkpoint.dir.
+    """The shared folder for intermediate tables: the session's spark.checkpoint.dir, or the one that
+    was set on its context.
 
-    Only where the session has none (as in tests) a folder of its own is made.
+    Only a session without either that has no other machines (as in tests) gets a folder of its
+    own; on a cluster that is an error, as executors would write to disks of their own.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = set_.get() if set_.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         if app not in _own_roots:
             _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="leafmill-")
         base = _own_roots[app]
@@ -52,9 +59,10 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-#: On a local file system, scratch files go without the checksum file that Hadoop puts beside each:
-#: half the files, and a fraction of the processes that it starts to set their permissions.
-_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Pages of scratch files carry checksums, which are verified as they are read, in any file system.
+_VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
+#: A local file system would keep a second checksum in a file beside each; those are left out.
+_WRITTEN = {"parquet.page.write-checksum.enabled": "true", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -65,8 +73,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.options(**_PLAIN_FILES).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.options(**_WRITTEN).parquet(path)
+    out = spark.read.schema(df.schema).options(**_VERIFIED).parquet(path)
     out._leafmill_path = path
     return out
 
@@ -94,12 +102,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows of an Arrow batch; with whole texts in them, Spark's own 10,000 can be gigabytes.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch; with whole texts in them, Spark's own 10,000 rows can be gigabytes.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that this session sends to Python workers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the Arrow batches that this session sends to Python workers, where they aren't bounded
+    as tightly. Batches are made when a result is asked for, so the settings stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(key)).upper()
+        if not (now.removesuffix("B").isdigit() and 0 < int(now.removesuffix("B")) <= most):
+            spark.conf.set(key, str(most))
