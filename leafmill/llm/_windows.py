@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_ODD = U(pow(int(_BASE), -1, 1 << 64))
+#: Odd multipliers of two independent hashes.
+_BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
+_INVERSES = tuple(U(pow(int(b), -1, 1 << 64)) for b in _BASES)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -15,8 +16,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-#: A random number for each byte, so that no two bytes differ by a small amount.
-_BYTES = mixed(np.arange(1, 257, dtype=U) * _BASE)
+#: Random numbers for each byte, so that no two bytes differ by a small amount.
+_BYTES = tuple(mixed(np.arange(1, 257, dtype=U) * b) for b in _BASES)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -26,11 +27,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any windows of a byte array, in constant time each."""
+    """Hashes of any windows of a byte array, in constant time each. lane: which of the two."""
 
-    def __init__(self, raw: np.ndarray):
-        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTES[raw] * _powers(_BASE, len(raw))[:-1], dtype=U)])
-        self.inverse = _powers(_ODD, len(raw))
+    def __init__(self, raw: np.ndarray, lane: int = 0):
+        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTES[lane][raw] * _powers(_BASES[lane], len(raw))[:-1], dtype=U)])
+        self.inverse = _powers(_INVERSES[lane], len(raw))
 
     def windows(self, size: int) -> np.ndarray:
         """The hash of the window of that size at each place where one fits."""

@@ -1,4 +1,4 @@
-"""op1 and op4: queries, and the SQL of op4. op1 is tested against brute force."""
+"""op1 and op4: queries, and their SQL. That of op1 compares all texts that share a shingle."""
 
 from __future__ import annotations
 
@@ -50,5 +50,29 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM doc_words d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
 """
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), texts AS (
+  SELECT array_to_string(w, ' ') AS plain, any_value(w) AS w, min(doc_id) AS text_id, count(*) AS n_copies FROM d GROUP BY 1
+), shingles AS (
+  SELECT DISTINCT text_id, hash(array_to_string(w[i : i + 4], ' ')) AS s
+  FROM (SELECT text_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0)
+), sizes AS (
+  SELECT text_id, count(*) AS n FROM shingles GROUP BY 1
+), links AS (
+  SELECT p.a, p.b FROM (SELECT x.text_id AS a, y.text_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.text_id <> y.text_id GROUP BY 1, 2) p
+  JOIN sizes m ON m.text_id = p.a JOIN sizes n ON n.text_id = p.b WHERE 9 * p.c >= 4 * (m.n + n.n)
+), reached(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), classes AS (
+  SELECT a, least(min(b), a) AS class_id FROM reached GROUP BY a
+), degrees AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT d.doc_id, t.text_id, coalesce(c.class_id, t.text_id) AS class_id, coalesce(g.n_links, 0)::BIGINT AS n_links, t.n_copies
+FROM d JOIN texts t ON array_to_string(d.w, ' ') = t.plain LEFT JOIN classes c ON c.a = t.text_id LEFT JOIN degrees g ON g.a = t.text_id
+"""
+
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op4_decontamination": op4_decontamination}
-ORACLES = {"op4_decontamination": OP4_SQL}
+ORACLES = {"op1_ngram_jaccard": OP1_SQL, "op4_decontamination": OP4_SQL}

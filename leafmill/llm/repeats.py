@@ -7,15 +7,16 @@ and only if one of its anchors stands elsewhere with the same bytes around it.
 1. Anchors' hashes are counted. Those of one occurrence, most of them, are dropped.
 2. The others' occurrences are put together with a hash of their context, the bytes that
    stretches over the anchor can reach. A context that occurs twice is repeated as a whole.
-3. Contexts that occur once are compared with the other contexts of their anchor: for each
-   offset, stretches with the same hash are the same. Anchors with very many contexts are
-   compared by a distributed aggregation, others within a task.
+3. Contexts that occur once are compared with the other contexts of their anchor, each
+   context once: for each offset, stretches with the same two hashes are the same. Anchors
+   with more than LARGE contexts are compared by a distributed aggregation, others within
+   a task, which so has at most LARGE contexts of an anchor.
 4. Each document's repeated stretches are merged, and its other bytes kept.
 
 Steps 2 to 4 read the documents again and shuffle only what a Bloom filter lets through.
-Counts and equality tests are aggregated before they are shuffled, so a passage that a
-third of all documents share is no task's burden. See the README for why the column-wise
-construction of suffix_bcr is not what runs here.
+Counts, contexts and stretches are combined before they are shuffled, so a passage that a
+third of all documents share is no task's burden. See the README for what equal hashes
+are worth, and for why the column-wise construction of suffix_bcr is not what runs here.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def context_bytes(rows: DataFrame, words, large_words, large: bool, length: int,
     """The bytes of contexts of the anchors that a filter lets through; of equal ones in a chunk, one.
 
     What the filter lets through too much is compared as well, which changes nothing: stretches
-    that are found equal are equal. A context that comes twice stands in two places.
+    that are found equal are equal.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,20 +163,30 @@ def context_bytes(rows: DataFrame, words, large_words, large: bool, length: int,
     return rows.mapInArrow(run, _CONTEXT)
 
 
-def _offset_hashes(table: pa.Table, length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def once_each(contexts: DataFrame) -> DataFrame:
+    """One row of each context of an anchor, combined before it is shuffled."""
+    return contexts.groupBy("anchor", "context").agg(*[F.first(c).alias(c) for c in ("before", "after", "bytes")])
+
+
+def _offset_hashes(table: pa.Table, length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each offset, bytes by which a stretch begins before the anchor: rows in which such a
-    stretch is whole, and hashes of (anchor, offset, stretch)."""
+    stretch is whole, hashes of (anchor, offset, stretch), and where the stretches begin in the
+    array that second() hashes again."""
     reach = length - gram
     before, after = (table.column(c).to_numpy().astype(np.int64) for c in ("before", "after"))
     anchor = table.column("anchor").to_numpy().view(np.uint64)
-    parts = table.column("bytes").to_pylist()
-    begin = np.cumsum([0, *map(len, parts)])[:-1]
-    roll = Rolling(np.frombuffer(b"".join(parts), np.uint8))
+    raw, begin = _joined(table)
+    roll = Rolling(raw)
     for d in range(reach + 1):
         rows = np.flatnonzero((before >= d) & (after >= reach - d))
         if len(rows):
             a = begin[rows] + before[rows] - d
-            yield d, rows, mixed(roll.between(a, a + length) ^ mixed(anchor[rows] + U(d)))
+            yield d, rows, mixed(roll.between(a, a + length) ^ mixed(anchor[rows] + U(d))), a
+
+
+def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    parts = table.column("bytes").to_pylist()
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])[:-1]
 
 
 _FOUND = "anchor long, context long, offset int"
@@ -184,9 +195,19 @@ _FOUND = "anchor long, context long, offset int"
 def _compared(table: pa.Table, length: int, gram: int) -> pa.RecordBatch:
     """(anchor, context, offset) of stretches of which another context has an equal one."""
     rows, offsets = [], []
-    for d, at, value in _offset_hashes(table, length, gram):
+    second = Rolling(_joined(table)[0], 1)
+    for d, at, value, begin in _offset_hashes(table, length, gram):
         order = np.argsort(value)
         same = value[order[1:]] == value[order[:-1]]
+        some = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        if not len(some):
+            continue
+        # the few that agree in one hash are told apart by both
+        order = order[some]
+        check = second.between(begin[order], begin[order] + length)
+        again = np.lexsort((check, value[order]))
+        order, check = order[again], check[again]
+        same = (value[order[1:]] == value[order[:-1]]) & (check[1:] == check[:-1])
         hit = at[order[np.append(same, False) | np.append(False, same)]]
         rows.append(hit)
         offsets.append(np.full(len(hit), d, np.int32))
@@ -247,15 +268,18 @@ def _by_aggregation(contexts: DataFrame, single_words, length: int, gram: int) -
         for b in batches:
             t = pa.Table.from_batches([b])
             anchor, context = (t.column(c).to_numpy() for c in ("anchor", "context"))
-            for d, rows, value in _offset_hashes(t, length, gram):
+            second = Rolling(_joined(t)[0], 1)
+            for d, rows, value, begin in _offset_hashes(t, length, gram):
+                check = second.between(begin, begin + length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[rows], pa.int64()), pa.array(context[rows], pa.int64()), pa.array(np.full(len(rows), d), pa.int32()), _signed(value)],
-                    ["anchor", "context", "offset", "value"],
+                    [pa.array(anchor[rows], pa.int64()), pa.array(context[rows], pa.int64()), pa.array(np.full(len(rows), d), pa.int32()), _signed(value), _signed(check)],
+                    ["anchor", "context", "offset", "value", "check"],
                 )
 
-    rows = stored(contexts.mapInArrow(run, "anchor long, context long, offset int, value long"), "stretches")
-    twice = rows.groupBy("anchor", "offset", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    hit = rows.join(stored(twice, "stretches-twice"), ["anchor", "offset", "value"], "left_semi")
+    same = ["anchor", "offset", "value", "check"]
+    rows = stored(contexts.mapInArrow(run, "anchor long, context long, offset int, value long, check long"), "stretches")
+    twice = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hit = rows.join(stored(twice, "stretches-twice"), same, "left_semi")
     hit = hit.select("anchor", "context", "offset").repartition("anchor", "context")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +292,8 @@ def _by_aggregation(contexts: DataFrame, single_words, length: int, gram: int) -
 def covered(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, large: int = LARGE
 ) -> DataFrame:
-    """own, text_hash, begin, end: byte ranges of repeated stretches, overlapping as they come."""
+    """own, text_hash, begin, end: byte ranges of repeated stretches, overlapping as they come, each once
+    (rows repeated with their id and text have the same ones)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = _rows(docs, id_col, text_col)
@@ -283,9 +308,9 @@ def covered(
     words, single = share(bloom(asked, "anchor")), share(bloom(kinds.where("n = 1"), "context"))
     most = asked.where(F.col("contexts") > large)
     large_words = None if most.isEmpty() else share(bloom(most, "anchor"))
-    runs = _within_tasks(context_bytes(rows, words, large_words, False, length, gram), single, length, gram)
+    runs = _within_tasks(once_each(context_bytes(rows, words, large_words, False, length, gram)), single, length, gram)
     if large_words:
-        runs = runs.unionByName(_by_aggregation(context_bytes(rows, words, large_words, True, length, gram), single, length, gram))
+        runs = runs.unionByName(_by_aggregation(once_each(context_bytes(rows, words, large_words, True, length, gram)), single, length, gram))
     reach = length - gram
     none = F.lit(None).cast("int")
     status = stored(runs.unionByName(kinds.where("n > 1").select("anchor", "context", none.alias("low"), none.alias("high"))), "runs")
@@ -294,7 +319,7 @@ def covered(
     part = part.where(~whole | (F.col("before") + F.col("after") >= reach))
     begin = F.when(whole, F.col("place") - F.col("before")).otherwise(F.col("place") - F.col("high"))
     end = F.when(whole, F.col("place") + gram + F.col("after")).otherwise(F.col("place") - F.col("low") + length)
-    return part.select("own", "text_hash", begin.alias("begin"), end.alias("end"))
+    return part.select("own", "text_hash", begin.alias("begin"), end.alias("end")).distinct()
 
 
 _REMOVED = "doc_id long, n_bytes long, runs array<array<long>>, kept binary, kept_sha256 string"

@@ -138,6 +138,44 @@ def test_repeats_against_brute_force(spark, large):
         assert bytes(got[i].kept) == bytes(kept) and got[i].kept_sha256 == hashlib.sha256(kept).hexdigest() and got[i].n_bytes == len(t)
 
 
+@pytest.mark.parametrize("large", [100_000, 2])
+def test_a_passage_in_a_third_of_all_documents(spark, large):
+    """At full length, with odd copies of it beside, rows repeated with their ids and null ids."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(110))
+    rows = []
+    for i in range(48):
+        text = " ".join(word() for _ in range(draw.randrange(70)))
+        if i % 3 == 0:
+            own = list(passage)
+            if i % 12 == 0:
+                own[draw.randrange(len(own))] = "Z"
+            text = text + "".join(own)[draw.randrange(60) :] + " " + text[:80]
+        rows.append((i, text))
+    rows += [rows[3]] * 4 + [(None, passage[:230])] * 3 + [(3, "x" * 500), (3, rows[6][1] + "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((str(r.doc_id), r.n_bytes, [list(x) for x in r.runs]) for r in repeats.remove_repeats(docs, large=large).collect())
+    want = brute_repeats([t.encode() for _, t in rows], 200)
+    assert got == sorted((str(i), len(t), runs) for (i, t), runs in zip(rows, want))
+
+
+def test_one_row_of_each_context(spark):
+    """What is compared has a row a context, however many parts of the corpus it stands in."""
+    passage = " ".join(f"word{i}" for i in range(90))
+    counts = []
+    for n in (10, 40):
+        docs = spark.createDataFrame([(i, f"{i} {passage} {i}") for i in range(n)], "doc_id long, text string").repartition(n)
+        words = spark.sparkContext.broadcast(np.full(1 << 21, 2**64 - 1, np.uint64))
+        rows = repeats._rows(docs, "doc_id", "text")
+        every = repeats.context_bytes(rows, words, None, False, 200, 64)
+        once = repeats.once_each(every)
+        assert once.count() == every.select("anchor", "context").distinct().count()
+        inside = once.where("before = 136 AND after = 136").groupBy("anchor").count().agg(F.min("count")).first()[0]
+        counts.append(inside)
+    assert counts == [1, 1]
+
+
 def test_column_wise_construction():
     texts = repeat_texts()[:9] + [b"", b"ab" * 30]
     found = suffix_bcr.transform(texts)
