@@ -5,15 +5,16 @@ separator is the blank lines between records, and the sink's commit protocol mak
 files appear whole or not at all, in whatever store the path names. Long records are
 split into segments, which also bounds the size of a file.
 
-Reading parses records by their lengths. Continuation records are grouped by the id of
-the record that they continue and put in the order of their segment numbers; the total
-length is verified, and the chunked transfer framing is decoded.
+Reading streams records out of an archive by their lengths; what is damaged is a row with a
+status, and reading goes on with the next record. Continuation records are grouped by the
+id of the record that they continue and put in the order of their segment numbers; the
+total length is verified, and the chunked transfer framing is decoded.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,8 +40,15 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit(CRLF)), F.lit(""))
 
 
-def _record_id(page_id: Column, digest: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), F.substring(digest, 1, 32), F.lit(">"))
+#: Bytes of a record's header, and of its block; with more it is damaged.
+HEADER_BYTES, BLOCK_BYTES = 1 << 20, (1 << 31) - 1
+#: Bytes that are read of an archive at a time.
+READ_BYTES = 1 << 20
+
+
+def _record_id(page_id: Column, digest: Column, row: Column) -> Column:
+    """An id of its own for each row: repeated rows are records of their own."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), F.substring(digest, 1, 32), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -55,13 +63,14 @@ def records(
 
     The payload is the html in UTF-8, null counting as empty. Of records with equal payloads of
     revisit_bytes or more, that with the smallest id is a response, others revisit it; smaller
-    ones are all responses. Null ids come last; rows that repeat an id with its payload share a
-    record id and stay what that one is.
+    ones are all responses. Null ids come last; rows that repeat an id with its payload are records
+    of their own, of the same type. An empty table gives an empty result.
     """
     p = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
-    p = p.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html"))
-    first = p.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    first = stored(first.select(F.col("digest").alias("of"), "first"), "warc-firsts")
+    p = p.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html"), "row": F.monotonically_increasing_id()})
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))
+    first = p.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.min(named).alias("first"))
+    first = stored(first.select(F.col("digest").alias("of"), F.col("first.page_id").alias("first"), F.col("first.row").alias("first_row")), "warc-firsts")
     again = (F.col("bytes") >= revisit_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     p = p.join(first, F.col("digest") == F.col("of"), "left").withColumn("again", F.coalesce(again, F.lit(False)))
     chunks = F.transform(
@@ -72,7 +81,7 @@ def records(
     whole = F.concat(F.lit(head + f"Transfer-Encoding: chunked{CRLF}{CRLF}"), F.array_join(chunks, ""), F.lit(f"0{CRLF}{CRLF}"))
     p = p.withColumn("block", F.when(F.col("again"), F.lit(head + CRLF)).otherwise(whole))
     p = p.select(
-        "page_id", "url", "digest", "first", "again", _record_id(F.col("page_id"), F.col("digest")).alias("id"),
+        "page_id", "url", "digest", "first", "first_row", "again", _record_id(F.col("page_id"), F.col("digest"), F.col("row")).alias("id"),
         F.octet_length("block").alias("total"), _pieces(F.col("block"), segment_chars).alias("segments"),
     ).withColumn("n", F.size("segments"))
     p = p.select("*", F.posexplode("segments").alias("at", "segment")).drop("segments")
@@ -86,7 +95,7 @@ def records(
             _field("WARC-Page-ID", F.col("page_id")),
             _field("WARC-Payload-Digest", F.when(opens, F.concat(F.lit("sha256:"), F.col("digest")))),
             _field("WARC-Profile", F.when(opens & F.col("again"), F.lit(_PROFILE))),
-            _field("WARC-Refers-To", F.when(opens & F.col("again"), _record_id(F.col("first"), F.col("digest")))),
+            _field("WARC-Refers-To", F.when(opens & F.col("again"), _record_id(F.col("first"), F.col("digest"), F.col("first_row")))),
             _field("WARC-Segment-Number", F.when(split, F.col("at") + 1)),
             _field("WARC-Segment-Origin-ID", F.when(~opens, F.col("id"))),
             _field("WARC-Segment-Total-Length", F.when(split & last, F.col("total"))),
@@ -97,33 +106,103 @@ def records(
 
 
 def write(found: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Write records() as gzipped archives below path."""
+    """Write records() as gzipped archives below path, which mustn't exist; no records give an empty folder."""
     found.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
-def _parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(header, block) of each record; a last one that is cut off has no block."""
-    at = 0
+class _Bytes:
+    """A stream of pieces; None among them marks a break, beyond which nothing belongs together."""
+
+    def __init__(self, pieces: Iterator[bytes | None]):
+        self.pieces, self.data, self.at, self.stopped, self.over = pieces, bytearray(), 0, False, False
+
+    def fill(self) -> bool:
+        if not self.stopped:
+            piece = next(self.pieces, _END)
+            self.over = piece is _END
+            self.stopped = piece is _END or piece is None
+        if self.stopped:
+            return False
+        if self.at > READ_BYTES:
+            del self.data[: self.at]
+            self.at = 0
+        self.data += piece
+        return True
+
+    def has(self, n: int) -> bool:
+        while len(self.data) - self.at < n:
+            if not self.fill():
+                return False
+        return True
+
+    def find(self, mark: bytes, within: int | None = None) -> int:
+        """Bytes up to the next mark, -1 if there is none (within so many)."""
+        seen = 0
+        while True:
+            i = self.data.find(mark, self.at + max(0, seen - len(mark)))
+            if i >= 0:
+                return i - self.at
+            seen = len(self.data) - self.at
+            if within is not None and seen > within or not self.fill():
+                return -1
+
+    def resume(self) -> bool:
+        """Go on at the next beginning of a record, also beyond a break; false if there is none."""
+        while True:
+            while True:
+                i = self.data.find(b"\nWARC/1.", self.at)
+                if i >= 0:
+                    self.at = i + 1
+                    return True
+                self.at = max(self.at, len(self.data) - 8)
+                if not self.fill():
+                    break
+            if not self.restart():
+                return False
+            if self.has(7) and self.data.startswith(b"WARC/1."):
+                return True
+
+    def restart(self) -> bool:
+        if self.over:
+            return False
+        self.data, self.at, self.stopped = bytearray(), 0, False
+        return True
+
+
+_END = object()
+
+
+def _parsed(pieces: Iterator[bytes | None]) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(header, block) of each record; a damaged one has no block, and reading goes on with the next."""
+    b = _Bytes(pieces)
     while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
-            return
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            yield {}, None
-            return
-        head = {}
-        for line in data[at:end].decode("utf-8", "replace").split(CRLF)[1:]:
-            name, _, value = line.partition(":")
-            head[name.strip().lower()] = value.strip()
-        at = end + 4
-        size = int(head["content-length"]) if head.get("content-length", "").isdigit() else -1
-        if size < 0 or at + size > len(data):
+        while b.has(2) and b.data[b.at : b.at + 2] == b"\r\n":
+            b.at += 2
+        if not b.has(1):
+            if not b.restart():
+                return
+            continue
+        size = b.find(b"\r\n\r\n", HEADER_BYTES)
+        head: dict[str, str] = {}
+        length = -1
+        if 0 <= size <= HEADER_BYTES and b.data.startswith(b"WARC/", b.at):
+            for line in b.data[b.at : b.at + size].decode("utf-8", "replace").split(CRLF)[1:]:
+                name, _, value = line.partition(":")
+                head[name.strip().lower()] = value.strip()
+            length = _whole(head.get("content-length"))
+            b.at += size + 2  # the blank line is passed with the block: a record may begin right behind it
+        if length is None or not 0 <= length <= BLOCK_BYTES or not b.has(2 + length):
             yield head, None
-            return
-        yield head, data[at : at + size]
-        at += size
+            if not b.resume():
+                return
+            continue
+        yield head, bytes(b.data[b.at + 2 : b.at + 2 + length])
+        b.at += 2 + length
+
+
+def _whole(text: str | None) -> int | None:
+    """A number of the header, None if it is none."""
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 19 else None
 
 
 def dechunked(body: bytes) -> bytes | None:
@@ -157,14 +236,48 @@ def payload_of(block: bytes) -> bytes | None:
     return body
 
 
-def _inflated(data: bytes) -> bytes:
-    """The plain bytes of an archive, gzipped (in one or many members) or not."""
+def _inflated(raw: Iterator[bytes]) -> Iterator[bytes | None]:
+    """The plain bytes of an archive, gzipped (in one or many members) or not, a piece at a time.
+
+    A damaged member is a break, after which the next member is looked for.
+    """
+    data = more = next(raw, b"")
+    while len(data) < 2 and more:
+        data += (more := next(raw, b""))
     if data[:2] != b"\x1f\x8b":
-        return data
-    try:
-        return gzip.decompress(data)
-    except (OSError, EOFError, zlib.error):
-        return zlib.decompressobj(31).decompress(data)
+        yield data
+        yield from raw
+        return
+    while data:
+        d = zlib.decompressobj(31)
+        lost = False
+        while data:
+            try:
+                piece = d.decompress(data, READ_BYTES)
+            except zlib.error:
+                lost = True
+                break
+            if piece:
+                yield piece
+            if d.eof:
+                data = d.unused_data or next(raw, b"")
+                break
+            data = d.unconsumed_tail or next(raw, b"")
+        if lost or data and not data.startswith(b"\x1f\x8b"[: len(data)]):
+            yield None
+            data, begun = data[1:] if lost else data, False
+            while not begun:
+                i = data.find(b"\x1f\x8b\x08")
+                begun = i >= 0
+                more = b"" if begun else next(raw, b"")
+                data = data[i:] if begun else data[-2:] + more if more else b""
+                begun |= not data
+
+
+def _opened(path: str) -> Iterator[bytes]:
+    with open(path, "rb") as f:
+        while piece := f.read(READ_BYTES):
+            yield piece
 
 
 _PART = pa.schema(
@@ -190,32 +303,26 @@ def _decoded(block: bytes, total: int | None) -> tuple[str, bytes | None]:
 def parts(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """One row per record below path, continuation records with the id of their origin.
 
+    Archives on a local or mounted file system are streamed, a record at a time; those that only
+    Spark opens come as one value, so each must be below 2 GB, and are inflated as a stream.
     Records that are not segmented are decoded here, and hand on the payload (as block) only if
-    it is kept; blocks of segments go on as they are.
+    it is kept; blocks of segments go on as they are. A record with a header that can't be read, or
+    which is cut off, is a row with that status under its own id (null if it has none). An empty
+    folder, and archives without records, give no rows.
     """
     small_batches(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path)
+    streamed = re.match(r"(?:file:)?/", path) is not None
+    files = files.select(F.regexp_replace(F.col("path"), "^file:/+", "/").alias("at")) if streamed else files.select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0):
+            for x in b.column(0):
+                raw = _opened(x.as_py()) if streamed else iter([x.as_py() or b""])
                 rows, size = [], 0
-                for h, block in _parsed(_inflated(data.as_py() or b"")):
-                    page, number, total = h.get("warc-page-id"), h.get("warc-segment-number"), h.get("warc-segment-total-length")
-                    row = {
-                        "origin": h.get("warc-segment-origin-id") or h.get("warc-record-id"), "number": int(number) if number else 1,
-                        "total": int(total) if total else None, "kind": h.get("warc-type"), "page_id": int(page) if page else None,
-                        "url": h.get("warc-target-uri"), "stated": h.get("warc-payload-digest"), "refers_to_id": h.get("warc-refers-to"),
-                    }
-                    if block is not None and not number:
-                        row["status"], block = _decoded(block, None)
-                        if block is not None:
-                            row |= {"payload_bytes": len(block), "payload_digest": hashlib.sha256(block).hexdigest()}
-                        block = block if keep_payload else None
-                    elif not number:
-                        row["status"] = "segment missing"
-                    rows.append(row | {"block": block})
-                    size += len(block or b"")
+                for h, block in _parsed(_inflated(raw)):
+                    rows.append(_row(h, block, keep_payload))
+                    size += len(rows[-1]["block"] or b"") + 200
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema=_PART)
                         rows, size = [], 0
@@ -224,6 +331,29 @@ def parts(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFram
     return files.mapInArrow(run, _PARTS)
 
 
+def _row(h: dict[str, str], block: bytes | None, keep_payload: bool) -> dict:
+    """A row of parts()."""
+    told = {k: h.get(f"warc-{k}") for k in ("segment-number", "segment-total-length", "page-id")}
+    number, total = (_whole(told[k]) for k in ("segment-number", "segment-total-length"))
+    page = told["page-id"]
+    page_id = int(page) if page and re.fullmatch(r"-?\d{1,18}", page, re.ASCII) else None
+    row = {
+        "origin": h.get("warc-segment-origin-id") or h.get("warc-record-id"), "number": number or 1, "total": total, "kind": h.get("warc-type"), "page_id": page_id,
+        "url": h.get("warc-target-uri"), "stated": h.get("warc-payload-digest"), "refers_to_id": h.get("warc-refers-to"), "block": block,
+    }
+    bad = any(told[k] and v is None for k, v in (("segment-number", number), ("segment-total-length", total), ("page-id", page_id))) or number is not None and not 1 <= number < 1 << 31
+    if block is None or bad:
+        # under its own id, so that it isn't taken for a segment of another record
+        whole = {"origin": h.get("warc-record-id"), "number": 1, "total": None, "block": None}
+        return row | whole | {"status": "bad header" if bad or _whole(h.get("content-length")) is None else "cut off"}
+    if number is None:
+        row["status"], block = _decoded(block, None)
+        if block is not None:
+            row |= {"payload_bytes": len(block), "payload_digest": hashlib.sha256(block).hexdigest()}
+        row["block"] = block if keep_payload else None
+    return row
+
+
 _WHOLE = pa.schema(
     [
         ("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_to_id", pa.string()), ("copies", pa.int32()),
@@ -236,29 +366,36 @@ _WHOLES = (
 )
 
 
+_FIELDS = ("total", "kind", "page_id", "url", "stated", "refers_to_id", "status", "payload_bytes", "payload_digest", "block")
+
+
 def reassembled(found: DataFrame, keep_payload: bool = True) -> DataFrame:
     """One row per record of parts(), its segments put together.
 
-    status: ok, 'segment missing', 'wrong total length', 'broken block' or 'no origin'; only ok has
-    a payload. A revisit has none either, but the digest it states. A record that stands k times
-    in the archives is one row with copies = k.
+    status: ok, 'segment missing', 'wrong total length', 'broken block', 'no origin', 'bad header' or
+    'cut off'; only ok has a payload. A revisit has none either, but the digest it states. A record
+    that stands k times in the archives is one row with copies = k; where copies differ, a good one
+    counts. Copies are combined before they are shuffled, so a row here holds one record's segments,
+    each once. Records without an id that are damaged are one row of their own.
     """
-    grouped = found.groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("number", "total", "kind", "page_id", "url", "stated", "refers_to_id", "status", "payload_bytes", "payload_digest", "block"))).alias("segments")
-    )
+    good = F.coalesce(F.col("status"), F.lit("ok")) == "ok"
+    best = F.struct((~good).alias("bad"), F.xxhash64("block", "payload_digest", "total").alias("hash"))
+    once = found.groupBy("origin", "number").agg(F.min_by(F.struct(*_FIELDS), best).alias("s"), F.count(F.lit(1)).alias("n"))
+    grouped = once.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("number", "n", *[F.col(f"s.{c}").alias(c) for c in _FIELDS]))).alias("segments"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for origin, segments in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for origin, segments in zip(b.column(0), b.column(1)):
+                segments = segments.as_py()
                 by = {s["number"]: s for s in segments}
                 head, n = by.get(1), len(by)
                 top = by[max(by)]
-                row = {"record_id": origin, "copies": sum(s["number"] == 1 for s in segments)}
+                row = {"record_id": origin.as_py(), "copies": head["n"] if head else 0}
                 payload = None
                 if head is None:
                     status = "no origin"
-                elif n == 1 and head["status"]:
+                elif head["status"] and (n == 1 or head["status"] in ("bad header", "cut off")):
                     status, payload = head["status"], head["block"]
                     row |= {"payload_bytes": head["payload_bytes"], "payload_digest": head["payload_digest"]}
                 elif sorted(by) != list(range(1, n + 1)) or top["total"] is None or any(s["block"] is None for s in by.values()):
@@ -294,5 +431,4 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write(records(pages, id_col, url_col, html_col), path)
-    found = resolved(reassembled(parts(spark, path, False), False))
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
+    return resolved(reassembled(parts(spark, path, False), False)).drop("copies")

@@ -279,11 +279,56 @@ def test_warc_damage(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(data)
     got = {r.record_id: r for r in warc.reassembled(warc.parts(spark, str(tmp_path))).collect()}
     assert {k.strip("<>"): r.status for k, r in got.items()} == {
-        "plain": "ok", "chunk": "broken block", "split": "ok", "short": "wrong total length", "gap": "segment missing", "lost": "no origin", "cut": "segment missing",
+        "plain": "ok", "chunk": "broken block", "split": "ok", "short": "wrong total length", "gap": "segment missing", "lost": "no origin", "cut": "cut off",
     }
     assert bytes(got["<split>"].payload) == b"hello" == bytes(got["<plain>"].payload)
 
 
+def test_warc_reading_goes_on_after_damage(spark, tmp_path):
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\n\r\nWARC/1.1 in the middle\r\n\r\nWARC/9 and more"
+    record = lambda i, n=None, more="": f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\n{more}Content-Length: {len(block) if n is None else n}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    bad = {
+        "b1": record("b1", more="WARC-Segment-Number: x\r\n"), "b2": record("b2", more="WARC-Page-ID: 1.5\r\n"), "b3": record("b3", "none"), "b4": record("b4", 10**15),
+        "b5": record("b5", more="WARC-Segment-Number: 2\r\nWARC-Segment-Total-Length: y\r\nWARC-Segment-Origin-ID: <g0>\r\n"), None: b"junk\r\n\r\nnot a record\r\n",
+    }
+    data, good = record("g0"), {"g0"}
+    for k, b in bad.items():
+        data += b + record(f"g-{k}")
+        good.add(f"g-{k}")
+    (tmp_path / "a.warc").write_bytes(data + record("end", 9999))
+    members = [gzip.compress(record(f"z{k}")) for k in range(4)]
+    members[1] = members[1][:40] + b"\0" * 9 + members[1][49:]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "c.warc").write_bytes(b"")
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(record("g0") * 3)[:-12])
+    got = {(r.record_id or "none").strip("<>"): r for r in warc.reassembled(warc.parts(spark, str(tmp_path))).collect()}
+    assert {k for k, r in got.items() if r.status == "ok"} == good | {"z0", "z2", "z3"}
+    assert all(bytes(r.payload) == block.partition(b"\r\n\r\n")[2] for r in got.values() if r.status == "ok")
+    assert {k: got[k].status for k in ("b1", "b2", "b3", "b4", "b5", "none", "end")} == dict.fromkeys(("b1", "b2", "b3", "b5", "none"), "bad header") | {"b4": "cut off", "end": "cut off"}
+    assert got["g0"].copies >= 2
+
+
+def test_warc_repeated_rows_are_records_of_their_own(spark):
+    rows = [(1, "u", "x" * 200)] * 40 + [(None, "u", "x" * 200)] * 40 + [(2, None, "y" * 20)] * 3 + [(None, None, None)] * 3
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).groupBy("page_id", "record_type", "refers_to", "payload_bytes").count().collect()
+    assert {tuple(r) for r in got} == {(1, "response", None, 200, 40), (None, "revisit", 1, 200, 40), (2, "response", None, 20, 3), (None, "response", None, 0, 3)}
+
+
+@pytest.mark.parametrize("size", [1, 3, 1 << 20])
+def test_archives_are_read_a_piece_at_a_time(monkeypatch, size):
+    import gzip
+
+    monkeypatch.setattr(warc, "READ_BYTES", size)
+    record = lambda i: f"WARC/1.1\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {i}\r\n\r\n".encode() + b"\r\n" * (i // 2) + b"x" * (i % 2) + b"\r\n\r\n"
+    plain = b"".join(record(i) for i in range(9))
+    cut = lambda data: iter([data[i : i + size] for i in range(0, len(data), size)])
+    for data in (plain, gzip.compress(plain), b"".join(gzip.compress(record(i)) for i in range(9))):
+        got = list(warc._parsed(warc._inflated(cut(data))))
+        assert [(h["warc-record-id"], len(b)) for h, b in got] == [(f"<{i}>", i) for i in range(9)]
+
+
 # ---- chat
 
 
