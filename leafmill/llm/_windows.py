@@ -27,11 +27,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any windows of a byte array, in constant time each. lane: which of the two."""
+    """Hashes of any windows of a byte array, in constant time each."""
 
-    def __init__(self, raw: np.ndarray, lane: int = 0):
-        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTES[lane][raw] * _powers(_BASES[lane], len(raw))[:-1], dtype=U)])
-        self.inverse = _powers(_INVERSES[lane], len(raw))
+    def __init__(self, raw: np.ndarray):
+        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTES[0][raw] * _powers(_BASES[0], len(raw))[:-1], dtype=U)])
+        self.inverse = _powers(_INVERSES[0], len(raw))
 
     def windows(self, size: int) -> np.ndarray:
         """The hash of the window of that size at each place where one fits."""
@@ -43,6 +43,26 @@ class Rolling:
         return mixed((self.sums[end] - self.sums[begin]) * self.inverse[begin] + (end - begin).astype(U))
 
 
+class Moving:
+    """The hash of a window of each row, which moves over the columns. lane: which of the two hashes."""
+
+    def __init__(self, columns: np.ndarray, size: int, lane: int):
+        self.columns, self.size, self.at = columns, size, 0
+        self.bytes, self.inverse = _BYTES[lane], _INVERSES[lane]
+        powers = _powers(_BASES[lane], size)
+        self.top = powers[size - 1]
+        self.sum = np.zeros(columns.shape[1], U)
+        for k in range(size):
+            self.sum += self.bytes[columns[k]] * powers[k]
+
+    def move(self) -> None:
+        self.sum = (self.sum - self.bytes[self.columns[self.at]]) * self.inverse + self.bytes[self.columns[self.at + self.size]] * self.top
+        self.at += 1
+
+    def hashes(self) -> np.ndarray:
+        return mixed(self.sum)
+
+
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (np.minimum or np.maximum) over each width neighbours, by doubling."""
     have = 1

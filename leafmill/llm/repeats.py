@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._bloom import bloom, maybe
 from ._common import quoted, small_batches, stored, text_of
-from ._windows import Rolling, U, anchors, mixed
+from ._windows import Moving, Rolling, U, anchors, mixed
 
 LENGTH, GRAM = 200, 64
 #: Anchors with more contexts than this are compared by aggregation.
@@ -47,40 +47,46 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, Rolling]]:
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
-            size += len(texts[j])
-            j += 1
-        raw = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-        yield i, j, raw, Rolling(raw)
-        i = j
+def _pieces(texts: list[bytes], length: int, gram: int) -> Iterator[list[tuple[int, int, int, int, int]]]:
+    """Chunks of pieces of documents: (number of the document, bytes [lo, hi), grams [begin, end) that the
+    piece is asked for). Long documents are cut; a piece reaches as far beyond as its anchors see."""
+    reach, chunk, size = length - gram, [], 0
+    for k, t in enumerate(texts):
+        grams = len(t) - gram + 1
+        for begin in range(0, grams, CHUNK) if len(t) >= length else ():
+            end = min(begin + CHUNK, grams)
+            lo, hi = max(0, begin - reach), min(len(t), end + reach + gram)
+            if chunk and size + hi - lo > CHUNK:
+                yield chunk
+                chunk, size = [], 0
+            chunk.append((k, lo, hi, begin, end))
+            size += hi - lo
+    if chunk:
+        yield chunk
 
 
 def _anchored(texts: list[bytes], length: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
     """Anchors of documents, a chunk of them at a time: number of the document, place in it, hash,
     context hash, bytes of the context before and after, and the context's begin in raw."""
     reach = length - gram
-    for i, j, raw, roll in _chunks(texts):
+    for pieces in _pieces(texts, length, gram):
+        raw = np.frombuffer(b"".join(texts[k][lo:hi] for k, lo, hi, _, _ in pieces), np.uint8)
+        roll = Rolling(raw)
         grams = roll.windows(gram)
         number, place, base, rest, at = [], [], [], [], 0
-        for k in range(i, j):
-            n = len(texts[k])
-            if n >= length:
-                a = anchors(grams[at : at + n - gram + 1], reach + 1)
-                number.append(np.full(len(a), k))
-                base.append(np.full(len(a), at))
-                place.append(a)
-                rest.append(n - gram - a)
-            at += n
-        if number:
-            number, place, base, rest = (np.concatenate(x) for x in (number, place, base, rest))
-            before, after = np.minimum(place, reach), np.minimum(rest, reach)
-            begin = base + place - before
-            context = mixed(roll.between(begin, begin + before + gram + after) + (before * (reach + 1) + after).astype(U))
-            yield {"number": number, "place": place, "anchor": grams[base + place], "context": context, "before": before, "after": after, "begin": begin, "raw": raw}
+        for k, lo, hi, first, last in pieces:
+            a = anchors(grams[at : at + hi - lo - gram + 1], reach + 1)
+            a = a[(a >= first - lo) & (a < last - lo)]
+            number.append(np.full(len(a), k))
+            base.append(at + a)
+            place.append(lo + a)
+            rest.append(len(texts[k]) - gram - lo - a)
+            at += hi - lo
+        number, place, base, rest = (np.concatenate(x) for x in (number, place, base, rest))
+        before, after = np.minimum(place, reach), np.minimum(rest, reach)
+        begin = base - before
+        context = mixed(roll.between(begin, begin + before + gram + after) + (before * (reach + 1) + after).astype(U))
+        yield {"number": number, "place": place, "anchor": grams[base], "context": context, "before": before, "after": after, "begin": begin, "raw": raw}
 
 
 def _identity(ids: list[int | None], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,23 +176,24 @@ def once_each(contexts: DataFrame) -> DataFrame:
 
 def _offset_hashes(table: pa.Table, length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each offset, bytes by which a stretch begins before the anchor: rows in which such a
-    stretch is whole, hashes of (anchor, offset, stretch), and where the stretches begin in the
-    array that second() hashes again."""
+    stretch is whole, and two hashes of (anchor, offset, stretch).
+
+    Contexts stand below each other with their anchors in a column, and the stretch moves on by
+    one column at a time, so there is never more than a few numbers a row.
+    """
     reach = length - gram
     before, after = (table.column(c).to_numpy().astype(np.int64) for c in ("before", "after"))
     anchor = table.column("anchor").to_numpy().view(np.uint64)
-    raw, begin = _joined(table)
-    roll = Rolling(raw)
-    for d in range(reach + 1):
-        rows = np.flatnonzero((before >= d) & (after >= reach - d))
-        if len(rows):
-            a = begin[rows] + before[rows] - d
-            yield d, rows, mixed(roll.between(a, a + length) ^ mixed(anchor[rows] + U(d))), a
-
-
-def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = table.column("bytes").to_pylist()
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])[:-1]
+    rows = zip(before.tolist(), after.tolist(), table.column("bytes").to_pylist())
+    flat = b"".join(bytes(reach - b) + x + bytes(reach - a) for b, a, x in rows)
+    columns = np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(len(before), 2 * reach + gram).T)
+    moving = [Moving(columns, length, lane) for lane in (0, 1)]
+    for d in range(reach, -1, -1):
+        some = np.flatnonzero((before >= d) & (after >= reach - d))
+        yield d, some, mixed(moving[0].hashes()[some] ^ mixed(anchor[some] + U(d))), moving[1].hashes()[some]
+        if d:
+            for m in moving:
+                m.move()
 
 
 _FOUND = "anchor long, context long, offset int"
@@ -195,8 +202,7 @@ _FOUND = "anchor long, context long, offset int"
 def _compared(table: pa.Table, length: int, gram: int) -> pa.RecordBatch:
     """(anchor, context, offset) of stretches of which another context has an equal one."""
     rows, offsets = [], []
-    second = Rolling(_joined(table)[0], 1)
-    for d, at, value, begin in _offset_hashes(table, length, gram):
+    for d, at, value, check in _offset_hashes(table, length, gram):
         order = np.argsort(value)
         same = value[order[1:]] == value[order[:-1]]
         some = np.flatnonzero(np.append(same, False) | np.append(False, same))
@@ -204,9 +210,8 @@ def _compared(table: pa.Table, length: int, gram: int) -> pa.RecordBatch:
             continue
         # the few that agree in one hash are told apart by both
         order = order[some]
-        check = second.between(begin[order], begin[order] + length)
-        again = np.lexsort((check, value[order]))
-        order, check = order[again], check[again]
+        order = order[np.lexsort((check[order], value[order]))]
+        check = check[order]
         same = (value[order[1:]] == value[order[:-1]]) & (check[1:] == check[:-1])
         hit = at[order[np.append(same, False) | np.append(False, same)]]
         rows.append(hit)
@@ -234,7 +239,7 @@ def _runs_of_offsets(found: pa.RecordBatch) -> pa.RecordBatch:
 
 _RUN = "anchor long, context long, low int, high int"
 #: Contexts compared at a time; whole anchors, so a large one may be more.
-_AT_ONCE = 20_000
+_AT_ONCE = 4_000
 
 
 def _within_tasks(contexts: DataFrame, single_words, length: int, gram: int) -> DataFrame:
@@ -268,9 +273,7 @@ def _by_aggregation(contexts: DataFrame, single_words, length: int, gram: int) -
         for b in batches:
             t = pa.Table.from_batches([b])
             anchor, context = (t.column(c).to_numpy() for c in ("anchor", "context"))
-            second = Rolling(_joined(t)[0], 1)
-            for d, rows, value, begin in _offset_hashes(t, length, gram):
-                check = second.between(begin, begin + length)
+            for d, rows, value, check in _offset_hashes(t, length, gram):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor[rows], pa.int64()), pa.array(context[rows], pa.int64()), pa.array(np.full(len(rows), d), pa.int32()), _signed(value), _signed(check)],
                     ["anchor", "context", "offset", "value", "check"],

@@ -160,6 +160,21 @@ def test_a_passage_in_a_third_of_all_documents(spark, large):
     assert got == sorted((str(i), len(t), runs) for (i, t), runs in zip(rows, want))
 
 
+@pytest.mark.parametrize("chunk", [1, 50, 333])
+def test_long_documents_are_cut_without_a_trace(monkeypatch, chunk):
+    draw = random.Random(8)
+    texts = [bytes(draw.choice(b"abcd") for _ in range(n)) for n in (39, 40, 41, 700, 90, 2_000)]
+    seen = lambda: sorted(
+        (int(k), int(p), int(a), int(c), x["raw"][b : b + bf + 16 + af].tobytes())
+        for x in repeats._anchored(texts, 40, 16)
+        for k, p, a, c, b, bf, af in zip(x["number"], x["place"], x["anchor"], x["context"], x["begin"], x["before"], x["after"])
+    )
+    want = seen()
+    assert all(texts[k][max(0, p - 24) : p + 40] == t for k, p, _, _, t in want)
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    assert seen() == want
+
+
 def test_one_row_of_each_context(spark):
     """What is compared has a row a context, however many parts of the corpus it stands in."""
     passage = " ".join(f"word{i}" for i in range(90))
