@@ -1,8 +1,8 @@
-"""A Bloom filter of fixed size over a column of 64-bit hashes.
+"""A Bloom filter of bounded size over a column of 64-bit hashes.
 
 It decides what is worth shuffling, never what is in a result: what it lets through is
-joined exactly afterwards. Its size doesn't grow with the data, so it may be broadcast;
-if very many keys fill it up, it lets more through and nothing is lost.
+joined exactly afterwards. It has about PER_KEY bits a key, but at most 2 ** MOST (128 MB),
+so it may be broadcast; beyond some 100 million keys it lets more through and nothing is lost.
 """
 
 from __future__ import annotations
@@ -16,27 +16,28 @@ from pyspark.sql import functions as F
 
 from ._common import free_name, quoted
 
-#: 2 ** BITS bits are 16 MB.
-BITS = 27
-SHIFTS = (0, 18, 37)
+#: Bits a key, and the least and the most bits of a filter, as powers of two.
+PER_KEY, LEAST, MOST = 10, 16, 30
+SHIFTS = (0, 17, 34)
 
 
 def bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """The filter's words. At most 2 ** BITS / 64 rows, each a word, come to the driver."""
-    mask = F.lit((1 << BITS) - 1)
+    """The filter's words. At most 2 ** MOST / 64 rows, each a word, come to the driver."""
+    size = min(max((PER_KEY * keys.count()).bit_length(), LEAST), MOST)
+    mask = F.lit((1 << size) - 1)
     bits = keys.select(F.explode(F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(mask) for s in SHIFTS])).alias("bit"))
     one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
     words = bits.select(F.shiftright("bit", 6).alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out = np.zeros(1 << (size - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint64)
     return out
 
 
 def maybe(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key (uint64) may be among those of the filter."""
-    ok = np.ones(len(keys), bool)
+    ok, mask = np.ones(len(keys), bool), np.uint64(64 * len(words) - 1)
     for s in SHIFTS:
-        bit = (keys >> np.uint64(s)) & np.uint64((1 << BITS) - 1)
+        bit = (keys >> np.uint64(s)) & mask
         ok &= (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
     return ok
 

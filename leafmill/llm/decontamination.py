@@ -100,7 +100,12 @@ def build_index(
     docs: DataFrame, terms: Iterable[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text",
     segment_words: int = SEGMENT_WORDS, gap: int = WINDOW + SLOP + 1,
 ) -> DataFrame:
-    """The stored index: one row per segment. terms: those to keep lists of, all if None."""
+    """The stored index: one row per segment. terms: those to keep lists of, all if None.
+
+    Null texts have no words, null ids stay null, repeated rows are documents of their own. An empty
+    table gives an empty index. An index of all terms answers any items; which are asked for is
+    told by Queries.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(None if terms is None else {t: i for i, t in enumerate(sorted(set(terms)))})
@@ -292,7 +297,13 @@ def contamination(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
-        out = out.withColumn("runs", F.udf(merged, "array<array<long>>", useArrow=False)(F.array_sort("runs")))
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                runs = pa.array([merged(sorted(r)) for r in b.column(2).to_pylist()], pa.list_(pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), runs, b.column(3)], ["doc_id", "n_words", "runs", "items"])
+
+        out = out.select("doc_id", "n_words", "runs", "items").mapInArrow(merge, "doc_id long, n_words long, runs array<array<long>>, items array<string>")
     return out.select("doc_id", "n_words", "runs", "items")
 
 

@@ -2,8 +2,10 @@
 
 Each document of the shuffled source gets a virtual finish time: the source's words up
 to and with it, divided by the source's target. All documents, repeats included, are
-ordered by it and cut off at the total budget. Running totals come from a radix tree of
-sums over the order's key, so no source and no range of the order is ever one task.
+ordered by it and cut off at the total budget. The global order is a range sort by radix:
+a running total comes from a tree of sums over ranges of the order's key, and only rows of
+one leaf are sorted with each other, so no source and no range of the order is ever one
+task. Ranks and targets of the sources, however many there are, come from the same totals.
 """
 
 from __future__ import annotations
@@ -59,24 +61,38 @@ def running_total(df: DataFrame, group: str, position: str, value: str, order: l
     )
 
 
-def targets(sources: DataFrame, max_repeats: int, share: float = 1.0) -> DataFrame:
-    """sources (rank, source, n, source_size, weight) with target: weights share out the
-    budget; no target is above max_repeats times its source, and what that leaves over is
+def source_position(source: Column, skip: int = 0) -> Column:
+    """A position of a text that keeps the order of code points: seven bytes, after those that all share; null last."""
+    first = F.rpad(F.hex(F.substring(F.encode(source, "UTF-8"), skip + 1, 7)), 14, "0")
+    return F.coalesce(F.conv(first, 16, 10).cast("long"), F.lit(1 << (BITS - 1)))
+
+
+def ranked(sources: DataFrame, rows: int) -> DataFrame:
+    """sources (of which there are rows) with rank: from 0, by code point, null last."""
+    least, most = ((x or "").encode() for x in sources.agg(F.min("source"), F.max("source")).first())
+    shared = next((i for i, (a, b) in enumerate(zip(least, most)) if a != b), min(len(least), len(most)))
+    s = sources.withColumns({"all": F.lit(0), "pos": source_position(F.col("source"), shared), "one": F.lit(1), "none": F.col("source").isNull()})
+    s = running_total(s, "all", "pos", "one", ["none", "source"], "rank", rows)
+    return s.withColumn("rank", (F.col("rank") - 1).cast("int")).drop("all", "pos", "one", "none")
+
+
+def targets(sources: DataFrame, max_repeats: int, total: int | float, rows: int) -> DataFrame:
+    """sources (rank, source, n, source_size, weight; so many rows) with target: weights share out the
+    total; no target is above max_repeats times its source, and what that leaves over is
     shared again by weight, until none is above. One row per source."""
-    every = Window.partitionBy()
-    s = sources.withColumn("total", F.sum("source_size").over(every) * F.lit(share))
-    s = s.withColumn("cap", F.col("source_size") * max_repeats)
-    s = s.withColumn("full_at", F.col("cap").cast("double") / F.col("weight"))
-    by = Window.orderBy("full_at", "rank")
-    upto = by.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by.rowsBetween(0, Window.unboundedFollowing)
-    rest = F.col("total") - F.coalesce(F.sum("cap").over(upto), F.lit(0))
-    s = s.withColumn("level", rest.cast("double") / F.sum("weight").over(onward)).withColumn("nth", F.row_number().over(by))
-    holds = F.when(F.col("level") <= F.col("full_at"), F.struct("nth", "level"))
-    s = s.withColumn("level", F.min(holds).over(every)["level"])
-    return s.withColumn(
-        "target", F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-    )
+    s = sources.withColumn("cap", F.col("source_size") * max_repeats)
+    s = s.withColumn("full_at", F.col("cap").cast("double") / F.col("weight")).withColumn("all", F.lit(0))
+    s = stored(s, "mix-caps")
+    weights, highest = s.agg(F.sum("weight"), F.max("full_at")).first()
+    # sources fill up in this order; before each, what is used up and whose weights are gone
+    s = s.withColumn("at", (F.col("full_at") / F.lit(max(highest or 0.0, 1.0)) * F.lit(float(1 << (BITS - 1)))).cast("long"))
+    s = running_total(s, "all", "at", "cap", ["full_at", "rank"], "used", rows)
+    s = running_total(s, "all", "at", "weight", ["full_at", "rank"], "gone", rows)
+    rest, onward = F.lit(total) - (F.col("used") - F.col("cap")), F.lit(weights or 0) - (F.col("gone") - F.col("weight"))
+    s = stored(s.withColumn("level", rest.cast("double") / onward.cast("double")), "mix-levels")
+    level = s.where("level <= full_at").agg(F.min_by("level", F.struct("full_at", "rank"))).first()[0]
+    cap = F.col("cap").cast("double")
+    return s.withColumn("target", cap if level is None else F.least(cap, F.lit(level) * F.col("weight"))).drop("all", "at", "used", "gone", "level")
 
 
 def mix(
@@ -99,12 +115,12 @@ def mix(
         ),
         "mix-rows",
     )
-    per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
-    per = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    per = stored(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size")), "mix-sources")
+    n_rows, largest, words, n_sources = per.agg(F.sum("n"), F.max("n"), F.sum("source_size"), F.count(F.lit(1))).first()
+    budget = (words or 0) * share if share != 1 else words or 0
     kinds = F.array(*[F.lit(int(w)) for w in weights])
-    per = per.withColumn("weight", F.element_at(kinds, (F.col("rank") % len(weights) + 1).cast("int")))
-    plan = stored(targets(per, max_repeats, share), "mix-targets")
-    n_rows, largest, budget = plan.agg(F.sum("n"), F.max("n"), F.max("total")).first()
+    per = ranked(per, n_sources).withColumn("weight", F.element_at(kinds, (F.col("rank") % len(weights) + 1).cast("int")))
+    plan = stored(targets(per, max_repeats, budget, n_sources), "mix-targets")
     named = plan.select(F.col("source").alias("of"), "rank", "source_size", "target")
     placed = rows.join(named, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     # words of its source up to and with each document
@@ -127,7 +143,7 @@ def mix(
     key = ["time", "rank", "pass", "pos", "doc_id", "uid"]
     queue = queue.withColumn("at", (F.least(F.col("time"), F.lit(1.9999)) * F.lit(float(1 << (BITS - 1)))).cast("long"))
     queue = running_total(queue, "all", "at", "size", key, "words", int(n_rows or 0))
-    cut = queue.where(F.col("words") <= F.lit(budget or 0)).agg(F.max(F.struct(*key)).alias("last")).first()["last"]
+    cut = queue.where(F.col("words") <= F.lit(budget)).agg(F.max(F.struct(*key)).alias("last")).first()["last"]
 
     def taken(k: int) -> Column:
         if cut is None:

@@ -90,6 +90,26 @@ def test_running_total_at_any_depth(spark, monkeypatch):
         assert r.c == sums[r.g]
 
 
+def test_many_sources(spark, monkeypatch):
+    """Ranks and targets of more sources than a leaf holds, against the same sums in plain Python."""
+    monkeypatch.setattr(mixing, "LEAF_ROWS", 4)
+    names = [None, "", "\U0001f600", "é"] + [f"https://host-{i % 7}{'x' * (i % 3)}.example/{i}" for i in range(150)]
+    rows = [(i, " ".join("w" * (1 + i * 7 % 40) for _ in range(1)) + " w" * (i * 13 % 29), s) for i, s in enumerate(names)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    sizes = {s: len((t or "").split()) for _, t, s in rows}
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    left, level = sum(sizes.values()), None
+    todo = sorted(order, key=lambda s: (3 * sizes[s] / weight[s], order.index(s)))
+    for k, s in enumerate(todo):
+        level = left / sum(weight[x] for x in todo[k:])
+        if level <= 3 * sizes[s] / weight[s]:
+            break
+        left -= 3 * sizes[s]
+    assert len(got) == len(rows)
+    assert all(r.target == pytest.approx(min(3 * sizes[r.source], level * weight[r.source])) and r.source_size == sizes[r.source] for r in got)
+
+
 def test_native_plans(spark, messy):
     for d in (exact_dedup.exact_dedup(messy), mixing.mix(messy)):
         assert "Python" not in d._jdf.queryExecution().toString() and "Arrow" not in d._jdf.queryExecution().toString()
