@@ -14,6 +14,7 @@ sides are dealt for it alone, the adaptive planner may split a hot digest.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,12 +37,12 @@ def _wide(x: Column) -> Column:
     return x.cast("decimal(38,0)")
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars (of the original text), digest, check, n_norm, norm."""
-    t = docs.select(quoted(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    t = t.select("doc_id", F.length("text").cast("long").alias("n_chars"), normalised(F.col("text")).alias("norm"))
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_chars (of the original text), digest, check, n_norm, norm, and more columns of docs."""
+    t = docs.select(quoted(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *more)
+    t = t.select("doc_id", F.length("text").cast("long").alias("n_chars"), normalised(F.col("text")).alias("norm"), *more)
     return t.select(
-        "doc_id", "n_chars", F.sha2("norm", 256).alias("digest"),
+        *more, "doc_id", "n_chars", F.sha2("norm", 256).alias("digest"),
         F.xxhash64("norm").alias("check"), F.length("norm").alias("n_norm"), "norm",
     )
 
@@ -89,18 +90,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns and nothing else."""
-    digest, nth = free_name(docs, "digest_"), free_name(docs, "nth_")
-    kept = exact_dedup(docs, id_col, text_col, salts).where("kept").select(
-        F.col("text_sha256").alias("k_digest"), F.col("doc_id").alias("k_id"), F.lit(1).alias("k_one")
-    )
-    full = docs.withColumn(digest, F.sha2(normalised(text_of(text_col)), 256))
-    on = (quoted(digest) == F.col("k_digest")) & quoted(id_col).cast("long").eqNullSafe(F.col("k_id"))
-    # of rows repeated with their id, the longest; the join has dealt them together already
-    first = Window.partitionBy(quoted(digest), quoted(id_col)).orderBy(F.length(text_of(text_col)).desc())
-    return (
-        full.join(kept, on, "left_semi")
-        .withColumn(nth, F.row_number().over(first))
-        .where(quoted(nth) == 1)
-        .drop(nth, digest)
-    )
+    """The rows of docs that exact_dedup keeps, with all their columns and nothing else.
+
+    Rows are known by two hashes of id and text, so texts are normalised and digested once, and docs
+    are shuffled once, for those of the winners. Of rows that share id and text, which differ at
+    most in other columns, the one whose columns have the least hash stays.
+    """
+    one, two, nth = (free_name(docs, n) for n in ("mark_one_", "mark_two_", "nth_"))
+    marks = {one: F.xxhash64(quoted(id_col).cast("long"), text_of(text_col)), two: F.xxhash64(text_of(text_col), quoted(id_col).cast("long"), F.lit(1))}
+    rows = keyed(docs.select(quoted(id_col), quoted(text_col)).withColumns(marks), id_col, text_col, [one, two])
+    found = rows.drop("norm").join(stored(text_groups(rows, salts), "exact-groups"), ["digest", "check", "n_norm"])
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
+    winners = found.where(best).groupBy("digest", "check", "n_norm").agg(F.min(F.struct(one, two)).alias("w"), F.count(F.lit(1)).alias("n"))
+    winners = stored(winners.select(F.col(f"w.{one}").alias("k_one"), F.col(f"w.{two}").alias("k_two"), "n"), "exact-winners")
+    kept = docs.withColumns(marks).join(winners.drop("n"), (quoted(one) == F.col("k_one")) & (quoted(two) == F.col("k_two")), "left_semi")
+    twice = winners.where("n > 1").select("k_one", "k_two")
+    if twice.isEmpty():
+        return kept.drop(one, two)
+    # few: rows that share id and text with a winner
+    same = (quoted(one) == F.col("k_one")) & (quoted(two) == F.col("k_two"))
+    order = F.xxhash64(F.to_json(F.struct(*[quoted(c) for c in docs.columns])))
+    several = kept.join(twice, same, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(quoted(one), quoted(two)).orderBy(order)))
+    return kept.join(twice, same, "left_anti").unionByName(several.where(quoted(nth) == 1).drop(nth)).drop(one, two)
