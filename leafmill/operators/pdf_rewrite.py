@@ -6,6 +6,7 @@ These work on a parsed document inside a task; leafmill.sources.pdf runs them ov
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -17,6 +18,10 @@ from leafmill.sources.pdf_model import Document, Name, PdfError, Ref, Stream, ca
 TRIVIAL_PIXELS, SMALL_JPEG_PIXELS, TINY_JPEG, SMALL, MANY, MIN_STREAM = 10_000, 250_000, 6_144, 65_536, 24, 64
 MOST_PIXELS, MOST_EDGE = 100_000_000, 65_535
 LOW_QUALITY, HIGH_QUALITY, MIN_EDGE, ROUNDS = 15, 100, 400, 12
+#: Bytes of the planes and products that a size search keeps, of one image and of all.
+KEPT_PLANE, KEPT = 96 << 20, 768 << 20
+#: What is told how far a run is: a phase and a percentage.
+Report = Callable[[str, float], None]
 
 
 def is_image(o: Any) -> bool:
@@ -515,28 +520,80 @@ def plane_of(doc: Document, s: Stream, f: dict, space: dict | None) -> np.ndarra
     return planes.calibrated_cmyk(p) if p.ndim == 3 and p.shape[2] == 4 else p
 
 
-def encoded_image(doc: Document, s: Stream, f: dict, settings: dict, space: dict | None, by_detail: bool = False) -> tuple[dict, bytes, Stream | None]:
+class ImageCache:
+    """What a size search keeps of an image between its rounds: the decoded plane and whether it is
+    fax coded, and by size the resized mask and the fax data, which no quality changes."""
+
+    __slots__ = ("plane", "bilevel", "mask", "fax", "failed")
+
+    def __init__(self) -> None:
+        self.plane: np.ndarray | None = None
+        self.bilevel: bool | None = None
+        self.mask: tuple[tuple[int, int], Stream] | None = None
+        self.fax: tuple[tuple[int, int], bytes] | None = None
+        self.failed: str | None = None
+
+    def plane_bytes(self) -> int:
+        return 0 if self.plane is None else self.plane.nbytes
+
+    def product_bytes(self) -> int:
+        return (len(self.mask[1].data) if self.mask else 0) + (len(self.fax[1]) if self.fax else 0)
+
+    def keep_plane(self, plane: np.ndarray) -> None:
+        self.plane = plane if plane.nbytes <= KEPT_PLANE else None
+
+    def drop_plane(self) -> None:
+        self.plane = None
+
+    def drop_products(self) -> None:
+        """That an image can't be decoded stays known."""
+        self.mask = self.fax = None
+
+
+def evict(caches: list[ImageCache], budget: int = KEPT) -> None:
+    """Drop the largest planes, then the largest products, until what is left fits the budget."""
+    total = sum(c.plane_bytes() + c.product_bytes() for c in caches)
+    for size, drop in ((ImageCache.plane_bytes, ImageCache.drop_plane), (ImageCache.product_bytes, ImageCache.drop_products)):
+        for c in sorted(caches, key=size, reverse=True):
+            if total <= budget:
+                return
+            total -= size(c)
+            drop(c)
+
+
+def encoded_image(
+    doc: Document, s: Stream, f: dict, settings: dict, space: dict | None, by_detail: bool = False, cache: ImageCache | None = None
+) -> tuple[dict, bytes, Stream | None]:
     """(dictionary, data, soft mask) of the image at the settings' quality and size."""
-    p = plane_of(doc, s, f, space)
-    if settings["grayscale"] or space and space["kind"] == "gray":
-        p = planes.luma(p)
+    cache = cache or ImageCache()
+    p = cache.plane
+    if p is None:
+        p = plane_of(doc, s, f, space)
+        if settings["grayscale"] or space and space["kind"] == "gray":
+            p = planes.luma(p)
+        if cache.bilevel is None:
+            cache.bilevel = bool(settings["bilevel_codec"] == "g4" and planes.colourless(p) and planes.near_bilevel(p))
+        p = planes.luma(p) if cache.bilevel else p
+        cache.keep_plane(p)
     w, h = planes.target_size(p.shape[1], p.shape[0], settings["max_image_size_px"])
-    bilevel = settings["bilevel_codec"] == "g4" and planes.colourless(p) and planes.near_bilevel(p)
-    if bilevel:
-        p = planes.luma(p)
     quality = settings["image_quality"]
     if by_detail:
         score = planes.detail(p)
         quality = min(max(quality + (-12 if score < 8 else 6 if score > 25 else 0), 10), 100)
-    if (w, h) != (p.shape[1], p.shape[0]):
+    known = cache.bilevel and cache.fax is not None and cache.fax[0] == (w, h)
+    if (w, h) != (p.shape[1], p.shape[0]) and not known:
         p = planes.resized(p, w, h)
     d = {k: v for k, v in s.dict.items() if k not in (b"Filter", b"DecodeParms", b"Decode", b"Length", b"ColorSpace", b"BitsPerComponent", b"F", b"DP")}
     d |= {b"Width": w, b"Height": h, b"ColorSpace": Name(b"DeviceGray" if p.ndim == 2 else b"DeviceRGB")}
-    mask = doc.get(s.dict.get(b"SMask"))
-    new_mask = _resized_mask(mask, w, h) if isinstance(mask, Stream) and (w, h) != (f["width"], f["height"]) else None
-    if bilevel:
-        data = fax.encode_g4(p < 128)
-        return d | {b"BitsPerComponent": 1, b"Filter": Name(b"CCITTFaxDecode"), b"DecodeParms": {b"K": -1, b"Columns": w, b"Rows": h, b"BlackIs1": False}}, data, new_mask
+    mask, new_mask = doc.get(s.dict.get(b"SMask")), None
+    if isinstance(mask, Stream) and (w, h) != (f["width"], f["height"]):
+        if cache.mask is None or cache.mask[0] != (w, h):
+            cache.mask = (w, h), _resized_mask(mask, w, h)
+        new_mask = cache.mask[1]
+    if cache.bilevel:
+        if not known:
+            cache.fax = (w, h), fax.encode_g4(p < 128)
+        return d | {b"BitsPerComponent": 1, b"Filter": Name(b"CCITTFaxDecode"), b"DecodeParms": {b"K": -1, b"Columns": w, b"Rows": h, b"BlackIs1": False}}, cache.fax[1], new_mask
     return d | {b"BitsPerComponent": 8, b"Filter": Name(b"DCTDecode")}, jpeg.encode(p, quality), new_mask
 
 
@@ -570,13 +627,18 @@ def image_tasks(doc: Document, settings: dict) -> tuple[list[tuple[Ref, Stream,
     return sorted(tasks, key=lambda t: (-t[2]["bytes"], t[0])), skipped
 
 
-def attempt(doc: Document, task: tuple, settings: dict, by_detail: bool = False) -> tuple[dict, bytes, Stream | None] | str:
+def attempt(doc: Document, task: tuple, settings: dict, by_detail: bool = False, cache: ImageCache | None = None) -> tuple[dict, bytes, Stream | None] | str:
     """The encoding of a task's image, or why there is none. Nothing that an image holds stops the run."""
     _, s, f, space = task
+    if cache and cache.failed:
+        return cache.failed
     try:
-        d, data, mask = encoded_image(doc, s, f, settings, space, by_detail)
+        d, data, mask = encoded_image(doc, s, f, settings, space, by_detail, cache)
     except (PdfError, ValueError, TypeError, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError) as e:
-        return f"not decoded: {e}"[:120]
+        failed = f"not decoded: {e}"[:120]
+        if cache:
+            cache.failed = failed
+        return failed
     if len(data) >= len(s.data) and f["longest_edge"] <= settings["max_image_size_px"]:
         return "the result would not be smaller"
     return d, data, mask
@@ -600,12 +662,15 @@ def prepare(doc: Document, settings: dict) -> dict:
     return {"images_deduplicated": images, "streams_deduplicated": others, "resources_removed": removed, "streams_compressed": packed, "metadata_removed": bool(gone), "fonts_subsetted": n_fonts, "font_bytes_saved": saved}
 
 
-def optimize(doc: Document, settings: dict) -> tuple[bytes, dict]:
-    """The rewritten file and what was done."""
+def optimize(doc: Document, settings: dict, report: Report | None = None) -> tuple[bytes, dict]:
+    """The rewritten file and what was done. report(phase, percent) is told how far it is; it changes nothing."""
+    told = report or (lambda phase, percent: None)
+    told("compressing", 10.0)
     stats = prepare(doc, settings) | {"images_recompressed": 0, "images_skipped": 0, "bilevel_encoded": 0, "skips": []}
     if settings["optimize_images"]:
         tasks, skipped = image_tasks(doc, settings)
-        for t in tasks:
+        for i, t in enumerate(tasks):
+            told("compressing", 20.0 + 70.0 * i / len(tasks))
             found = attempt(doc, t, settings)
             if isinstance(found, str):
                 skipped.append((t[0][0], found))
@@ -614,54 +679,67 @@ def optimize(doc: Document, settings: dict) -> tuple[bytes, dict]:
                 stats["images_recompressed"] += 1
                 stats["bilevel_encoded"] += found[0][b"Filter"] == b"CCITTFaxDecode"
         stats["images_skipped"], stats["skips"] = len(skipped), [{"num": n, "reason": r} for n, r in sorted(skipped)]
+    told("writing", 92.0)
     return doc.save(), stats
 
 
-def optimize_to(doc: Document, settings: dict, target: int, rounds: int = ROUNDS) -> tuple[bytes, dict]:
+def optimize_to(doc: Document, settings: dict, target: int, rounds: int = ROUNDS, report: Report | None = None) -> tuple[bytes, dict]:
     """The best file within target bytes that the search finds, else the smallest that it saw.
 
     Quality is bisected from 15 to 100, the top first; when the range is spent without a fit, the
-    edge shrinks to three quarters, down to 400, and the range starts over. A probe whose estimate
-    fits is written and measured; only what was measured counts as met.
+    edge shrinks to three quarters, down to 400, and the range starts over. Two misses in a row of the
+    same edge and size spend the range. A probe whose estimate fits is written and measured; only
+    what was measured counts as met.
     """
     if target <= 0:
         raise PdfError("config", "target size")
+    told = report or (lambda phase, percent: None)
+    told("compressing", 10.0)
     stats = prepare(doc, settings) | {"skips": []}
     baseline = len(doc.save())
     tasks, skipped = image_tasks(doc, settings | {"max_image_size_px": MOST_EDGE}) if settings["optimize_images"] else ([], [])
     original = {t[0]: doc.objects[t[0]] for t in tasks}
+    caches = [ImageCache() for _ in tasks]
     constant = baseline - sum(len(s.data) for s in original.values())
     edge = min(max([MIN_EDGE, *(t[2]["longest_edge"] for t in tasks)]), MOST_EDGE)
-    low, high, first = LOW_QUALITY, HIGH_QUALITY, True
-    best = least = None
-    memo: dict[tuple[int, int], list] = {}
+    low, high = LOW_QUALITY, HIGH_QUALITY
+    best = least = last = None
     attempts = 0
     objects = dict(doc.objects)
     while attempts < rounds:
         if low > high:
             if best or edge <= MIN_EDGE:
                 break
-            edge, low, high, first = max(edge * 3 // 4, MIN_EDGE), LOW_QUALITY, HIGH_QUALITY, True
-        quality = HIGH_QUALITY if first else (low + high) // 2
-        first, attempts = False, attempts + 1
-        probe = settings | {"image_quality": quality, "max_image_size_px": edge}
-        made = memo[quality, edge] = [attempt(doc, t, probe, by_detail=True) for t in tasks]
-        estimate = constant + sum(len(original[t[0]].data) if isinstance(x, str) else len(x[1]) for t, x in zip(tasks, made))
+            edge, low, high = max(edge * 3 // 4, MIN_EDGE), LOW_QUALITY, HIGH_QUALITY
+        quality = min(max((low + high) // 2 if attempts else high, LOW_QUALITY), HIGH_QUALITY)
+        attempts += 1
+        told("compressing", min(10.0 + 10.0 * attempts, 90.0))
+        if last is None or last[:2] != (quality, edge):  # else the same probe: so is its result
+            probe = settings | {"image_quality": quality, "max_image_size_px": edge}
+            made = []
+            for t, c in zip(tasks, caches):
+                made.append(attempt(doc, t, probe, by_detail=True, cache=c))
+                evict(caches)
+            estimate = constant + sum(len(original[t[0]].data) if isinstance(x, str) else len(x[1]) for t, x in zip(tasks, made))
         fits = False
         if estimate <= target or least is None or estimate < least[0]:
+            told("writing", 92.0)
             doc.objects = dict(objects)
             for t, x in zip(tasks, made):
                 if not isinstance(x, str):
                     put(doc, t[0], *x)
             data = doc.save()
+            doc.objects = dict(objects)
             kept = [x for x in made if not isinstance(x, str)]
             done = (len(data), data, quality, edge, len(kept), sum(x[0][b"Filter"] == b"CCITTFaxDecode" for x in kept))
             fits = len(data) <= target
-            if fits and (best is None or done[0] > best[0]):
+            if fits:
                 best = done
             if least is None or done[0] < least[0]:
                 least = done
-        low, high = (quality + 1, high) if fits else (low, quality - 1)
+        blind = last is not None and last[1:] == (edge, estimate, False) and not fits
+        low, high = (low, low - 1) if blind else (quality + 1, high) if fits else (low, quality - 1)
+        last = quality, edge, estimate, fits
         if not tasks:
             break
     _, data, quality, edge, n, fax_coded = best or least

@@ -20,7 +20,7 @@ def start_edge(edge: Column) -> Column:
 
 
 def next_quality(attempt: Column, low: Column, high: Column) -> Column:
-    """The top at first, then the middle."""
+    """The top at the very first, then the middle."""
     q = F.when(attempt == 0, high).otherwise(F.floor((low + high) / 2))
     return F.least(F.greatest(q, F.lit(LOW_QUALITY)), F.lit(HIGH_QUALITY)).cast("int")
 
@@ -29,46 +29,57 @@ def shrunk_edge(edge: Column) -> Column:
     return F.greatest(F.floor(edge * 3 / 4), F.lit(MIN_EDGE)).cast("int")
 
 
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body with the value of x, which is worked out once."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
+_PROBE = "struct<estimate:bigint,quality:int,edge:int>"
+
+
 def bisect(docs: DataFrame, doc: str, size_at: Callable[[Column, Column], Column], rounds: int = ROUNDS) -> DataFrame:
     """docs (doc, target, constant, max_edge, and what size_at needs) with the outcome.
 
     size_at(quality, edge): a document's image bytes at a probe, as an expression. Outcome: best_quality
-    and best_edge (of the largest probe that fits, else of the smallest), estimate, met, attempts.
-    The loop unrolls into one projection, as each probe depends on its own row alone.
+    and best_edge (of the last probe that fits, else of the smallest), estimate, met, attempts. A spent
+    range without a fit goes on with a smaller edge; two misses in a row of the same edge and size
+    spend the range, as quality doesn't matter then. Each round folds into one state a row.
     """
-    d = docs.withColumns(
-        {
-            "edge": start_edge(F.col("max_edge")).cast("int"), "low": F.lit(LOW_QUALITY), "high": F.lit(HIGH_QUALITY), "attempt": F.lit(0), "attempts": F.lit(0),
-            "best": F.lit(None).cast("struct<estimate:bigint,quality:int,edge:int>"), "least": F.lit(None).cast("struct<estimate:bigint,quality:int,edge:int>"), "done": F.lit(False),
-        }
+    struct = lambda **x: F.struct(*[v.alias(k) for k, v in x.items()])
+    none = F.lit(None)
+    begin = struct(
+        edge=start_edge(F.col("max_edge")).cast("int"), low=F.lit(LOW_QUALITY), high=F.lit(HIGH_QUALITY), attempts=F.lit(0), done=F.lit(False),
+        best=none.cast(_PROBE), least=none.cast(_PROBE), last=none.cast(_PROBE), last_fit=F.lit(False),
     )
-    for _ in range(rounds):
-        # a spent range without a fit goes on with a smaller edge, a spent range with one ends
-        spent = F.col("low") > F.col("high")
-        over = F.col("done") | spent & (F.col("best").isNotNull() | (F.col("edge") <= MIN_EDGE))
+
+    def placed(s: Column) -> Column:
+        spent = s["low"] > s["high"]
+        over = s["done"] | spent & (s["best"].isNotNull() | (s["edge"] <= MIN_EDGE))
         again = spent & ~over
-        d = d.withColumns({"done": over, "again": again})
-        d = d.withColumns(
-            {
-                "edge": F.when(F.col("again"), shrunk_edge(F.col("edge"))).otherwise(F.col("edge")), "low": F.when(F.col("again"), LOW_QUALITY).otherwise(F.col("low")),
-                "high": F.when(F.col("again"), HIGH_QUALITY).otherwise(F.col("high")), "attempt": F.when(F.col("again"), 0).otherwise(F.col("attempt")),
-            }
-        )
-        d = d.withColumn("quality", next_quality(F.col("attempt"), F.col("low"), F.col("high")))
-        d = d.withColumn("estimate", (F.col("constant") + size_at(F.col("quality"), F.col("edge"))).cast("long"))
-        probe = F.struct(F.col("estimate"), F.col("quality"), F.col("edge"))
-        fits = F.col("estimate") <= F.col("target")
-        better = F.col("best").isNull() | (F.col("estimate") > F.col("best.estimate"))
-        smaller = F.col("least").isNull() | (F.col("estimate") < F.col("least.estimate"))
-        live = ~F.col("done")
-        d = d.withColumns(
-            {
-                "best": F.when(live & fits & better, probe).otherwise(F.col("best")), "least": F.when(live & smaller, probe).otherwise(F.col("least")),
-                "low": F.when(live & fits, F.col("quality") + 1).otherwise(F.col("low")), "high": F.when(live & ~fits, F.col("quality") - 1).otherwise(F.col("high")),
-                "attempt": F.when(live, F.col("attempt") + 1).otherwise(F.col("attempt")), "attempts": F.when(live, F.col("attempts") + 1).otherwise(F.col("attempts")),
-            }
+        pick = lambda x, y: F.when(again, x).otherwise(y)
+        return struct(over=over, edge=pick(shrunk_edge(s["edge"]), s["edge"]), low=pick(F.lit(LOW_QUALITY), s["low"]), high=pick(F.lit(HIGH_QUALITY), s["high"]))
+
+    def moved(s: Column, at: Column, p: Column) -> Column:
+        fits = p["estimate"] <= F.col("target")
+        blind = F.coalesce((s["last"]["edge"] == p["edge"]) & (s["last"]["estimate"] == p["estimate"]), F.lit(False)) & ~s["last_fit"] & ~fits
+        smaller = s["least"].isNull() | (p["estimate"] < s["least"]["estimate"])
+        high = F.when(blind, at["low"] - 1).when(fits, at["high"]).otherwise(p["quality"] - 1)
+        return struct(
+            edge=p["edge"], low=F.when(fits, p["quality"] + 1).otherwise(at["low"]), high=high, attempts=s["attempts"] + 1, done=F.lit(False),
+            best=F.when(fits, p).otherwise(s["best"]), least=F.when(smaller, p).otherwise(s["least"]), last=p, last_fit=fits,
         )
-    chosen = F.coalesce("best", "least")
-    return d.select(
-        doc, "target", chosen["quality"].alias("best_quality"), chosen["edge"].alias("best_edge"), chosen["estimate"].alias("estimate"), F.col("best").isNotNull().alias("met"), "attempts"
-    )
+
+    def step(s: Column, _: Column) -> Column:
+        def probed(at: Column) -> Column:
+            quality = next_quality(s["attempts"], at["low"], at["high"])
+            return _let(quality, lambda q: struct(estimate=(F.col("constant") + size_at(q, at["edge"])).cast("long"), quality=q, edge=at["edge"]))
+
+        rest = {k: s[k] for k in ("edge", "low", "high", "attempts")} | {"done": F.lit(True)} | {k: s[k] for k in ("best", "least", "last", "last_fit")}
+        return _let(placed(s), lambda at: F.when(at["over"], struct(**rest)).otherwise(_let(probed(at), lambda p: moved(s, at, p))))
+
+    end = docs.withColumn("end_", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, step))
+    chosen = F.coalesce("end_.best", "end_.least")
+    return end.select(
+        doc, "target", chosen["quality"].alias("best_quality"), chosen["edge"].alias("best_edge"), chosen["estimate"].alias("estimate"),
+        F.col("end_.best").isNotNull().alias("met"), F.col("end_.attempts").alias("attempts"),
+    )

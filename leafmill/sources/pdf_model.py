@@ -737,7 +737,7 @@ def _clear(x: Any, key: bytes, cipher: str = "rc4") -> Any:
     return x
 
 
-def _stream(d: dict, data: bytes, number: dict[Ref, int]) -> bytes:
+def _stream(d: dict, data: bytes, number: dict[Ref, int] | None) -> bytes:
     return written({**d, b"Length": len(data)}, number) + b"\nstream\n" + data + b"\nendstream"
 
 
@@ -764,7 +764,7 @@ def written(x: Any, number: dict[Ref, int] | None = None) -> bytes:
     if isinstance(x, dict):
         return b"<<" + b"".join(written(Name(k)) + b" " + written(v, number) for k, v in x.items()) + b">>"
     if isinstance(x, Stream):
-        return _stream(x.dict, x.data, number or {})
+        return _stream(x.dict, x.data, number)
     return b"null"
 
 

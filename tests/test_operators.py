@@ -108,27 +108,32 @@ def test_bisection_against_a_loop(spark):
         return int(m * (0.2 + 0.8 * q / 100) * min(e / 3000, 1) ** 2)
 
     def search_one(target, m):
-        edge, low, high, first, best, least = 3000, 15, 100, True, None, None
-        for _ in range(12):
+        edge, low, high, best, least, last, n_tried = 3000, 15, 100, None, None, None, 0
+        for attempt in range(12):
             if low > high:
                 if best or edge <= 400:
                     break
-                edge, low, high, first = max(edge * 3 // 4, 400), 15, 100, True
-            q = 100 if first else (low + high) // 2
-            first, n = False, size(q, edge, m)
+                edge, low, high = max(edge * 3 // 4, 400), 15, 100
+            q = (low + high) // 2 if attempt else 100  # the top at the very first only
+            n, n_tried = size(q, edge, m), n_tried + 1
             if least is None or n < least[0]:
                 least = (n, q, edge)
             if n <= target:
-                best = (n, q, edge) if best is None or n > best[0] else best
-                low = q + 1
+                best, low = (n, q, edge), q + 1
             else:
-                high = q - 1
-        return (best or least)[1:], best is not None
+                high = low - 1 if last == (edge, n, False) else q - 1
+            last = (edge, n, n <= target)
+        return (best or least)[1:], best is not None, n_tried
 
     rows = [(i, t, 0, 3000, 100_000) for i, t in enumerate((200_000, 100_000, 99_000, 50_000, 30_000, 20_000, 5_000, 10))]
     d = spark.createDataFrame(rows, "doc int, target long, constant long, max_edge int, m long")
     at = lambda q, e: F.floor(F.col("m") * (0.2 + 0.8 * q / 100.0) * F.pow(F.least(e.cast("double") / 3000, F.lit(1.0)), 2))
-    got = {r.doc: ((r.best_quality, r.best_edge), r.met) for r in search.bisect(d, "doc", at).collect()}
+    got = {r.doc: ((r.best_quality, r.best_edge), r.met, r.attempts) for r in search.bisect(d, "doc", at).collect()}
+    assert got == {i: search_one(t, 100_000) for i, t, *_ in rows}
+    # where quality changes nothing, two misses spend a range
+    size = lambda q, e, m: int(m * min(e / 3000, 1) ** 2)
+    at = lambda q, e: F.floor(F.col("m") * F.pow(F.least(e.cast("double") / 3000, F.lit(1.0)), 2))
+    got = {r.doc: ((r.best_quality, r.best_edge), r.met, r.attempts) for r in search.bisect(d, "doc", at).collect()}
     assert got == {i: search_one(t, 100_000) for i, t, *_ in rows}
 
 

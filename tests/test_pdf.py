@@ -62,6 +62,49 @@ def test_target_size(spark):
     assert pdf.optimize(f, target_bytes=0).first().error.code == "error.config"
 
 
+def test_size_search_keeps_what_no_quality_changes(monkeypatch):
+    calls = {"plane": 0, "fax": 0, "mask": 0}
+
+    def counted(name, f):
+        def run(*a, **k):
+            calls[name] += 1
+            return f(*a, **k)
+
+        return run
+
+    monkeypatch.setattr(pdf_rewrite, "plane_of", counted("plane", pdf_rewrite.plane_of))
+    monkeypatch.setattr(pdf_rewrite.fax, "encode_g4", counted("fax", fax.encode_g4))
+    monkeypatch.setattr(pdf_rewrite, "_resized_mask", counted("mask", pdf_rewrite._resized_mask))
+    scan = np.where(np.random.default_rng(2).random((900, 1200)) < 0.3, 255, 0).astype(np.uint8)
+    alpha = Stream({b"Type": Name(b"XObject"), b"Subtype": Name(b"Image"), b"Width": 700, b"Height": 500, b"ColorSpace": Name(b"DeviceGray"), b"BitsPerComponent": 8, b"Filter": Name(b"FlateDecode")}, zlib.compress(bytes(700 * 500)))
+    raw = image(zlib.compress(scan.tobytes()), 1200, 900, ColorSpace=Name(b"DeviceGray"), Filter=Name(b"FlateDecode"))
+    data = base(b6=image(PHOTO, 700, 500, SMask=Ref(20)), b7=raw, b20=alpha, b4=Stream({}, b"/Im0 Do /Im1 Do"))
+    told = []
+    out, stats = pdf_rewrite.optimize_to(Document(data), pdf.default_settings(), 4_000, report=lambda *x: told.append(x))
+    sizes = stats["attempts"]
+    assert sizes > 4 and calls["plane"] == 2 and calls["fax"] < sizes and calls["mask"] < sizes
+    assert [p for _, p in told] and {x for x, _ in told} == {"compressing", "writing"}
+    plain = dict(calls)
+    monkeypatch.setattr(pdf_rewrite, "KEPT", 0)
+    monkeypatch.setattr(pdf_rewrite.evict, "__defaults__", (0,))
+    again, more = pdf_rewrite.optimize_to(Document(data), pdf.default_settings(), 4_000)
+    assert again == out and more == stats and calls["plane"] > 2 * plain["plane"]
+
+
+def test_caches_are_emptied_planes_first():
+    caches = [pdf_rewrite.ImageCache() for _ in range(3)]
+    for i, c in enumerate(caches):
+        c.keep_plane(np.zeros((10, 10 * (i + 1)), np.uint8))
+        c.fax = (1, 1), bytes(50 * (3 - i))
+    pdf_rewrite.evict(caches, 500)
+    assert [c.plane_bytes() for c in caches] == [100, 0, 0] and [c.product_bytes() for c in caches] == [150, 100, 50]
+    pdf_rewrite.evict(caches, 120)
+    assert [c.plane_bytes() for c in caches] == [0, 0, 0] and [c.product_bytes() for c in caches] == [0, 0, 50]
+    big = pdf_rewrite.ImageCache()
+    big.keep_plane(np.broadcast_to(np.uint8(0), (20_000, 6_000)))
+    assert big.plane is None
+
+
 def test_analysis(spark):
     r = pdf.analyze(files(spark, base(), b"x")).orderBy("doc_id").collect()
     assert r[0].page_count == 1 and r[0].image_object_count == 2 and r[0].max_image_edge_px == 700 and r[0].error is None
