@@ -7,13 +7,29 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import tempfile
+from collections.abc import Mapping
 from typing import Any
 
 from leafmill.functions.presets import CONFIG_VERSION, FIELDS, PRESETS
 from leafmill.sources.pdf_model import PdfError
 
 
+def default_profile_path(env: Mapping[str, str] | None = None, system: str | None = None) -> str:
+    """Where the profile is by default: below the system's folder of configurations."""
+    env, system = os.environ if env is None else env, system or sys.platform
+    if system.startswith("win"):
+        base = env.get("APPDATA")
+    elif system == "darwin":
+        base = os.path.join(env["HOME"], "Library", "Application Support") if env.get("HOME") else None
+    else:
+        base = env.get("XDG_CONFIG_HOME") or (os.path.join(env["HOME"], ".config") if env.get("HOME") else None)
+    if not base:
+        raise PdfError("config", "there is no folder of configurations")
+    return os.path.join(base, "leafmill", "profile.json")
+
+
 def _text(path: str) -> str | None:
     try:
         with open(path, encoding="utf-8") as f:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.presets import PRESETS, clamp
@@ -115,3 +115,25 @@ def adopted(current: dict[str, Column], recommended: dict[str, Column]) -> dict[
 def route(kind: Column) -> Column:
     """How a job is run: scans always have images and streams worked on."""
     return F.when(kind == "scan-heavy", "scanned").otherwise("standard")
+
+
+def concurrency(jobs: Column, cores: Column) -> Column:
+    """How many jobs of a queue run at a time: one for one, else two where there are four cores or more."""
+    return F.when(jobs <= 1, 1).otherwise(F.least(F.lit(2), F.greatest(F.lit(1), F.floor(cores / 2)))).cast("int")
+
+
+def allowed(paths: DataFrame, written: DataFrame, path: str = "path", known: str = "output_path") -> DataFrame:
+    """Paths that a run of this session wrote: those that may be opened or shown."""
+    return paths.join(written.select(F.col(known).alias(path)), path, "left_semi")
+
+
+def retained(metas: DataFrame, live: DataFrame, ident: str = "id") -> DataFrame:
+    """Stored entries of jobs that are still alive."""
+    return metas.join(live.select(ident), ident, "left_semi")
+
+
+def chained(jobs: DataFrame, queue: str, order: list[str], ident: str = "id") -> DataFrame:
+    """jobs with after: the job that has to end before, null for the first of a queue. A job runs even
+    if the one before it failed."""
+    before = F.lag(ident).over(Window.partitionBy(queue).orderBy(*order))
+    return jobs.withColumn("after", before)

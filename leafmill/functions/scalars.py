@@ -90,7 +90,8 @@ def is_pdf_path(path: Column) -> Column:
 
 
 def fill_template(template: Column, values: Column) -> Column:
-    """'{key}' replaced from a map of texts; unknown keys stay."""
+    """'{key}' replaced from a map of texts; keys that are unknown, or have no value, stay."""
+    values = F.map_filter(values, lambda _, v: v.isNotNull())
     keys = F.map_keys(values)
     return F.aggregate(keys, template, lambda t, k: F.replace(t, F.concat(F.lit("{"), k, F.lit("}")), values[k]))
 

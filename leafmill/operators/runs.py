@@ -52,3 +52,24 @@ class Runs:
     def under_way(self) -> set[str]:
         with self._lock:
             return set(self._open)
+
+
+class PendingOpens:
+    """Paths that come before anybody takes them are kept; from then on they are handed on."""
+
+    def __init__(self) -> None:
+        self._lock, self._ready, self._kept = threading.Lock(), False, []
+
+    def stage(self, paths: list[str]) -> list[str] | None:
+        """The paths if somebody takes them, else None: they are kept."""
+        with self._lock:
+            if self._ready:
+                return paths
+            self._kept += paths
+            return None
+
+    def ready(self) -> list[str]:
+        """What was kept, once; later paths are handed on."""
+        with self._lock:
+            self._ready, kept, self._kept = True, self._kept, []
+            return kept

@@ -578,3 +578,6 @@ def pdf_object_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = pdf.objects(_made(spark, sf_dir))
     return o.groupBy("doc_id").agg(F.count(F.lit(1)).alias("objects"), F.count_if(F.col("kind") == "stream").alias("streams"), F.sum(F.size("refs")).alias("refs"))
+
+
+from leafmill.plans import words  # noqa: E402, F401  registers its queries as well
