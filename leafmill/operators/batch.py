@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +44,12 @@ def status(results: DataFrame) -> Column:
     return F.when(results["error"].isNotNull(), "failed").when(results["output_was_smaller"], "compressed").otherwise("notSmaller")
 
 
-def summary(results: DataFrame) -> DataFrame:
-    """One row: files by status, bytes before and after of those that didn't fail, percent saved, and
+def summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (for each of by): files by status, bytes before and after of those that didn't fail, percent saved, and
     whether any failed, which is a run's exit status."""
     s = F.col("status")
     kept = F.when(s == "compressed", F.col("compressed_size_bytes")).when(s == "notSmaller", F.col("original_size_bytes"))
-    g = results.withColumn("status", status(results)).agg(
+    g = results.withColumn("status", status(results)).groupBy(*by).agg(
         F.count_if(s == "compressed").alias("files_compressed"), F.count_if(s == "notSmaller").alias("files_not_smaller"), F.count_if(s == "failed").alias("files_failed"),
         F.coalesce(F.sum(F.when(s != "failed", F.col("original_size_bytes"))), F.lit(0)).alias("original_bytes"), F.coalesce(F.sum(kept), F.lit(0)).alias("compressed_bytes"),
     )

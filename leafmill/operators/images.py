@@ -90,3 +90,14 @@ def mask_census(images: DataFrame, doc: list[str], mask: str) -> DataFrame:
 def decoded_estimate(pixels: Column, size: Column, jpx: Column, cmyk: Column) -> Column:
     """Bytes that decoding an image takes."""
     return F.when(pixels.isNull(), size * 12).when(jpx, pixels * 19).when(cmyk, pixels * 7).otherwise(pixels * 3)
+
+
+def without_masks(images: DataFrame, doc: list[str], ident: str, mask: str) -> DataFrame:
+    """Images that aren't themselves the soft mask of an image of their document."""
+    masks = images.where(F.col(mask).isNotNull()).select(*doc, F.col(mask).cast(dict(images.dtypes)[ident]).alias(ident)).distinct()
+    return images.join(masks, [*doc, ident], "left_anti")
+
+
+def largest_first(size: str, ident: str) -> list[Column]:
+    """The order in which images are worked on: the largest first, then by number."""
+    return [F.col(size).desc(), F.col(ident)]

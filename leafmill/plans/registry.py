@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import presets, scalars
-from leafmill.operators import graph, images, scoring, search
+from leafmill.operators import batch, graph, images, scoring, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,8 +226,7 @@ SELECT doc, num, mask, size FROM img WHERE NOT EXISTS (SELECT 1 FROM img i WHERE
 def images_without_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images that aren't themselves the mask of an image of their document."""
     rows = _image_lines(spark, sf_dir)
-    masks = rows.select("doc", F.col("mask").alias("num").cast("int")).distinct()
-    return rows.join(masks, ["doc", "num"], "left_anti").select("doc", "num", "mask", "size")
+    return images.without_masks(rows, ["doc"], "num", "mask").select("doc", "num", "mask", "size")
 
 
 @_query("""
@@ -274,12 +273,12 @@ def inherit_up_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE e AS (
   SELECT DISTINCT l_suppkey AS src, (l_suppkey * 7 + l_linenumber) % 97 AS dst FROM lineitem
 ), r(node, depth) AS (
-  SELECT 1::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 6
+  SELECT 1::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 97
 )
 SELECT node, min(depth) AS depth FROM r GROUP BY node
 """)
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects that a root reaches over references, with the fewest hops. The SQL goes up to six."""
+    """Objects that a root reaches over references, with the fewest hops. There are 97 nodes, so the SQL needn't go farther than that."""
     e = _read(spark, sf_dir, "lineitem").select(F.lit(0).alias("doc"), F.col("l_suppkey").alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 97).alias("dst")).distinct()
     roots = spark.range(1).select(F.lit(0).alias("doc"), F.lit(1).cast("long").alias("node"))
     return graph.reachable(e, roots, ["doc"]).select("node", "depth")
@@ -304,42 +303,10 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _read(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("batch"), status.alias("status"), F.col("o_totalprice").cast("long").alias("original"), (F.col("o_totalprice").cast("long") * 0.6).cast("long").alias("compressed")
     )
-    s = F.col("status")
-    counted = F.when(s != "failed", F.col("original"))
-    kept = F.when(s == "compressed", F.col("compressed")).when(s == "notSmaller", F.col("original"))
-    g = f.groupBy("batch").agg(
-        F.count_if(s == "compressed").alias("files_compressed"), F.count_if(s == "notSmaller").alias("files_not_smaller"), F.count_if(s == "failed").alias("files_failed"),
-        F.coalesce(F.sum(counted), F.lit(0)).alias("original_bytes"), F.coalesce(F.sum(kept), F.lit(0)).alias("compressed_bytes"),
-    )
-    saved = 100.0 * (F.col("original_bytes") - F.col("compressed_bytes")) / F.when(F.col("original_bytes") > 0, F.col("original_bytes"))
-    return g.withColumn("savings_percent", F.round(saved, 4))
-
-
-@_query("""
-SELECT vec_id, round(len(list_filter(v, lambda x: x > 24 AND x < 231))::DOUBLE / len(v), 6) AS midtones,
-       len(list_filter(v, lambda x: x > 24 AND x < 231)) * 20 <= len(v) AS near_bilevel
-FROM (SELECT vec_id, list_transform(embedding, lambda x: least(greatest(round(x::DOUBLE * 1000 + 128), 0), 255)) AS v FROM embeddings)
-""")
-def near_bilevel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planes of which at most a twentieth is neither near black nor near white."""
-    plane = F.transform("embedding", lambda x: F.least(F.greatest(F.round(x.cast("double") * 1000 + 128), F.lit(0.0)), F.lit(255.0)))
-    mid = F.size(F.filter("v", lambda x: (x > 24) & (x < 231)))
-    e = _read(spark, sf_dir, "embeddings").select("vec_id", plane.alias("v"))
-    return e.select("vec_id", F.round(mid.cast("double") / F.size("v"), 6).alias("midtones"), (mid * 20 <= F.size("v")).alias("near_bilevel"))
-
-
-@_query("""
-WITH d AS (
-  SELECT vec_id, list_aggregate(list_transform(range(1, len(embedding)), lambda i: abs(embedding[i + 1]::DOUBLE - embedding[i]::DOUBLE) * 1000), 'avg') AS s FROM embeddings
-)
-SELECT vec_id, round(s, 4) AS detail, least(greatest(60 + CASE WHEN s < 8 THEN -12 WHEN s > 25 THEN 6 ELSE 0 END, 10), 100)::INTEGER AS round_quality FROM d
-""")
-def detail_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean step between neighbours of a plane, and the quality that it asks for."""
-    pairs = F.zip_with(F.slice("embedding", F.lit(2), F.size("embedding") - 1), F.slice("embedding", F.lit(1), F.size("embedding") - 1), lambda a, b: F.abs(a.cast("double") - b.cast("double")) * 1000)
-    score = F.aggregate(pairs, F.lit(0.0), lambda t, x: t + x) / F.size(pairs)
-    e = _read(spark, sf_dir, "embeddings").select("vec_id", score.alias("s"))
-    return e.select("vec_id", F.round("s", 4).alias("detail"), scalars.round_quality(F.lit(60), F.col("s")).cast("int").alias("round_quality"))
+    error = F.when(F.col("status") == "failed", F.lit("error.io"))
+    results = f.select("batch", error.alias("error"), (F.col("status") == "compressed").alias("output_was_smaller"), F.col("original").alias("original_size_bytes"), F.col("compressed").alias("compressed_size_bytes"))
+    g = batch.summary(results, ["batch"])
+    return g.withColumn("savings_percent", F.round("savings_percent", 4)).drop("any_failed")
 
 
 @_query("""
@@ -413,7 +380,31 @@ def human_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", n.alias("bytes"), scalars.human_size(n).alias("human"))
 
 
-@_query(None)
+@_query("""
+WITH RECURSIVE d AS (
+  SELECT doc_id, trunc(n_chars / 2)::BIGINT AS target, trunc(n_chars / 10)::BIGINT AS fixed, n_chars AS bytes, n_chars % 3000 + 500 AS max_edge FROM documents
+), s AS (
+  SELECT *, least(greatest(max_edge, 400), 65535) AS edge, 15 AS low, 100 AS high, 0 AS attempts, NULL::BIGINT AS best, NULL::INTEGER AS best_q, NULL::BIGINT AS best_e, NULL::BIGINT AS least, NULL::INTEGER AS least_q,
+         NULL::BIGINT AS least_e, NULL::BIGINT AS last, NULL::BIGINT AS last_e, false AS last_fit FROM d
+  UNION ALL
+  SELECT doc_id, target, fixed, bytes, max_edge, e, CASE WHEN fits THEN q + 1 ELSE lo END, CASE WHEN blind THEN lo - 1 WHEN fits THEN hi ELSE q - 1 END, attempts + 1,
+         CASE WHEN fits THEN n ELSE best END, CASE WHEN fits THEN q ELSE best_q END, CASE WHEN fits THEN e ELSE best_e END, CASE WHEN least IS NULL OR n < least THEN n ELSE least END,
+         CASE WHEN least IS NULL OR n < least THEN q ELSE least_q END, CASE WHEN least IS NULL OR n < least THEN e ELSE least_e END, n, e, fits
+  FROM (
+    SELECT *, n <= target AS fits, coalesce(last_e = e AND last = n, false) AND NOT last_fit AND n > target AS blind FROM (
+      SELECT *, fixed + floor(bytes * (0.2::DOUBLE + 0.8::DOUBLE * q / 100.0::DOUBLE) * r * r)::BIGINT AS n FROM (
+        SELECT *, CASE WHEN attempts = 0 THEN hi ELSE (lo + hi) // 2 END AS q, least(e::DOUBLE / max_edge, 1.0::DOUBLE) AS r FROM (
+          SELECT *, CASE WHEN low > high THEN greatest(edge * 3 // 4, 400) ELSE edge END AS e, CASE WHEN low > high THEN 15 ELSE low END AS lo, CASE WHEN low > high THEN 100 ELSE high END AS hi
+          FROM s WHERE attempts < 12 AND NOT (low > high AND (best IS NOT NULL OR edge <= 400))
+        )
+      )
+    )
+  )
+), last_state AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY attempts DESC) = 1
+)
+SELECT doc_id, target, coalesce(best_q, least_q)::INTEGER AS best_quality, coalesce(best_e, least_e)::INTEGER AS best_edge, coalesce(best, least) AS estimate, best IS NOT NULL AS met, attempts::INTEGER AS attempts FROM last_state
+""")
 def target_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best quality of each document for a budget of half its size, on a size that grows with quality and edge."""
     d = _read(spark, sf_dir, "documents").select(
@@ -432,7 +423,7 @@ SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMI
 """)
 def largest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred largest documents, in the order in which they would be worked on."""
-    return _read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").orderBy(F.col("n_chars").desc(), "doc_id").limit(100)
+    return _read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").orderBy(*images.largest_first("n_chars", "doc_id")).limit(100)
 
 
 @_query(r"""
@@ -521,7 +512,17 @@ def image_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("workers", scalars.worker_count(F.col("tasks"), F.lit(8), F.col("largest")))
 
 
-@_query(None)
+@_query("""
+WITH RECURSIVE e AS (
+  SELECT user_id, ts, event_id, row_number() OVER w AS nth, row_number() OVER w * 100.0::DOUBLE / count(*) OVER (PARTITION BY user_id) AS percent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), r AS (
+  SELECT user_id, ts, event_id, nth, percent, percent >= 3 OR percent >= 100 AS told, CASE WHEN percent >= 3 OR percent >= 100 THEN percent ELSE 0.0::DOUBLE END AS last FROM e WHERE nth = 1
+  UNION ALL
+  SELECT e.user_id, e.ts, e.event_id, e.nth, e.percent, e.percent - r.last >= 3 OR e.percent >= 100, CASE WHEN e.percent - r.last >= 3 OR e.percent >= 100 THEN e.percent ELSE r.last END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.nth = r.nth + 1
+)
+SELECT user_id, ts, event_id, percent FROM r WHERE told
+""")
 def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each user's progress only steps of three points or more since the last reported one."""
     from leafmill.streaming.progress import throttled
@@ -542,10 +543,10 @@ def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(r"""
 SELECT doc_id::VARCHAR AS doc_id, greatest(ceil(len(string_split(text, chr(10))) / 50.0), 1)::INTEGER AS page_count,
        length(regexp_replace(text, '[ \n\r\t]', '', 'g'))::BIGINT AS text_chars
-FROM documents WHERE len(string_split(text, chr(10))) <= 24 * 50
+FROM documents
 """)
 def pdf_text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as PDF files, parsed again: pages, and characters shown on all of them. The SQL covers those of up to 24 pages."""
+    """Documents as PDF files, parsed again: pages, and characters shown on all of them."""
     from leafmill.sources import pdf
 
     return pdf.facts(_made(spark, sf_dir), pages=None).select("doc_id", "page_count", "text_chars")
@@ -580,4 +581,4 @@ def pdf_object_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("doc_id").agg(F.count(F.lit(1)).alias("objects"), F.count_if(F.col("kind") == "stream").alias("streams"), F.sum(F.size("refs")).alias("refs"))
 
 
-from leafmill.plans import words  # noqa: E402, F401  registers its queries as well
+from leafmill.plans import files, words  # noqa: E402, F401  these register their queries as well

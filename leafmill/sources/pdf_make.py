@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.sources.pdf_model import Name, Ref, Stream, written
+from leafmill.sources.pdf_model import _PAD as PAD
+from leafmill.sources.pdf_model import Name, Ref, Stream, rc4, written
 
 LINES = 50
 
@@ -48,3 +53,86 @@ def from_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id string, content binary")
+
+
+# ---- data in filters, images, protected files
+
+
+def run_lengths(data: bytes) -> bytes:
+    """Run-length data of literals alone."""
+    return b"".join(bytes([len(data[i : i + 128]) - 1]) + data[i : i + 128] for i in range(0, len(data), 128)) + b"\x80"
+
+
+def lzw(data: bytes) -> bytes:
+    """LZW data of single bytes; the table is cleared before codes grow."""
+    codes = []
+    for i in range(0, len(data), 200):
+        codes += [256, *data[i : i + 200]]
+    bits = "".join(f"{c:09b}" for c in [*codes, 256, 257])
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def png_rows(data: bytes, columns: int) -> tuple[bytes, dict]:
+    """Rows of bytes with the five PNG predictors in turn, deflated, and the parameters that undo them."""
+    out, before = bytearray(), bytes(columns)
+    for k in range(0, len(data), columns):
+        row = data[k : k + columns].ljust(columns, b"\0")
+        kind = (k // columns) % 5
+        out.append(kind)
+        for i, x in enumerate(row):
+            a, b, c = (row[i - 1] if i else 0), before[i], (before[i - 1] if i else 0)
+            p = a + b - c
+            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            out.append((x - (0, a, b, (a + b) // 2, near)[kind]) & 255)
+        before = row
+    return zlib.compress(bytes(out)), {b"Predictor": 15, b"Columns": columns}
+
+
+def filtered(data: bytes, kind: int) -> Stream:
+    """Data in one of several chains of filters."""
+    name = lambda *x: [Name(n) for n in x]
+    if kind == 0:
+        return Stream({b"Filter": Name(b"FlateDecode")}, zlib.compress(data))
+    if kind == 1:
+        return Stream({b"Filter": Name(b"ASCIIHexDecode")}, binascii.hexlify(data) + b">")
+    if kind == 2:
+        return Stream({b"Filter": name(b"ASCII85Decode", b"FlateDecode")}, base64.a85encode(zlib.compress(data)) + b"~>")
+    if kind == 3:
+        return Stream({b"Filter": Name(b"RunLengthDecode")}, run_lengths(data))
+    if kind == 4:
+        return Stream({b"Filter": name(b"LZW")}, lzw(data))
+    packed, parms = png_rows(data, 32)
+    return Stream({b"Filter": Name(b"FlateDecode"), b"DecodeParms": parms}, packed)
+
+
+FILTERS = 6
+
+
+def image(width: int, height: int, data: bytes, filters: list[bytes], space: object, **more: object) -> Stream:
+    d = {b"Type": Name(b"XObject"), b"Subtype": Name(b"Image"), b"Width": width, b"Height": height, b"ColorSpace": space, b"BitsPerComponent": 8, b"Filter": [Name(f) for f in filters] if len(filters) != 1 else Name(filters[0])}
+    return Stream(d | {k.encode(): v for k, v in more.items()}, data)
+
+
+def page_of(images: list[Stream], text: bytes = b"x", **more: object) -> dict[int, object]:
+    """Objects of a file with one page that shows a text and images (objects 10, 11, ...)."""
+    names = {b"Im%d" % i: Ref(10 + i) for i in range(len(images))}
+    shown = b" ".join(b"/Im%d Do" % i for i in range(len(images)))
+    objects: dict[int, object] = {
+        1: {b"Type": Name(b"Catalog"), b"Pages": Ref(2)}, 2: {b"Type": Name(b"Pages"), b"Count": 1, b"Kids": [Ref(3)]},
+        3: {b"Type": Name(b"Page"), b"Parent": Ref(2), b"Contents": Ref(4), b"Resources": {b"Font": {b"F1": Ref(5)}, b"XObject": names}}, 5: {b"Type": Name(b"Font"), b"Subtype": Name(b"Type1")},
+        4: Stream({}, b"BT /F1 9 Tf " + written(text) + b" Tj ET " + shown),
+    }
+    objects |= {10 + i: s for i, s in enumerate(images)}
+    return objects | {int(k[1:]): v for k, v in more.items()}
+
+
+def locked(objects: dict[int, object], password: bytes, stream: int) -> bytes:
+    """A file that a password opens (40-bit RC4), with one encrypted stream."""
+    ident, owner = b"0123456789abcdef", b"o" * 32
+    key = hashlib.md5((password + PAD)[:32] + owner + (0xFFFFFFFC).to_bytes(4, "little") + ident).digest()[:5]
+    own = hashlib.md5(key + stream.to_bytes(4, "little")[:3] + b"\0\0").digest()[:10]
+    s = objects[stream]
+    lock = {b"Filter": Name(b"Standard"), b"V": 1, b"R": 2, b"O": owner, b"P": -4, b"U": rc4(key, PAD)}
+    top = max(objects) + 1
+    return assembled(objects | {stream: Stream(s.dict, rc4(own, s.data)), top: lock}, Encrypt=Ref(top), ID=[ident, ident])
