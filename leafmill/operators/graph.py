@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators import totals
+
 
 def canonical(objects: DataFrame, doc: list[str], content: list[str], ident: str) -> DataFrame:
     """duplicate, canonical: objects equal to one with a smaller id, and that id.
@@ -105,10 +107,11 @@ def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def evictions(entries: DataFrame, group: str, size: str, order: list[str], budget: int) -> DataFrame:
     """Entries that go, largest first, until what is left fits the budget."""
-    w = Window.partitionBy(group)
-    e = entries.withColumn("total", F.sum(size).over(w))
-    gone = F.sum(size).over(w.orderBy(F.col(size).desc(), *order).rowsBetween(Window.unboundedPreceding, -1))
-    return e.withColumn("freed_before", F.coalesce(gone, F.lit(0))).withColumn("evicted", F.col("total") - F.col("freed_before") > budget)
+    sums = entries.groupBy(F.col(group).alias("of_group")).agg(F.sum(size).alias("total"))
+    e = totals.running_total(entries, group, [F.col(size).desc(), *[F.col(c) for c in order]], size, "freed")
+    e = e.join(sums, F.col(group).eqNullSafe(F.col("of_group"))).drop("of_group")
+    e = e.withColumn("freed_before", F.col("freed") - F.col(size)).drop("freed")
+    return e.withColumn("evicted", F.col("total") - F.col("freed_before") > budget)
 
 
 def output_names(files: DataFrame, folder: str, stem: str, preset: str, order: list[str], most: int = 99, short: bool = False) -> DataFrame:
@@ -118,7 +121,9 @@ def output_names(files: DataFrame, folder: str, stem: str, preset: str, order: l
     """
     if short:
         files = files.withColumn(preset, F.lit(""))
-    nth = F.row_number().over(Window.partitionBy(folder, stem, preset).orderBy(*order)) - 1
+    files = files.withColumn("name_key", F.to_json(F.struct(folder, stem, preset)))
+    files = totals.running_total(files, "name_key", [F.col(c) for c in order], F.lit(1), "name_nth").drop("name_key")
+    nth = F.col("name_nth") - 1
     base = F.concat(F.col(stem), F.lit("_optimized" if short else "__optimized-"), F.col(preset))
     name = F.when(nth == 0, F.concat(base, F.lit(".pdf"))).when(nth <= most, F.concat(base, F.lit("-"), nth.cast("string"), F.lit(".pdf")))
-    return files.withColumn("output_name", name)
+    return files.withColumn("output_name", name).drop("name_nth")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.presets import clamp, preset_default
 from leafmill.functions.scalars import notice, ratio
+from leafmill.operators import totals
 
 #: Pages of a document that are looked into.
 SAMPLED_PAGES = 24
@@ -20,10 +21,12 @@ def even_sample(pages: DataFrame, doc: str, order: list[str], size: int = SAMPLE
     """Up to size pages of each document, evenly spread, the first and the last among them.
 
     A page of index i (from 0, of n) is taken if it is round(k * (n - 1) / (size - 1)) for a whole
-    k. Every page finds that out for itself, so the pages needn't meet the list of indexes.
+    k. Every page finds that out for itself, so the pages needn't meet the list of indexes. A
+    document's pages are numbered range by range, so a very large one is no single task's.
     """
-    by = Window.partitionBy(doc)
-    p = pages.withColumn("page_index", F.row_number().over(by.orderBy(*order)) - 1).withColumn("page_total", F.count(F.lit(1)).over(by))
+    totals_of = pages.groupBy(F.col(doc).alias("of_doc")).agg(F.count(F.lit(1)).alias("page_total"))
+    p = totals.running_total(pages, doc, [F.col(c) for c in order], F.lit(1), "page_index").withColumn("page_index", F.col("page_index") - 1)
+    p = p.join(totals_of, F.col(doc).eqNullSafe(F.col("of_doc"))).drop("of_doc")
     last, steps = (F.col("page_total") - 1).cast("double"), float(size - 1)
     # the nearest k for this index, and whether that k's index is this one
     near = F.round(F.col("page_index") * steps / F.greatest(last, F.lit(1.0)))

@@ -12,9 +12,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from leafmill.functions import presets
 from leafmill.operators import batch, graph, images, pdf_rewrite, scoring
@@ -139,29 +142,41 @@ def facts(files: DataFrame, password: str | None = None, pages: int | None = sco
     return _by_file(files, one, FACTS)
 
 
-def _by_file(files: DataFrame, one, schema: str) -> DataFrame:
-    names = [x.strip().split(" ")[0].rstrip(":") for x in _top_fields(schema)]
+#: Rows and bytes of files that go to a worker at a time.
+BATCH_ROWS, BATCH_BYTES = 256, 64 << 20
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for ident, data in zip(f["doc_id"], f["content"]):
-                got = one(ident, data)
-                rows = got if isinstance(got, list) else [got]
-                yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
-
-    return files.select("doc_id", "content").mapInPandas(run, schema)
-
-
-def _top_fields(schema: str) -> list[str]:
-    out, depth, part = [], 0, ""
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(part)
-            part = ""
-        else:
-            part += c
-    return [*out, part]
+
+def _by_file(files: DataFrame, one, schema: str) -> DataFrame:
+    """The row (or rows) of one(doc_id, content) for each file, a few files and a bounded amount of bytes at a time."""
+    spark = files.sparkSession
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(key)).upper().removesuffix("B")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, size = [], 0
+            for ident, data in zip(b.column(0).to_pylist(), b.column(1)):
+                got = one(ident, data.as_py())
+                rows += got if isinstance(got, list) else [got]
+                size += len(data.as_py() or b"")
+                if size > BATCH_BYTES:
+                    yield _batch(rows, kinds)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows, kinds)
+
+    return files.select("doc_id", "content").mapInArrow(run, schema)
+
+
+def _batch(rows: list[dict], kinds: pa.Schema) -> pa.RecordBatch:
+    for r in rows:
+        if r.get("error"):
+            r["error"] = r["error"] | {"values": list(r["error"]["values"].items())}
+    return pa.RecordBatch.from_pylist(rows, schema=kinds)
 
 
 def analyze(files: DataFrame, settings: dict[str, Column] | None = None, password: str | None = None) -> DataFrame:

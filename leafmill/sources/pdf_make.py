@@ -8,7 +8,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +47,12 @@ def text_pdf(text: str) -> bytes:
 def from_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, content: a file for each text; null counts as empty."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "content": [text_pdf(t or "") for t in f["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_pdf(t or "") for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "content"])
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id string, content binary")
+    return rows.mapInArrow(run, "doc_id string, content binary")
 
 
 # ---- data in filters, images, protected files
