@@ -11,7 +11,7 @@ from typing import Any
 
 import numpy as np
 
-from leafmill.functions import fax, fonts, jbig2, jpeg, planes
+from leafmill.functions import fax, fonts, icc, jbig2, jpeg, planes
 from leafmill.sources.pdf_model import Document, Name, PdfError, Ref, Stream, canonical, decoded, filters_of, operations
 
 #: Gates of images and streams, as in operators.images.
@@ -348,7 +348,10 @@ def colour_space(doc: Document, x: Any, aliases: dict[bytes, Any], depth: int =
     if head == b"ICCBased" and len(x) > 1:
         n = whole(doc.dict_of(x[1]).get(b"N"))
         kind = {1: "gray", 3: "rgb", 4: "cmyk"}.get(n)
-        return {"kind": kind, "channels": n} if kind else None
+        found = {"kind": kind, "channels": n}
+        if n == 4 and (profile := icc_bytes(doc, x[1])):
+            found["icc"] = profile
+        return found if kind else None
     if head in (b"Indexed", b"I") and len(x) == 4:
         base, high, table = colour_space(doc, x[1], aliases, depth + 1), whole(doc.get(x[2])), doc.get(x[3])
         if base is None or base["kind"] == "indexed" or high is None or not 0 <= high <= 255:
@@ -364,6 +367,33 @@ def colour_space(doc: Document, x: Any, aliases: dict[bytes, Any], depth: int =
     return None
 
 
+def icc_bytes(doc: Document, x: Any) -> bytes | None:
+    """A profile's bytes, if it can be read and is of a size that profiles have."""
+    s = doc.get(x)
+    try:
+        found = decoded(s, icc.MOST + 1) if isinstance(s, Stream) else b""
+    except (PdfError, ValueError, TypeError):
+        return None
+    return found if icc.LEAST <= len(found) <= icc.MOST else None
+
+
+def cmyk_profile(space: dict | None) -> bytes | None:
+    """The profile of a CMYK space, or of the CMYK base of an indexed one."""
+    if not space:
+        return None
+    return space.get("icc") or (space["base"].get("icc") if space["kind"] == "indexed" else None)
+
+
+def colours_of(p: np.ndarray, space: dict | None) -> np.ndarray:
+    """Inks as colours: by the profile if there is one that can be used, else by the matrix."""
+    if profile := cmyk_profile(space):
+        try:
+            return icc.Transform(profile).rgb(p)
+        except (icc.IccError, IndexError):
+            pass
+    return planes.calibrated_cmyk(p)
+
+
 def declares_cmyk(space: dict | None) -> bool:
     return bool(space) and (space["kind"] == "cmyk" or space["kind"] == "indexed" and space["base"]["kind"] == "cmyk")
 
@@ -517,7 +547,7 @@ def plane_of(doc: Document, s: Stream, f: dict, space: dict | None) -> np.ndarra
             raise ValueError("decode ranges")
         if any(flips):
             p = np.where(np.array(flips) if p.ndim == 3 else flips[0], 255 - p, p).astype(np.uint8)
-    return planes.calibrated_cmyk(p) if p.ndim == 3 and p.shape[2] == 4 else p
+    return colours_of(p, space) if p.ndim == 3 and p.shape[2] == 4 else p
 
 
 class ImageCache:

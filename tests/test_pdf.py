@@ -314,6 +314,59 @@ def test_planes():
         planes.looked_up(np.array([3]), b"\0" * 9, 3)
 
 
+def profile(lab_of, grid=3, wide=False, tag=b"A2B1", space=b"CMYK"):
+    """A CMYK profile whose grid holds Lab colours of inks, with straight curves."""
+    place = np.stack(np.meshgrid(*[np.linspace(0, 1, grid)] * 4, indexing="ij"), axis=-1).reshape(-1, 4)
+    lab = np.array([lab_of(*p) for p in place])
+    if wide:
+        cells = np.stack([lab[:, 0] * 652.8, (lab[:, 1] + 128) * 256, (lab[:, 2] + 128) * 256], axis=1)
+        cells, line = np.rint(cells).astype(">u2").tobytes(), np.array([0, 65535], ">u2").tobytes()
+        curves = (2).to_bytes(2, "big") * 2 + line * 4
+    else:
+        cells = np.rint(np.stack([lab[:, 0] * 2.55, lab[:, 1] + 128, lab[:, 2] + 128], axis=1)).astype(np.uint8).tobytes()
+        line = bytes(range(256))
+        curves = line * 4
+    table = (b"mft2" if wide else b"mft1") + bytes(4) + bytes([4, 3, grid, 0]) + bytes(36) + curves + cells + line * 3
+    head = bytearray(128)
+    head[16:20], head[20:24], head[36:40] = space, b"Lab ", b"acsp"
+    return bytes(head) + (1).to_bytes(4, "big") + tag + (144).to_bytes(4, "big") + len(table).to_bytes(4, "big") + table
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_colours_by_profile(wide):
+    from leafmill.functions import icc
+
+    # the inks' colours add up so that interpolation is exact: L falls with black, a with cyan, b grows with yellow
+    data = profile(lambda c, m, y, k: (100 * (1 - k), -60 * c + 60 * m, 60 * y), wide=wide)
+    t = icc.Transform(data)
+    plane = np.array([[[0, 0, 0, 0], [0, 0, 0, 255], [0, 0, 0, 128], [0, 255, 0, 100], [255, 0, 128, 40]]], np.uint8)
+    rgb = t.rgb(plane)[0].astype(int)
+    assert rgb[0].min() >= 254 and rgb[1].max() <= 1 and abs(rgb[2] - 118).max() <= 3  # white, black, gray of L = 49.8
+    assert rgb[3][0] > rgb[3][1] and rgb[4][1] > rgb[4][0] and rgb[4][1] > rgb[4][2]
+    bright = icc.Transform(profile(lambda c, m, y, k: (100 - 80 * k, 0, 0), wide=wide)).rgb(plane[:, :2])
+    assert bright[0, 0].min() >= 254 and bright[0, 1].max() <= 1  # the darkest ink is made black
+    for bad in (data[:300], data[:128] + bytes(40), profile(lambda *x: (0, 0, 0), space=b"RGB "), b"x" * 200):
+        with pytest.raises(icc.IccError):
+            icc.Transform(bad)
+
+
+def test_images_with_a_profile():
+    data = profile(lambda c, m, y, k: (100 * (1 - k), 0, 0))
+    inks = np.zeros((120, 130, 4), np.uint8)
+    inks[..., 3] = np.arange(130) * 255 // 129
+    space = [Name(b"ICCBased"), Ref(12)]
+    made = lambda icc: Document(pdf_make.assembled(pdf_make.page_of([pdf_make.image(130, 120, zlib.compress(inks.tobytes()), [b"FlateDecode"], space)], o12=Stream({b"N": 4}, icc))))
+    seen = []
+    for icc in (data, b"broken" * 40):
+        doc = made(icc)
+        s, found = doc.objects[Ref(10)], pdf_rewrite.colour_space(doc, space, {})
+        assert found["kind"] == "cmyk" and found["icc"] == icc
+        seen.append(pdf_rewrite.plane_of(doc, s, pdf_rewrite.image_facts(doc, Ref(10), {}, {}), found))
+    assert np.ptp(seen[0].astype(int), axis=2).max() <= 2 and (np.diff(seen[0][0, :, 0].astype(int)) <= 0).all()
+    assert (seen[1] == planes.calibrated_cmyk(inks)).all()
+    assert pdf_rewrite.cmyk_profile({"kind": "indexed", "base": {"kind": "cmyk", "icc": b"x"}}) == b"x" and pdf_rewrite.cmyk_profile({"kind": "gray"}) is None
+
+
 def test_bilevel_and_indexed_images():
     black = np.zeros((900, 900), bool)
     black[100:300, 50:800] = True
