@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.presets import PRESETS, clamp
 
 #: What builds of the engine can do, and which of it this one does.
-FEATURES = {"cmykCms": True, "jpxDecode": False, "jbig2Decode": True, "fontSubset": True}
+FEATURES = {"cmykCms": True, "jpxDecode": True, "jbig2Decode": True, "fontSubset": True}
 _ENTRY = "struct<sourcePath: string, settings: map<string, string>>"
 
 

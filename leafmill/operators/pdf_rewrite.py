@@ -11,7 +11,7 @@ from typing import Any
 
 import numpy as np
 
-from leafmill.functions import fax, fonts, icc, jbig2, jpeg, planes
+from leafmill.functions import fax, fonts, icc, jbig2, jpeg, jpx, planes
 from leafmill.sources.pdf_model import Document, Name, PdfError, Ref, Stream, canonical, decoded, filters_of, operations
 
 #: Gates of images and streams, as in operators.images.
@@ -440,6 +440,14 @@ def jbig2_shared(doc: Document, d: dict) -> bytes | None:
         return None
 
 
+def jpx_shape(doc: Document, d: dict) -> tuple[int, int] | None:
+    """Width and height of a JPEG 2000 image that can be read: sides in bounds, no parameters, no ranges."""
+    w, h = whole(doc.get(d.get(b"Width"))), whole(doc.get(d.get(b"Height")))
+    if not w or not h or not 0 < w <= MOST_EDGE or not 0 < h <= MOST_EDGE:
+        return None
+    return None if any(doc.get(d.get(k)) is not None for k in (b"DecodeParms", b"DP", b"Decode")) else (w, h)
+
+
 def image_facts(doc: Document, ref: Ref, masks: dict[Ref, int], aliases: dict[bytes, Any]) -> dict:
     """What the analysis and the gates look at."""
     s = doc.objects[ref]
@@ -447,7 +455,9 @@ def image_facts(doc: Document, ref: Ref, masks: dict[Ref, int], aliases: dict[by
     w, h, chain = whole(doc.get(d.get(b"Width"))), whole(doc.get(d.get(b"Height"))), filters_of(d)
     ok = bool(w and h and w > 0 and h > 0)
     special = [f for f in chain if f in (b"CCITTFaxDecode", b"JPXDecode", b"JBIG2Decode")]
-    supported = not (special and len(chain) > 1) and not any(f in (b"?", b"Crypt", b"JPXDecode") for f in chain)
+    supported = not (special and len(chain) > 1) and not any(f in (b"?", b"Crypt") for f in chain)
+    if b"JPXDecode" in chain:
+        supported = supported and jpx_shape(doc, d) is not None
     if b"CCITTFaxDecode" in chain:
         supported = supported and fax_shape(d) is not None
     if b"JBIG2Decode" in chain:
@@ -500,7 +510,7 @@ def gate(doc: Document, s: Stream, f: dict, settings: dict, floor: int, space: d
         return "already near the requested target dimensions"
     if f["cmyk_declared"] and not settings["converts_cmyk"]:
         return "CMYK stays as it is"
-    if not f["is_jpeg"] and not f["bilevel_input"]:
+    if not f["is_jpeg"] and not f["bilevel_input"] and "JPXDecode" not in f["filters"]:
         bits = whole(d.get(b"BitsPerComponent")) or 8
         if space is None or bits not in ((4, 8) if space["kind"] == "indexed" else (8,)):
             return "unsupported samples"
@@ -521,7 +531,12 @@ def plane_of(doc: Document, s: Stream, f: dict, space: dict | None) -> np.ndarra
             raise ValueError("damaged fax data")
         # samples are 0 for black unless BlackIs1; DeviceGray shows 0 as black either way
         return np.where(black, 255 if shape["black_is_1"] else 0, 0 if shape["black_is_1"] else 255).astype(np.uint8)
-    if f["is_jpeg"]:
+    if "JPXDecode" in f["filters"]:
+        p = jpx.decode(s.data)
+        n = 1 if p.ndim == 2 else p.shape[2]
+        if p.shape[:2] != (h, w) or space and space["kind"] != "indexed" and space["channels"] != n:
+            raise ValueError("size or channels differ")
+    elif f["is_jpeg"]:
         p = jpeg.decode(decoded(s, w * h * 5 + (1 << 16), images=True))
         if p.shape[:2] != (h, w):
             raise ValueError("size differs")
@@ -632,7 +647,8 @@ def _resized_mask(mask: Stream, width: int, height: int) -> Stream:
     if not w or not h or (whole(mask.dict.get(b"BitsPerComponent")) or 8) != 8:
         raise ValueError("soft mask")
     raw = decoded(mask, w * h * 2 + (1 << 16), images=True)
-    p = jpeg.decode(raw) if b"DCTDecode" in filters_of(mask.dict) else np.frombuffer(raw[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+    chain = filters_of(mask.dict)
+    p = jpeg.decode(raw) if b"DCTDecode" in chain else jpx.decode(raw) if b"JPXDecode" in chain else np.frombuffer(raw[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
     if p.shape != (h, w):
         raise ValueError("soft mask")
     if (flips := decode_flips(mask.dict, 1)) is None:
