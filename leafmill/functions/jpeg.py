@@ -75,30 +75,49 @@ def _coefficients(plane: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.rint(f / q).astype(int).reshape(-1, 64)[:, _ZIGZAG]
 
 
-def _symbols(blocks: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(symbol, extra bits, their number) of all blocks, in coding order; direct ones marked by table."""
-    out: list[tuple[int, int, int, int]] = []
-    before = 0
-    for b in blocks:
-        d = int(b[0]) - before
-        before = int(b[0])
-        n = abs(d).bit_length()
-        out.append((0, n, d if d >= 0 else d + (1 << n) - 1, n))
-        zero = 0
-        at = np.flatnonzero(b[1:])
-        last = -1
-        for i in at.tolist():
-            zero = i - last - 1
-            last = i
-            while zero > 15:
-                out.append((1, 0xF0, 0, 0))
-                zero -= 16
-            v = int(b[1 + i])
-            n = abs(v).bit_length()
-            out.append((1, zero << 4 | n, v if v >= 0 else v + (1 << n) - 1, n))
-        if last < 62:
-            out.append((1, 0, 0, 0))
-    return out
+def _bits_of(x: np.ndarray) -> np.ndarray:
+    return np.searchsorted(1 << np.arange(16), np.abs(x), side="right")
+
+
+def _symbols(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all blocks in coding order: the table (0 for first coefficients), the symbol, the extra bits, their number."""
+    first = np.diff(blocks[:, 0], prepend=0)
+    row, at = np.nonzero(blocks[:, 1:])
+    value = blocks[row, at + 1]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = row[1:] != row[:-1]
+    run = at - np.where(fresh, -1, np.concatenate([[-1], at[:-1]])) - 1
+    long = np.repeat(np.arange(len(run)), run // 16)  # runs of sixteen zeros
+    last = np.full(len(blocks), -1)
+    last[row] = at
+    ends = np.flatnonzero(last < 62)
+    wide, size = 200, _bits_of(value)
+    none = lambda x: np.zeros(len(x), int)
+    parts = [
+        (np.arange(len(blocks)) * wide, none(first), _bits_of(first), first), (row[long] * wide + 2 * at[long] + 1, none(long) + 1, none(long) + 0xF0, none(long)),
+        (row * wide + 2 * at + 2, none(row) + 1, run % 16 << 4 | size, value), (ends * wide + wide - 1, none(ends) + 1, none(ends), none(ends)),
+    ]
+    key, table, symbol, value = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    table, symbol, value = table[order], symbol[order], value[order]
+    size = np.where(symbol == 0xF0, 0, symbol & 15) * (table == 1) + symbol * (table == 0)
+    return table, symbol, np.where(value >= 0, value, value + (1 << size) - 1), size
+
+
+def _packed(table: np.ndarray, symbol: np.ndarray, extra: np.ndarray, size: np.ndarray, codes: list[dict[int, tuple[int, int]]]) -> bytes:
+    """Codes and extra bits one after another, filled up with ones; a zero follows a byte of ones."""
+    known = np.zeros((2, 256, 2), np.int64)
+    for k, found in enumerate(codes):
+        for s, pair in found.items():
+            known[k, s] = pair
+    code, length = known[table, symbol].T
+    value, length = code << size | extra, length + size
+    end = np.cumsum(length)
+    bits = np.ones(-(-int(end[-1]) // 8) * 8 if len(end) else 0, np.uint8)
+    for k in range(int(length.max()) if len(length) else 0):
+        some = length > k
+        bits[end[some] - 1 - k] = value[some] >> k & 1
+    return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\0")
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -125,35 +144,15 @@ def encode(plane: np.ndarray, quality: int) -> bytes:
     frame = b"\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([len(planes)])
     out.append(_segment(0xC0, frame + b"".join(bytes([k + 1, 0x11, min(k, 1)]) for k in range(len(planes)))))
     for k, p in enumerate(planes):
-        coded = _symbols(_coefficients(p, q[min(k, 1)]))
+        table, symbol, extra, size = _symbols(_coefficients(p, q[min(k, 1)]))
         codes = []
         for kind in (0, 1):
-            counts: dict[int, int] = {}
-            for t, s, _, _ in coded:
-                if t == kind:
-                    counts[s] = counts.get(s, 0) + 1
-            number, symbols = _huffman(counts)
+            kinds, counts = np.unique(symbol[table == kind], return_counts=True)
+            number, symbols = _huffman(dict(zip(kinds.tolist(), counts.tolist())))
             codes.append(_code(number, symbols))
             out.append(_segment(0xC4, bytes([kind << 4]) + bytes(number) + bytes(symbols)))
         out.append(_segment(0xDA, bytes([1, k + 1, 0x00, 0, 63, 0])))
-        bits, have, data = 0, 0, bytearray()
-        for t, s, extra, n in coded:
-            code, length = codes[t][s]
-            bits = (bits << length | code) << n | extra
-            have += length + n
-            while have >= 8:
-                byte = bits >> (have - 8) & 255
-                data.append(byte)
-                if byte == 255:
-                    data.append(0)
-                have -= 8
-            bits &= (1 << have) - 1
-        if have:
-            byte = (bits << (8 - have) | (1 << (8 - have)) - 1) & 255
-            data.append(byte)
-            if byte == 255:
-                data.append(0)
-        out.append(bytes(data))
+        out.append(_packed(table, symbol, extra, size, codes))
     return b"".join(out) + b"\xff\xd9"
 
 

@@ -196,6 +196,25 @@ def pdf_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("""
+SELECT n_nationkey::VARCHAR AS doc_id, 1 AS images_recompressed, 509::BIGINT AS width, 700::BIGINT AS height, 'DCTDecode' AS filters, true AS smaller FROM nation
+""")
+def pdf_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scanned page for each nation, of 800 by 1,100 pixels: rewritten, and what became of the image."""
+
+    def one(key: int) -> bytes:
+        y, x = np.mgrid[0:1100, 0:800]
+        p = np.stack([np.sin(x / (9 + key)) * 50 + 128, np.cos(y / 23) * 60 + 128, (x + y) % 255], axis=-1)
+        p = np.clip(p + np.random.default_rng(key).normal(0, 4, p.shape), 0, 255).astype(np.uint8)
+        return pdf_make.assembled(pdf_make.page_of([pdf_make.image(800, 1100, zlib.compress(p.tobytes(), 1), [b"FlateDecode"], _RGB)]))
+
+    rows = _read(spark, sf_dir, "nation").select("n_nationkey").repartition(2 * spark.sparkContext.defaultParallelism, "n_nationkey")
+    done = pdf.optimize(_files(rows, one))
+    told = done.select("doc_id", "images_recompressed", (F.col("compressed_size_bytes") < F.col("original_size_bytes") / 4).alias("smaller"))
+    x = pdf.facts(done.select("doc_id", "content")).select("doc_id", F.explode("images").alias("x"))
+    return x.select("doc_id", "x.width", "x.height", F.array_join("x.filters", ",").alias("filters")).join(told, "doc_id").select("doc_id", "images_recompressed", "width", "height", "filters", "smaller")
+
+
 # ---- codecs
 
 
