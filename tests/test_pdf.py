@@ -639,7 +639,196 @@ def test_jbig2_generic_regions(template):
         except ValueError:
             pass
     with pytest.raises(ValueError, match="segment"):
-        jbig2.decode(segment(0, 0, b""), 45, 30)
+        jbig2.decode(segment(0, 53, b""), 45, 30)
+
+
+class _Jbig2(_Encoder):
+    """Numbers, ids and bitmaps as symbol dictionaries and text regions hold them."""
+
+    def __init__(self):
+        super().__init__()
+        self.known = {}
+
+    def number(self, kind, value):
+        from leafmill.functions import jbig2
+
+        contexts, before = self.known.setdefault(kind, [0] * 512), 1
+        size = 0 if value is None else abs(value)
+        k = max(i for i, (_, low) in enumerate(jbig2.Numbers.RANGES) if size >= low)
+        n, low = jbig2.Numbers.RANGES[k]
+        for b in [int(value is None or value < 0)] + [1] * k + [0] * (k < 5) + [(size - low) >> i & 1 for i in range(n - 1, -1, -1)]:
+            self.bit(contexts, before, b)
+            before = before << 1 | b if before < 256 else (before << 1 | b) & 511 | 256
+
+    def ident(self, value, bits):
+        contexts, before = self.known.setdefault("id", [0] * (2 << bits)), 1
+        for i in range(bits - 1, -1, -1):
+            b = value >> i & 1
+            self.bit(contexts, before, b)
+            before = before << 1 | b
+
+    def plane(self, plane, places, kind="plane", under=None, others=()):
+        """places, others: (x, y) of the pixels seen, of the plane and of the one under it."""
+        contexts = self.known.setdefault(kind, [0] * (1 << len(places) + len(others)))
+        wide, below = np.pad(plane, 140), None if under is None else np.pad(under, 140)
+        for r in range(plane.shape[0]):
+            for c in range(plane.shape[1]):
+                number = 0
+                for dx, dy in places:
+                    number = number << 1 | int(wide[r + 140 + dy, c + 140 + dx])
+                for dx, dy in others:
+                    y, x = r + 140 + dy, c + 140 + dx
+                    number = number << 1 | int(below[y, x] if y < below.shape[0] and x < below.shape[1] else 0)
+                self.bit(contexts, number, int(plane[r, c]))
+
+
+def _jbig2_places(template, moved):
+    from leafmill.functions import jbig2
+
+    rows, _ = jbig2.TEMPLATES[template]
+    return [(dx, dy) for dy, dx in sorted([(dy, dx) for dy, a, b in rows for dx in range(a, b + 1)] + [(dy, dx) for dx, dy in moved])]
+
+
+_four = lambda *v: b"".join((n & 0xFFFFFFFF).to_bytes(4, "big") for n in v)
+
+
+def _jbig2_segment(n, kind, d, *told):
+    return _four(n) + bytes([kind, len(told) << 5, *told, 1]) + _four(len(d)) + d
+
+
+GLYPHS = [np.array([[c == "#" for c in row] for row in g.split()]) for g in ("##. #.# ##. #.# ##.", ".#. #.# ### #.# #.#", "### #.. ##. #.. ###", "#### #..#")]
+
+
+def _jbig2_symbols(glyphs, fine=None):
+    """A dictionary of glyphs by height; fine: pairs (glyph that is refined, refinement) that come after."""
+    moved = [(3, -1), (-3, -1), (2, -2), (-2, -2)]
+    e, height = _Jbig2(), 0
+    for h in sorted({g.shape[0] for g in glyphs}):
+        e.number("dh", h - height)
+        height, width = h, 0
+        for g in [g for g in glyphs if g.shape[0] == h]:
+            e.number("dw", g.shape[1] - width)
+            width = g.shape[1]
+            e.plane(g, _jbig2_places(0, moved))
+        e.number("dw", None)
+    e.number("ex", 0)
+    e.number("ex", len(glyphs))
+    at = b"".join(bytes([dx & 255, dy & 255]) for dx, dy in moved)
+    return (0).to_bytes(2, "big") + at + _four(len(glyphs), len(glyphs)) + e.done()
+
+
+@pytest.mark.parametrize("corner", [0, 1, 2, 3])
+@pytest.mark.parametrize("transposed", [False, True])
+@pytest.mark.parametrize("refines", [False, True])
+def test_jbig2_symbols_and_text(corner, transposed, refines):
+    from leafmill.functions import jbig2
+
+    glyphs = sorted(GLYPHS, key=lambda g: g.shape[0])
+    page, e = np.zeros((40, 60), bool), _Jbig2()
+    shifts = [(-1, -1), (-1, -1)]
+    own, others = jbig2._REFINED[0]
+    lines = [(6, 0, [0, 1, 2, 3, 1]), (16, 4, [3, 3, 0]), (27, 2, [2])]
+    e.number("dt", 0)
+    across = first = 0
+    for t, begin, ids in lines:
+        e.number("dt", t - across)
+        e.number("fs", begin - first)
+        across, first, along = t, begin, begin
+        for k, i in enumerate(ids):
+            if k:
+                e.number("ds", 2 - 1)  # and one more by the region's offset
+                along += 2
+            e.ident(i, 2)
+            g = glyphs[i]
+            if refines:
+                e.number("ri", k % 2)
+                if k % 2:
+                    g = np.pad(g, ((0, 1), (1, 0)))
+                    g[-1, 0] = True
+                    for kind, v in (("rdw", 1), ("rdh", 1), ("rdx", 1), ("rdy", 0)):
+                        e.number(kind, v)
+                    old = np.zeros(g.shape, bool)
+                    old[: g.shape[0] - 1, 1:] = glyphs[i]  # half of one is none, and one to the right
+                    e.plane(g, [*own, shifts[0]], "refined", old, [*others, shifts[1]])
+            h, w = g.shape
+            along += (h if transposed else w) - 1 if corner in ((0, 2) if transposed else (2, 3)) else 0
+            x, y = (t, along) if transposed else (along, t)
+            x, y = x - (w - 1) * (corner in (2, 3)), y - (h - 1) * (corner in (0, 2))
+            page[max(y, 0) : y + h, max(x, 0) : x + w] |= g[max(-y, 0) :, max(-x, 0) :][: 40 - max(y, 0), : 60 - max(x, 0)]
+            along += (h if transposed else w) - 1 if corner in ((1, 3) if transposed else (0, 1)) else 0
+        e.number("ds", None)
+    flags = 2 * refines | corner << 4 | transposed << 6 | 1 << 10
+    body = _four(60, 40, 0, 0) + b"\0" + flags.to_bytes(2, "big") + (b"\xff\xff\xff\xff" if refines else b"") + _four(9) + e.done()
+    data = _jbig2_segment(1, 48, _four(60, 40, 0, 0) + b"\0\0\0") + _jbig2_segment(2, 6, body, 0)
+    shared = _jbig2_segment(0, 0, _jbig2_symbols(glyphs))
+    assert (jbig2.decode(data, 60, 40, shared) == page).all()
+    for k in range(0, len(data), 7):
+        try:
+            jbig2.decode(data[:k] + b"\x55" + data[k + 1 :], 60, 40, shared)
+        except ValueError:
+            pass
+
+
+def test_jbig2_symbols_of_symbols():
+    from leafmill.functions import jbig2
+
+    old, new = GLYPHS[0], GLYPHS[0].copy()
+    new[0, 2] = True
+    pair = np.zeros((5, 7), bool)
+    pair[:, :3] |= old
+    pair[:, 4:7] |= new
+    own, others = jbig2._REFINED[1]
+    e = _Jbig2()
+    e.number("dh", 5)
+    e.number("dw", 3)
+    e.number("ai", 1)  # one symbol, refined
+    e.ident(0, 2)
+    e.number("rdx", 0)
+    e.number("rdy", 0)
+    e.plane(new, own, "refined", old, others)
+    e.number("dw", 4)
+    e.number("ai", 2)  # two of them, side by side
+    for kind, v in (("dt", 0), ("dt", 0), ("fs", 0)):
+        e.number(kind, v)
+    e.ident(0, 2)
+    e.number("ri", 0)
+    e.number("ds", 2)
+    e.ident(1, 2)
+    e.number("ri", 0)
+    e.number("ds", None)
+    e.number("dw", None)
+    for run in (1, 2):
+        e.number("ex", run)
+    flags = (2 | 1 << 12).to_bytes(2, "big")
+    got = jbig2.dictionary(flags + b"\3\xff\xfd\xff\2\xfe\xfe\xfe" + _four(2, 2) + e.done(), [old])
+    assert len(got) == 2 and (got[0] == new).all() and (got[1] == pair).all()
+
+
+def test_jbig2_halftones_and_refined_regions():
+    from leafmill.functions import jbig2
+
+    dots = [np.add.outer(np.arange(4), np.arange(4)) < k for k in (0, 2, 4, 7)]
+    e = _Jbig2()
+    e.plane(np.concatenate(dots, axis=1), _jbig2_places(1, [(-4, 0)]))
+    made = bytes([2, 4, 4]) + _four(3) + e.done()
+    gray = np.add.outer(np.arange(5), np.arange(6)) % 4
+    e, last = _Jbig2(), np.zeros((5, 6), bool)
+    for k in (1, 0):
+        now = gray >> k & 1 > 0
+        e.plane(now ^ last, _jbig2_places(1, [(3, -1)]))
+        last = now
+    grid = bytes([2]) + _four(6, 5, 0, 0) + (4 << 8).to_bytes(2, "big") + b"\0\0" + e.done()
+    page = np.block([[dots[v] for v in row] for row in gray])
+    start = _jbig2_segment(1, 48, _four(24, 20, 0, 0) + b"\0\0\0")
+    data = start + _jbig2_segment(2, 16, made) + _jbig2_segment(3, 22, _four(24, 20, 0, 0) + b"\0" + grid, 2)
+    assert (jbig2.decode(data, 24, 20) == page).all()
+    fine = page.copy()
+    fine[3:6, 7:19] ^= True
+    own, others = jbig2._REFINED[1]
+    e = _Jbig2()
+    e.plane(fine, own, "refined", page, others)
+    more = _jbig2_segment(4, 42, _four(24, 20, 0, 0) + b"\4\1" + e.done())
+    assert (jbig2.decode(data + more, 24, 20) == fine).all()
 
 
 def test_text_signals_of_long_documents(spark, tmp_path):
