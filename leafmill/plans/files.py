@@ -232,6 +232,50 @@ def fax_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(_parts(spark, sf_dir), one, "p_partkey long, height int, black int, same boolean, digest string")
 
 
+@_query("""
+SELECT p_partkey, length(p_name)::INTEGER AS height, (list_sum(list_transform(range(1, length(p_name) + 1), lambda i: bit_count(ascii(p_name[i])))))::INTEGER AS black, (p_partkey % 3)::INTEGER AS form, sha256(p_name) AS digest FROM part
+""")
+def fax_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as planes, coded row by row in the three forms of one-dimensional fax data, and decoded."""
+
+    def one(key: int, name: str, _: int) -> tuple:
+        plane = np.unpackbits(np.frombuffer(name.encode("latin-1", "replace"), np.uint8)).reshape(-1, 8).astype(bool)
+        marks, aligned = key % 3 == 1, key % 3 == 2
+        again = fax.decode_g3(pdf_make.fax_lines(plane, marks, aligned), 8, len(plane), marks, aligned)
+        return key, len(again), int(again.sum()), key % 3, hashlib.sha256(np.packbits(again).tobytes()).hexdigest()
+
+    return _each(_parts(spark, sf_dir), one, "p_partkey long, height int, black int, form int, digest string")
+
+
+#: Small images of 16 by 12 samples, as a JPEG 2000 codestream and as JBIG2 segments.
+_JPX = (
+    "ff4fff5100290000000000100000000c0000000000000000000000100000000c00000000000000000001070101ff52000c00000001000201010001ff5c000a4058585858585858"
+    "ff90000a00000000003e0001ff93c3f00e06aff4e9f5b3e67286ff53cc088fc07ce1203e70801bf4ff7f0cbd800cc01f08700f9030369cf9408dc35e077fffd9"
+)
+_JBIG2 = "0000000030000100000013000000100000000c00000000000000000000000000000126000100000024000000100000000c0000000000000000000602fff5fddff983576f37132730ab163fffac"
+
+
+@_query("""
+SELECT r_regionkey, y::INTEGER AS y, x::INTEGER AS x, CASE WHEN r_regionkey % 2 = 0 THEN (x * 7 + y * 13) % 256 ELSE CASE WHEN (x // 3 + y // 2) % 3 = 0 THEN 0 ELSE 255 END END::INTEGER AS value
+FROM region, range(0, 12) AS a(y), range(0, 16) AS b(x)
+""")
+def coded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small coded images in PDF files, decoded sample by sample."""
+    from leafmill.operators import pdf_rewrite
+    from leafmill.sources.pdf_model import Document
+
+    def one(key: int) -> tuple:
+        data, name = (bytes.fromhex(_JPX), b"JPXDecode") if key % 2 == 0 else (bytes.fromhex(_JBIG2), b"JBIG2Decode")
+        doc = Document(pdf_make.assembled(pdf_make.page_of([pdf_make.image(16, 12, data, [name], _GRAY)])))
+        space = pdf_rewrite.colour_space(doc, _GRAY, {})
+        plane = pdf_rewrite.plane_of(doc, doc.objects[Ref(10)], pdf_rewrite.image_facts(doc, Ref(10), {}, {}), space)
+        return key, plane.astype(int).tolist()
+
+    d = _each(_read(spark, sf_dir, "region").select("r_regionkey"), one, "r_regionkey int, rows array<array<int>>")
+    d = d.select("r_regionkey", F.posexplode("rows").alias("y", "row")).select("r_regionkey", "y", F.posexplode("row").alias("x", "value"))
+    return d.select("r_regionkey", "y", "x", "value")
+
+
 @_query("""
 SELECT p_partkey, (8 + p_partkey % 24)::INTEGER AS width, 16 AS height, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 3 END AS channels, ((p_size * 5) % 256)::INTEGER AS low, ((p_size * 5) % 256)::INTEGER AS high FROM part
 """)

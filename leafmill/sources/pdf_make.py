@@ -8,10 +8,12 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions import fax
 from leafmill.sources.pdf_model import _PAD as PAD
 from leafmill.sources.pdf_model import Name, Ref, Stream, rc4, written
 
@@ -109,6 +111,20 @@ def filtered(data: bytes, kind: int) -> Stream:
 FILTERS = 6
 
 
+def fax_lines(plane: np.ndarray, marks: bool = False, aligned: bool = False) -> bytes:
+    """One-dimensional fax data, each row with a mark before it, or from a whole byte on."""
+    out = ""
+    for row in plane:
+        out += "0" * (-len(out) % 8 if aligned else 0) + (fax.END_OF_LINE if marks else "")
+        ends = [*fax.changes(row), len(row)]
+        black, at = False, 0
+        for end in ends:
+            out += fax._run_code(end - at, black)
+            black, at = not black, end
+    out += "0" * (-len(out) % 8)
+    return int(out or "0", 2).to_bytes(len(out) // 8, "big")
+
+
 def image(width: int, height: int, data: bytes, filters: list[bytes], space: object, **more: object) -> Stream:
     d = {b"Type": Name(b"XObject"), b"Subtype": Name(b"Image"), b"Width": width, b"Height": height, b"ColorSpace": space, b"BitsPerComponent": 8, b"Filter": [Name(f) for f in filters] if len(filters) != 1 else Name(filters[0])}
     return Stream(d | {k.encode(): v for k, v in more.items()}, data)
