@@ -215,6 +215,37 @@ def pdf_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "x.width", "x.height", F.array_join("x.filters", ",").alias("filters")).join(told, "doc_id").select("doc_id", "images_recompressed", "width", "height", "filters", "smaller")
 
 
+@_query("""
+WITH f AS (SELECT p_partkey, 6 + p_size % 20 AS n, p_partkey % 2 AS kind, p_partkey % 5 = 0 AS unsafe FROM part), g AS (SELECT *, 1 + p_partkey % (n - 1) AS glyph FROM f)
+SELECT p_partkey, n::INTEGER AS glyphs, CASE WHEN unsafe THEN 0 ELSE 1 END AS subsetted, (CASE WHEN unsafe THEN n WHEN kind = 0 AND glyph = n - 1 THEN 3 ELSE 2 END)::INTEGER AS kept FROM g
+""")
+def font_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedded fonts of PDF files without the glyphs that nothing shows; a composed glyph keeps its part."""
+    from leafmill.functions import fonts
+    from leafmill.operators import pdf_rewrite
+    from leafmill.sources.pdf_model import Document
+
+    def one(key: int, _: str, size: int) -> tuple:
+        n = 6 + size % 20
+        glyph = 1 + key % (n - 1)
+        more = {b"Annots": [{b"AP": {}}]} if key % 5 == 0 else None
+        if key % 2 == 0:
+            data = pdf_make.font_file(pdf_make.truetype(n), b"CIDFontType2", b"FontFile2", glyph.to_bytes(2, "big"), more)
+        else:
+            data = pdf_make.font_file(pdf_make.cff(n), b"CIDFontType0", b"FontFile3", (9 + glyph).to_bytes(2, "big"), more)
+        doc = Document(data)
+        done, _ = pdf_rewrite.subset_fonts(doc)
+        found = decoded(doc.objects[Ref(8)])
+        if key % 2 == 0:
+            places, _, _ = fonts._outlines(found)
+            kept = sum(b > a for a, b in zip(places, places[1:]))
+        else:
+            kept = sum(set(found[a:b]) != {14} for a, b in fonts.Cff(found).glyphs)
+        return key, n, done, kept
+
+    return _each(_parts(spark, sf_dir), one, "p_partkey long, glyphs int, subsetted int, kept int")
+
+
 # ---- codecs
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -152,3 +153,56 @@ def locked(objects: dict[int, object], password: bytes, stream: int) -> bytes:
     lock = {b"Filter": Name(b"Standard"), b"V": 1, b"R": 2, b"O": owner, b"P": -4, b"U": rc4(key, PAD)}
     top = max(objects) + 1
     return assembled(objects | {stream: Stream(s.dict, rc4(own, s.data)), top: lock}, Encrypt=Ref(top), ID=[ident, ident])
+
+
+# ---- fonts
+
+
+def truetype(n: int = 5) -> bytes:
+    """A font of n glyphs; the last is composed of the second."""
+    simple = struct.pack(">hhhhh", 1, 0, 0, 9, 9) + bytes(range(22))
+    glyphs = [simple] * (n - 1) + [struct.pack(">hhhhh", -1, 0, 0, 9, 9) + struct.pack(">HHBB", 0, 1, 0, 0) + b"\0\0"]
+    glyf = b"".join(g + b"\0" * (-len(g) % 4) for g in glyphs)
+    places, at = [0], 0
+    for g in glyphs:
+        at += len(g) + -len(g) % 4
+        places.append(at)
+    tables = {b"glyf": glyf, b"head": bytes(50) + b"\0\1" + bytes(2), b"loca": struct.pack(f">{n + 1}I", *places), b"maxp": b"\0\1\0\0" + struct.pack(">H", n)}
+    out, body = b"\0\1\0\0" + struct.pack(">4H", 4, 64, 2, 0), b""
+    for k in sorted(tables):
+        out += k + struct.pack(">3I", 0, 12 + 64 + len(body), len(tables[k]))
+        body += tables[k] + b"\0" * (-len(tables[k]) % 4)
+    return out + body
+
+
+def cff(n: int = 5) -> bytes:
+    """A CID-keyed program of n glyphs, CIDs 0, 10, 11, ..."""
+
+    def index(*items: bytes) -> bytes:
+        if not items:
+            return b"\0\0"
+        offsets, at = [1], 1
+        for i in items:
+            at += len(i)
+            offsets.append(at)
+        return len(items).to_bytes(2, "big") + b"\2" + b"".join(o.to_bytes(2, "big") for o in offsets) + b"".join(items)
+
+    number = lambda x: b"\x1d" + x.to_bytes(4, "big")
+    head = b"\1\0\4\2" + index(b"F")
+    size = len(index(number(0) * 3 + b"\x0c\x1e" + number(0) + b"\x0f" + number(0) + b"\x11"))
+    charset = len(head) + size + 2 + 2
+    strings = charset + 4
+    top = number(0) * 3 + b"\x0c\x1e" + number(charset) + b"\x0f" + number(strings) + b"\x11"
+    return head + index(top) + index() + index() + b"\1" + (10).to_bytes(2, "big") + bytes([n - 2]) + index(*[bytes([100 + g]) * 40 + b"\x0e" for g in range(n)])
+
+
+def font_file(data: bytes, subtype: bytes, key: bytes, shown: bytes, more: dict | None = None) -> bytes:
+    """A file with one page that shows a text of an embedded composite font."""
+    return assembled(
+        {
+            1: {b"Type": Name(b"Catalog"), b"Pages": Ref(2)}, 2: {b"Type": Name(b"Pages"), b"Kids": [Ref(3)], b"Count": 1},
+            3: {b"Type": Name(b"Page"), b"Parent": Ref(2), b"Contents": Ref(4), b"Resources": {b"Font": {b"F1": Ref(5)}}, **(more or {})}, 4: Stream({}, b"BT /F1 9 Tf " + written(shown) + b" Tj ET"),
+            5: {b"Type": Name(b"Font"), b"Subtype": Name(b"Type0"), b"Encoding": Name(b"Identity-H"), b"DescendantFonts": [Ref(6)]},
+            6: {b"Type": Name(b"Font"), b"Subtype": Name(subtype), b"FontDescriptor": Ref(7)}, 7: {b"Type": Name(b"FontDescriptor"), key: Ref(8)}, 8: Stream({}, data),
+        }
+    )

@@ -385,72 +385,26 @@ def test_bilevel_and_indexed_images():
     assert done[7][0][b"Filter"] == b"DCTDecode" and not skipped
 
 
-def truetype(n=5):
-    """A font of n glyphs; the last is composed of the second."""
-    import struct
-
-    simple = struct.pack(">hhhhh", 1, 0, 0, 9, 9) + bytes(range(22))
-    glyphs = [simple] * (n - 1) + [struct.pack(">hhhhh", -1, 0, 0, 9, 9) + struct.pack(">HHBB", 0, 1, 0, 0) + b"\0\0"]
-    glyf = b"".join(g + b"\0" * (-len(g) % 4) for g in glyphs)
-    places, at = [0], 0
-    for g in glyphs:
-        at += len(g) + -len(g) % 4
-        places.append(at)
-    tables = {b"glyf": glyf, b"head": bytes(50) + b"\0\1" + bytes(2), b"loca": struct.pack(f">{n + 1}I", *places), b"maxp": b"\0\1\0\0" + struct.pack(">H", n)}
-    out, body = b"\0\1\0\0" + struct.pack(">4H", 4, 64, 2, 0), b""
-    for k in sorted(tables):
-        out += k + struct.pack(">3I", 0, 12 + 64 + len(body), len(tables[k]))
-        body += tables[k] + b"\0" * (-len(tables[k]) % 4)
-    return out + body
-
-
-def cff(n=5):
-    """A CID-keyed program of n glyphs, CIDs 0, 10, 11, ..."""
-
-    def index(*items):
-        if not items:
-            return b"\0\0"
-        offsets, at = [1], 1
-        for i in items:
-            at += len(i)
-            offsets.append(at)
-        return len(items).to_bytes(2, "big") + b"\2" + b"".join(o.to_bytes(2, "big") for o in offsets) + b"".join(items)
-
-    number = lambda x: b"\x1d" + x.to_bytes(4, "big")
-    head = b"\1\0\4\2" + index(b"F")
-    size = len(index(number(0) * 3 + b"\x0c\x1e" + number(0) + b"\x0f" + number(0) + b"\x11"))
-    charset = len(head) + size + 2 + 2
-    strings = charset + 4
-    top = number(0) * 3 + b"\x0c\x1e" + number(charset) + b"\x0f" + number(strings) + b"\x11"
-    return head + index(top) + index() + index() + b"\1" + (10).to_bytes(2, "big") + bytes([n - 2]) + index(*[bytes([100 + g]) * 40 + b"\x0e" for g in range(n)])
-
-
-def font_file(data, subtype, key, shown, more=None):
-    objects = {
-        1: {b"Type": Name(b"Catalog"), b"Pages": Ref(2)}, 2: {b"Type": Name(b"Pages"), b"Kids": [Ref(3)], b"Count": 1},
-        3: {b"Type": Name(b"Page"), b"Parent": Ref(2), b"Contents": Ref(4), b"Resources": {b"Font": {b"F1": Ref(5)}}, **(more or {})}, 4: Stream({}, b"BT /F1 9 Tf " + written(shown) + b" Tj ET"),
-        5: {b"Type": Name(b"Font"), b"Subtype": Name(b"Type0"), b"Encoding": Name(b"Identity-H"), b"DescendantFonts": [Ref(6)]},
-        6: {b"Type": Name(b"Font"), b"Subtype": Name(subtype), b"FontDescriptor": Ref(7)}, 7: {b"Type": Name(b"FontDescriptor"), key: Ref(8)}, 8: Stream({}, data),
-    }
-    return Document(pdf_make.assembled(objects))
+def font_file(*args):
+    return Document(pdf_make.font_file(*args))
 
 
 def test_font_subsets():
     from leafmill.functions import fonts
 
-    doc = font_file(truetype(), b"CIDFontType2", b"FontFile2", b"\0\4\0")  # glyph 4 is composed of 1; a last odd byte shows nothing
+    doc = font_file(pdf_make.truetype(), b"CIDFontType2", b"FontFile2", b"\0\4\0")  # glyph 4 is composed of 1; a last odd byte shows nothing
     assert pdf_rewrite.subset_fonts(doc)[0] == 1
     places, glyf, _ = fonts._outlines(decoded(doc.objects[Ref(8)]))
     assert [b > a for a, b in zip(places, places[1:])] == [True, True, False, False, True]
-    doc = font_file(cff(), b"CIDFontType0", b"FontFile3", b"\0\x0b")
-    assert fonts.Cff(cff()).cids() == [0, 10, 11, 12, 13] and pdf_rewrite.subset_fonts(doc)[0] == 1
+    doc = font_file(pdf_make.cff(), b"CIDFontType0", b"FontFile3", b"\0\x0b")
+    assert fonts.Cff(pdf_make.cff()).cids() == [0, 10, 11, 12, 13] and pdf_rewrite.subset_fonts(doc)[0] == 1
     data = decoded(doc.objects[Ref(8)])
     assert [set(data[a:b]) == {14} for a, b in fonts.Cff(data).glyphs] == [False, True, False, True, True]
     for unsafe in ({b"Annots": [{b"AP": {}}]}, {b"Contents": Ref(99), b"Resources": Ref(98)}):
-        doc = font_file(truetype(), b"CIDFontType2", b"FontFile2", b"\0\1", unsafe)
+        doc = font_file(pdf_make.truetype(), b"CIDFontType2", b"FontFile2", b"\0\1", unsafe)
         assert pdf_rewrite.subset_fonts(doc)[0] == 0
-    for k in range(0, len(cff()), 3):
-        for broken in (cff()[:k], cff()[:k] + b"\xff" + cff()[k + 1 :]):
+    for k in range(0, len(pdf_make.cff()), 3):
+        for broken in (pdf_make.cff()[:k], pdf_make.cff()[:k] + b"\xff" + pdf_make.cff()[k + 1 :]):
             try:
                 fonts.subset_cff(broken, {1})
                 fonts.Cff(broken).cids()
