@@ -75,19 +75,19 @@ def test_size_search_keeps_what_no_quality_changes(monkeypatch):
     monkeypatch.setattr(pdf_rewrite, "plane_of", counted("plane", pdf_rewrite.plane_of))
     monkeypatch.setattr(pdf_rewrite.fax, "encode_g4", counted("fax", fax.encode_g4))
     monkeypatch.setattr(pdf_rewrite, "_resized_mask", counted("mask", pdf_rewrite._resized_mask))
-    scan = np.where(np.random.default_rng(2).random((900, 1200)) < 0.3, 255, 0).astype(np.uint8)
+    scan = np.where(np.random.default_rng(2).random((700, 800)) < 0.5, 255, 0).astype(np.uint8)
     alpha = Stream({b"Type": Name(b"XObject"), b"Subtype": Name(b"Image"), b"Width": 700, b"Height": 500, b"ColorSpace": Name(b"DeviceGray"), b"BitsPerComponent": 8, b"Filter": Name(b"FlateDecode")}, zlib.compress(bytes(700 * 500)))
-    raw = image(zlib.compress(scan.tobytes()), 1200, 900, ColorSpace=Name(b"DeviceGray"), Filter=Name(b"FlateDecode"))
+    raw = image(zlib.compress(scan.tobytes()), 800, 700, ColorSpace=Name(b"DeviceGray"), Filter=Name(b"FlateDecode"))
     data = base(b6=image(PHOTO, 700, 500, SMask=Ref(20)), b7=raw, b20=alpha, b4=Stream({}, b"/Im0 Do /Im1 Do"))
     told = []
-    out, stats = pdf_rewrite.optimize_to(Document(data), pdf.default_settings(), 4_000, report=lambda *x: told.append(x))
+    out, stats = pdf_rewrite.optimize_to(Document(data), pdf.default_settings(), 4_000, 6, report=lambda *x: told.append(x))
     sizes = stats["attempts"]
     assert sizes > 4 and calls["plane"] == 2 and calls["fax"] < sizes and calls["mask"] < sizes
     assert [p for _, p in told] and {x for x, _ in told} == {"compressing", "writing"}
     plain = dict(calls)
     monkeypatch.setattr(pdf_rewrite, "KEPT", 0)
     monkeypatch.setattr(pdf_rewrite.evict, "__defaults__", (0,))
-    again, more = pdf_rewrite.optimize_to(Document(data), pdf.default_settings(), 4_000)
+    again, more = pdf_rewrite.optimize_to(Document(data), pdf.default_settings(), 4_000, 6)
     assert again == out and more == stats and calls["plane"] > 2 * plain["plane"]
 
 
