@@ -90,6 +90,28 @@ def _soft(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def risk(w: list[np.ndarray], zp: np.ndarray, zu: np.ndarray, prior: float | None) -> tuple[float, list[np.ndarray], bool]:
+    """The non-negative risk of a network on standardised positives and unlabelled rows, what a step
+    goes against, and whether that is the risk's own gradient. Where the estimate of the negatives'
+    loss falls below zero, which it can't be, it isn't: the step takes the estimate back up.
+    Without a prior it is the risk of telling positives from unlabelled rows.
+    """
+    hp, hu = np.tanh(zp @ w[0] + w[1]), np.tanh(zu @ w[0] + w[1])
+    fp, fu = hp @ w[2] + w[3], hu @ w[2] + w[3]
+    sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
+    own = True
+    if prior is None:
+        value = _soft(-fp).mean() + _soft(fu).mean()
+        gp, gu = (sp - 1) / len(fp), su / len(fu)
+    else:
+        rest = _soft(fu).mean() - prior * _soft(fp).mean()
+        value = prior * _soft(-fp).mean() + max(0.0, rest)
+        own = rest >= 0
+        gp, gu = ((prior * (sp - 1) - prior * sp) / len(fp), su / len(fu)) if own else (prior * sp / len(fp), -su / len(fu))
+    dp, du = np.outer(gp, w[2]) * (1 - hp**2), np.outer(gu, w[2]) * (1 - hu**2)
+    return float(value), [zp.T @ dp + zu.T @ du, dp.sum(0) + du.sum(0), hp.T @ gp + hu.T @ gu, np.asarray(gp.sum() + gu.sum())], bool(own)
+
+
 def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int = STEPS) -> Model:
     """Adam on the non-negative risk; without a prior, on positives against unlabelled rows."""
     both = np.concatenate([pos, unl])
@@ -99,20 +121,9 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int = STE
     m1, m2 = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     zp, zu = (np.clip((x - mean) / scale, -8, 8) for x in (pos, unl))
     for step in range(1, steps + 1):
-        hp, hu = np.tanh(zp @ w[0] + w[1]), np.tanh(zu @ w[0] + w[1])
-        fp, fu = hp @ w[2] + w[3], hu @ w[2] + w[3]
-        sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-        if prior is None:
-            gp, gu = (sp - 1) / len(fp), su / len(fu)
-        else:
-            rest = _soft(fu).mean() - prior * _soft(fp).mean()
-            if rest >= 0:
-                gp, gu = (prior * (sp - 1) - prior * sp) / len(fp), su / len(fu)
-            else:  # the estimate of the negatives' loss can't be negative: take it back up
-                gp, gu = prior * sp / len(fp), -su / len(fu)
-        grads = []
-        dp, du = np.outer(gp, w[2]) * (1 - hp**2), np.outer(gu, w[2]) * (1 - hu**2)
-        grads = [zp.T @ dp + zu.T @ du + DECAY * w[0], dp.sum(0) + du.sum(0), hp.T @ gp + hu.T @ gu + DECAY * w[2], np.asarray(gp.sum() + gu.sum())]
+        _, grads, _ = risk(w, zp, zu, prior)
+        for i in (0, 2):
+            grads[i] = grads[i] + DECAY * w[i]
         for i, g in enumerate(grads):
             m1[i] = 0.9 * m1[i] + 0.1 * g
             m2[i] = 0.999 * m2[i] + 0.001 * g * g

@@ -63,6 +63,75 @@ def test_content_of_the_article_is_kept():
     assert html_text.main_text(page) == "\n".join([long.strip(), long.strip(), "A short one."])
 
 
+def plain_scores(root):
+    """Scores of containers by the rules as stated, each subtree walked anew."""
+
+    def below(n, link=False):
+        for k in n.kids:
+            if isinstance(k, str):
+                yield k, link
+            elif not html_text._is_unlikely(k):
+                yield from below(k, link or k.name == "a")
+
+    def elements(n):
+        yield n
+        for k in n.kids:
+            if not isinstance(k, str) and not html_text._is_unlikely(k):
+                yield from elements(k)
+
+    def inline(n):
+        for k in n.kids:
+            if isinstance(k, str):
+                yield k
+            elif k.name not in html_text.BLOCK and not html_text._is_unlikely(k):
+                yield from inline(k)
+
+    squeezed = lambda t: len(re.sub(r"\s+", " ", t).strip())
+    score, nodes = {}, {}
+    for n in elements(root):
+        own = list(inline(n)) if html_text._is_paragraph(n) else []
+        size, commas = sum(map(squeezed, own)), sum(len(re.findall("[,،、，]", t)) for t in own)
+        if not size:
+            continue
+        points = 1 + commas + min(size / 100, 3) if size >= 25 else size / 100
+        for up, part in ((n.parent, 1), (n.parent.parent if n.parent else None, 0.5)):
+            if up is not None:
+                nodes[id(up)] = up
+                score[id(up)] = score.get(id(up), html_text._start(up)) + points * part
+    out = []
+    for k, n in nodes.items():
+        told = list(below(n, n.name == "a"))
+        size, linked = sum(squeezed(t) for t, _ in told), sum(squeezed(t) for t, link in told if link)
+        out.append((n, score[k] * (1 - linked / size if size else 0)))
+    return out
+
+
+def test_scores_against_plain_walks():
+    draw = random.Random(6)
+    words = lambda: " ".join(draw.choice(["one", "two,", "three", "four.", "fifth"]) for _ in range(draw.randrange(12)))
+
+    def piece(depth):
+        name = draw.choice(["div", "div", "p", "section", "td", "ul", "li", "span", "b", "a", "aside", "blockquote", "h2", "article"])
+        mark = draw.choice(["", "", ' class="content"', ' class="sidebar"', ' id="post-text"', ' class="notice"', " hidden"])
+        inside = "".join(piece(depth - 1) for _ in range(draw.randrange(4))) if depth else ""
+        return f"<{name}{mark}>{words()}{inside}{words()}</{name}>{draw.choice(['', words()])}"
+
+    told = 0
+    for _ in range(150):
+        root = html_text.parse("".join(piece(4) for _ in range(2)))
+        want = plain_scores(root)
+        found = html_text.best_containers(root)
+        for n, x in want:
+            assert n.score == pytest.approx(x)
+        if want:
+            best = max(x for _, x in want)
+            tops = [n for n, x in want if x == pytest.approx(best)]
+            up = [m for n in tops for m in [n, *html_text._up(n)]]
+            assert any(f in up or f.parent in [t.parent for t in tops] for f in found)
+            told += 1
+    assert told > 100
+
+
 LINEAR = ["<div>text<p>text</p>", "<div><p>a, b, c, ", "<a ", '<a "', "<a '\"x", "</a ", "<!--", "<script ", "<script></script ", "<ul><li>x", "<b>x", "<header><p>hello</p>", "<td>some text here, and more of it", "<article><p>x, y</p>", "&#"]
 
 
@@ -246,6 +315,38 @@ def test_quality_fit_of_repeated_ids(spark):
     assert str(want) == str(got)
 
 
+@pytest.mark.parametrize(("prior", "shift"), [(0.4, 0.0), (0.9, 4.0), (None, 0.0)])
+def test_risk_and_its_gradient_by_brute_force(prior, shift):
+    """The risk row by row in plain Python, its gradient by differences; below zero only the negatives' part counts."""
+    import math
+
+    draw = np.random.default_rng(2)
+    zp, zu = draw.normal(shift, 1, (9, 3)), draw.normal(0, 1, (14, 3))
+    w = [draw.normal(0, 1, (3, 4)), draw.normal(0, 1, 4), np.abs(draw.normal(0, 1, 4)), np.array(0.1)]
+    w[0] = np.abs(w[0]) if shift else w[0]
+
+    def parts(w):
+        logit = lambda z: float(w[3]) + sum(float(w[2][j]) * math.tanh(float(w[1][j]) + sum(float(z[i]) * float(w[0][i, j]) for i in range(3))) for j in range(4))
+        loss = lambda f, good: math.log(1 + math.exp(-f if good else f))
+        mean = lambda rows, good: sum(loss(logit(z), good) for z in rows) / len(rows)
+        if prior is None:
+            return mean(zp, True), mean(zu, False)
+        return prior * mean(zp, True), mean(zu, False) - prior * mean(zp, False)
+
+    value, grads, own = quality.risk(w, zp, zu, prior)
+    good, rest = parts(w)
+    assert value == pytest.approx(good + max(0.0, rest)) and own == (rest >= 0 or prior is None)
+    assert own == (prior != 0.9)
+    for k, g in enumerate(grads):
+        for at in np.ndindex(g.shape):
+            up, down = ([x.copy() for x in w] for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            a, b = parts(up), parts(down)
+            want = (sum(a) - sum(b)) / 2e-5 if own else -(a[1] - b[1]) / 2e-5
+            assert g[at] == pytest.approx(want, abs=1e-6)
+
+
 def test_prior_estimate():
     draw = np.random.default_rng(1)
     pos = draw.normal(2, 1, (2000, 24))
