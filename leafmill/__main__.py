@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import cli
 from leafmill.operators import batch
 from leafmill.sources import pdf
+from leafmill.sources.pdf_model import PdfError
 
 
 def _fail(message: str) -> int:
@@ -30,7 +31,7 @@ def _fail(message: str) -> int:
 def _settings(found: dict) -> dict:
     """Plain settings of an overrides row."""
     preset = found.pop("preset") or "balanced"
-    chosen = {k: v for k, v in found.items() if v is not None and k not in ("output_dir", "cmyk_conversion")}
+    chosen = {k: v for k, v in found.items() if v is not None and k != "output_dir"}
     return pdf.default_settings(preset, **chosen)
 
 
@@ -59,9 +60,16 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     rows = []
     for p in paths:
         try:
-            data = sys.stdin.buffer.read(pdf.MAX_FILE + 1) if piped else open(p, "rb").read()  # noqa: SIM115
+            if piped:
+                data = pdf.read_limited(sys.stdin.buffer)
+            else:
+                with open(p, "rb") as f:
+                    data = pdf.read_limited(f)
         except OSError as e:
             return _fail(f"{p}: {os.strerror(e.errno or 0)}")
+        except PdfError as e:
+            print(json.dumps(pdf._error(e.code, e.detail)), file=sys.stderr)
+            return 1
         rows.append((p, len(data), bytearray(data)))
     files = spark.createDataFrame(rows, "doc_id string, length long, content binary")
     if asked.c.command == "analyze":

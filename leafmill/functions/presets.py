@@ -102,7 +102,7 @@ def first_of(*layers: dict[str, Column]) -> dict[str, Column]:
     return {f: F.coalesce(*[x.get(f, none) for x in layers]) for f in FIELDS if any(f in x for x in layers)}
 
 
-def resolve(overrides: dict[str, Column], payload: dict[str, Column], cms: bool = False) -> dict[str, Column]:
+def resolve(overrides: dict[str, Column], payload: dict[str, Column], cms: bool = True) -> dict[str, Column]:
     """Settings from both layers and the preset's defaults. max_image_size_px is the cap that
     holds without a document; size_percent is set if the cap depends on the document's edge."""
     both = first_of(overrides, payload)
@@ -130,6 +130,23 @@ def resolve(overrides: dict[str, Column], payload: dict[str, Column], cms: bool
     }
 
 
+#: What a stored profile stands for where neither it nor its preset says anything.
+LEGACY = {"image_quality": 60, "max_image_size_percent": 68, "optimize_images": True, "compress_streams": True, "strip_metadata": True, "grayscale": False, "bilevel_codec": "jpeg", "subset_fonts": False, "cmyk_conversion": False}
+
+
+def sanitized_profile(value: dict[str, Column], fallback: dict[str, Column]) -> dict[str, Column]:
+    """A stored profile with every field: its own value, that of the fallback, or the legacy one; numbers are clamped."""
+    out = {f: F.coalesce(value.get(f, F.lit(None)), fallback.get(f, F.lit(None)), F.lit(v)) for f, v in LEGACY.items()}
+    out["image_quality"] = clamp(out["image_quality"], *QUALITY_RANGE).cast("int")
+    out["max_image_size_percent"] = clamp(out["max_image_size_percent"], *PERCENT_RANGE).cast("int")
+    return out
+
+
+def sanitized_config(version: Column, profiles: Column) -> Column:
+    """A stored configuration: a whole version of 1 or more, and profiles of known presets."""
+    return F.struct(F.greatest(F.round(F.coalesce(version.cast("double"), F.lit(1.0))).cast("int"), F.lit(1)).alias("version"), F.map_filter(profiles, lambda k, _: k.isin(*PRESETS)).alias("presets"))
+
+
 def document_cap(px: Column, percent: Column, document_edge: Column) -> Column:
     """The cap for a document: a percentage of its largest edge (3200 if it has none), or px."""
     edge = F.when(document_edge > 0, document_edge).otherwise(F.lit(REFERENCE_EDGE))

@@ -35,6 +35,14 @@ def queue_text(entries: Column) -> Column:
     return F.to_json(F.struct(F.lit(1).alias("version"), entries.alias("entries")))
 
 
+def added(queue: DataFrame, paths: DataFrame, path: str = "path", order: str = "at") -> DataFrame:
+    """queue (path, at) with paths behind it: trimmed, blank ones dropped, each path at its first place only."""
+    clean = paths.select(F.trim(path).alias(path), order).where(F.col(path) != "")
+    both = queue.select(path, F.lit(0).alias("turn"), order).unionByName(clean.withColumn("turn", F.lit(1)))
+    first = both.groupBy(path).agg(F.min(F.struct("turn", order)).alias("first"))
+    return first.select(path, F.col("first.turn").alias("turn"), F.col(f"first.{order}").alias(order))
+
+
 def encoded_meta(ident: Column, time: Column, name: Column) -> Column:
     """'id|time|name'; bars in the name are replaced."""
     return F.concat_ws("|", ident, time.cast("string"), F.replace(name, F.lit("|"), F.lit("/")))

@@ -132,3 +132,13 @@ def worker_count(tasks: Column, cores: Column, largest: Column) -> Column:
     memory = F.greatest(F.floor(F.lit(float(1 << 30)) / F.greatest(largest.cast("double"), F.lit(1.0))), F.lit(1))
     most = F.least(tasks, F.greatest(cores - 1, F.lit(1)), F.lit(8), memory)
     return F.when(tasks < 3, 1).otherwise(F.greatest(most, F.lit(1))).cast("int")
+
+
+def stream_workers(streams: Column, cores: Column) -> Column:
+    """How many streams to pack at a time: below eight one, else by cores."""
+    return F.when(streams < 8, 1).otherwise(F.greatest(F.least(cores - 1, F.lit(8), streams), F.lit(1))).cast("int")
+
+
+def mobile_limit(heap: Column, most: int = 512 << 20) -> Column:
+    """Bytes of a file that a device with so much memory for a program may read."""
+    return F.least(F.lit(most), F.floor(heap / 8)).cast("long")

@@ -394,6 +394,11 @@ def colours_of(p: np.ndarray, space: dict | None) -> np.ndarray:
     return planes.calibrated_cmyk(p)
 
 
+def declares_gray(space: dict | None) -> bool:
+    """Whether samples are of one channel as they are shown."""
+    return bool(space) and space["kind"] == "gray"
+
+
 def declares_cmyk(space: dict | None) -> bool:
     return bool(space) and (space["kind"] == "cmyk" or space["kind"] == "indexed" and space["base"]["kind"] == "cmyk")
 
@@ -614,7 +619,7 @@ def encoded_image(
     p = cache.plane
     if p is None:
         p = plane_of(doc, s, f, space)
-        if settings["grayscale"] or space and space["kind"] == "gray":
+        if settings["grayscale"] or declares_gray(space):
             p = planes.luma(p)
         if cache.bilevel is None:
             cache.bilevel = bool(settings["bilevel_codec"] == "g4" and planes.colourless(p) and planes.near_bilevel(p))

@@ -339,3 +339,39 @@ def preset_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presets.preset_table(spark).drop("image_ratio", "edge_factor").select("preset", "image_quality", "max_image_size_percent", "max_image_size_px", "strip_metadata", "subset_fonts")
 
 
+
+
+@_query("""
+SELECT l_orderkey, count(*) AS streams, (CASE WHEN count(*) * 3 < 8 THEN 1 ELSE 7 END)::INTEGER AS workers, least(536870912, (max(l_partkey) * 1000000) // 8)::BIGINT AS most_bytes FROM (SELECT * FROM lineitem WHERE l_orderkey % 3 = 0) GROUP BY l_orderkey
+""")
+def device_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams at a time, with four for every line of an order, and bytes that a device reads."""
+    g = _read(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("streams"), F.max("l_partkey").alias("p"))
+    return g.select("l_orderkey", "streams", scalars.stream_workers(F.col("streams") * 3, F.lit(8)).alias("workers"), scalars.mobile_limit(F.col("p") * 1_000_000).alias("most_bytes"))
+
+
+@_query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 100 ELSE 72 END AS quality, CASE WHEN o_orderkey % 3 = 0 THEN 'g4' ELSE 'jpeg' END AS codec, o_orderkey % 5 = 0 AS gray, greatest((o_orderkey % 4)::INTEGER, 1) AS version, 1 AS presets FROM orders
+""")
+def sanitized_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored profiles with every field filled in, and configurations of known presets."""
+    k = F.col("o_orderkey")
+    found = presets.sanitized_profile(
+        {"image_quality": F.when(k % 2 == 0, 500), "bilevel_codec": F.when(k % 3 == 0, "g4"), "grayscale": F.when(k % 5 == 0, True)}, {"image_quality": F.lit(72)}
+    )
+    config = presets.sanitized_config((k % 4) + 0.2, F.create_map(F.lit("balanced"), F.lit("x"), F.lit("odd"), F.lit("y")))
+    return _read(spark, sf_dir, "orders").select(
+        "o_orderkey", found["image_quality"].alias("quality"), found["bilevel_codec"].alias("codec"), found["grayscale"].alias("gray"), config["version"].alias("version"), F.size(config["presets"]).alias("presets")
+    )
+
+
+@_query("""
+WITH q AS (SELECT n_name AS path, 0 AS turn, n_nationkey AS nth FROM nation WHERE n_nationkey % 2 = 0), p AS (SELECT trim(n_name) AS path, 1 AS turn, n_nationkey + 100 AS nth FROM nation WHERE n_nationkey % 5 <> 1), u AS (SELECT * FROM q UNION ALL SELECT * FROM p)
+SELECT path, turn, nth FROM u QUALIFY row_number() OVER (PARTITION BY path ORDER BY turn, nth) = 1
+""")
+def queue_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths added to a queue: blank ones and those that are there already don't come again."""
+    n = _read(spark, sf_dir, "nation")
+    queue = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("path"), F.col("n_nationkey").alias("nth"))
+    new = n.select(F.when(F.col("n_nationkey") % 5 == 1, "  ").otherwise(F.concat(F.lit(" "), "n_name", F.lit(" "))).alias("path"), (F.col("n_nationkey") + 100).alias("nth"))
+    return records.added(queue, new, order="nth")

@@ -10,6 +10,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
@@ -46,6 +47,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.col("length") <= MAX_FILE).select(F.col("path").alias("doc_id"), "length", "content")
 
 
+def read_limited(stream: BinaryIO, limit: int = MAX_FILE) -> bytes:
+    """What a stream of unknown length holds; PdfError once it is more than limit, after one byte beyond."""
+    data = stream.read(limit + 1)
+    if len(data) > limit:
+        raise PdfError("inputTooLarge", str(limit))
+    return data
+
+
 def preflight(files: DataFrame, limit: int = MOBILE_LIMIT) -> DataFrame:
     """files with preflight_error: too large, or no PDF header within the first 1,024 bytes."""
     head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
@@ -224,7 +233,7 @@ def default_settings(preset: str = "balanced", **more) -> dict:
         "preset": preset, "image_quality": quality, "max_image_size_percent": percent, "max_image_size_px": None, "optimize_images": True, "compress_streams": True,
         "strip_metadata": strip, "grayscale": False, "bilevel_codec": "g4", "subset_fonts": subset, "converts_cmyk": False,
     } | more
-    out["converts_cmyk"] = out["converts_cmyk"] or out["grayscale"]
+    out["converts_cmyk"] = bool(out["converts_cmyk"] or out.pop("cmyk_conversion", False) or out["grayscale"])
     return out
 
 
@@ -265,6 +274,17 @@ def optimize(files: DataFrame, settings: dict | None = None, target_bytes: int |
     return batch.with_notices(_by_file(files, one, RESULT), chosen, target_bytes)
 
 
+def optimize_recommended(files: DataFrame, password: str | None = None, **more) -> DataFrame:
+    """Each file rewritten with the preset that its analysis recommends; files that don't open are rows with an error."""
+    preset = analyze(files, password=password).select("doc_id", F.coalesce("recommended_preset", F.lit("balanced")).alias("preset_"))
+    known = files.join(preset, "doc_id")
+    parts = [optimize(known.where(F.col("preset_") == p), default_settings(p, **more), password=password) for p in presets.PRESETS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 OBJECTS = "doc_id string, num int, gen int, kind string, type string, subtype string, filters array<string>, canonical string, stream_len bigint, stream binary, refs array<struct<key_path: string, dst: int>>"
 _KINDS = {type(None): "null", bool: "boolean", int: "integer", float: "real", Name: "name", bytes: "string", list: "array", dict: "dictionary", Stream: "stream", Ref: "reference"}
 

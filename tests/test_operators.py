@@ -219,3 +219,57 @@ def test_reachable_goes_on_until_nothing_is_new(spark, tmp_path):
         chain.append((7 * chain[-1] + 1) % 97)
     spark.createDataFrame([(x, 1) for x in chain[:-1]], "l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted((r.depth, r.node) for r in registry.reachable_objects(spark, str(tmp_path)).collect()) == list(enumerate(chain))
+
+
+def test_command_line_and_runs(spark, tmp_path, capsysbinary, monkeypatch):
+    import io
+    import json
+    import sys
+
+    from leafmill.__main__ import main
+    from leafmill.operators.runs import PendingOpens, Runs
+    from leafmill.sources import pdf, pdf_make
+    from leafmill.sources.pdf_model import PdfError
+    from leafmill.streaming.progress import Progress
+
+    data = pdf_make.text_pdf("some text that is long enough to shrink " * 40)
+    (tmp_path / "a.pdf").write_bytes(data)
+    (tmp_path / "b.PDF").write_bytes(b"no pdf")
+    assert main(["--help"], spark) == 0 and main(["analyze"], spark) == 1 and main(["compress", str(tmp_path / "gone.pdf")], spark) == 1
+    capsysbinary.readouterr()
+    assert main(["analyze", str(tmp_path / "a.pdf")], spark) == 0
+    assert json.loads(capsysbinary.readouterr().out)["page_count"] == 1
+    assert main(["quick", str(tmp_path), "--preset", "maximum", "--output-dir", str(tmp_path / "out")], spark) == 1  # b.PDF fails
+    lines = capsysbinary.readouterr().out.splitlines()
+    assert len(lines) == 3 and json.loads(lines[-1])["files_compressed"] == 1 and (tmp_path / "out" / "a__optimized-maximum.pdf").exists()
+    monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(data)))
+    assert main(["compress", "-", "--stdout"], spark) == 0
+    piped = capsysbinary.readouterr()
+    assert piped.out.startswith(b"%PDF") and len(piped.out) < len(data) and json.loads(piped.err)["output_was_smaller"]
+    try:
+        pdf.read_limited(io.BytesIO(b"12345"), 4)
+        raise AssertionError
+    except PdfError as e:
+        assert e.code == "inputTooLarge" and pdf.read_limited(io.BytesIO(b"1234"), 4) == b"1234"
+
+    files = spark.createDataFrame([("/x/a.pdf", bytearray(data)), ("/x/b.pdf", bytearray(b"no pdf"))], "doc_id string, content binary")
+    runs = Runs(spark)
+    assert {r.page_count for r in runs.analyze("one", files)} == {1, None}
+    got = runs.scanned("two", files, pdf.default_settings(), str(tmp_path / "runs"))
+    assert len(got) == 1 and runs.may_open(got[0].output_path) and not runs.may_open(str(tmp_path / "a.pdf")) and not runs.cancel("two")
+    assert sorted((r.doc_id, r.error is None) for r in pdf.optimize_recommended(files).collect()) == [("/x/a.pdf", True), ("/x/b.pdf", False)]
+
+    opens = PendingOpens()
+    assert opens.stage(["a"]) is None and opens.stage(["b"]) is None and opens.ready() == ["a", "b"] and opens.stage(["c"]) == ["c"] and opens.ready() == []
+    told = []
+    with Progress(spark, 40, lambda *x: told.append(x), every=0.01) as p:
+        assert p.counted(spark.range(40).repartition(4)).count() == 40
+    assert told[0] == ("loading", 0.0) and told[-1] == ("done", 100.0) and [x for _, x in told] == sorted(x for _, x in told) and p.rows.value == 40
+
+
+def test_profile_paths_and_languages():
+    from leafmill.functions import cli, config
+
+    assert config.default_profile_path({"HOME": "/h"}, "linux").startswith("/h/.config/") and config.default_profile_path({"XDG_CONFIG_HOME": "/c", "HOME": "/h"}, "linux").startswith("/c/")
+    assert "Application Support" in config.default_profile_path({"HOME": "/h"}, "darwin") and config.default_profile_path({"APPDATA": "/d"}, "win32").startswith("/d")
+    assert [cli.language(e) for e in ({"LANG": "zh_CN.UTF-8"}, {"LC_ALL": "ZH"}, {"LANG": "C", "LC_ALL": "zh"}, {})] == ["zh", "zh", "en", "en"]
