@@ -69,7 +69,8 @@ def records(
     p = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
     p = p.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html"), "row": F.monotonically_increasing_id()})
     named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))
-    first = p.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.min(named).alias("first"))
+    # payloads that stand once are no one's: what is left is small, and often joined without a shuffle of the pages
+    first = p.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.min(named).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = stored(first.select(F.col("digest").alias("of"), F.col("first.page_id").alias("first"), F.col("first.row").alias("first_row")), "warc-firsts")
     again = (F.col("bytes") >= revisit_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     p = p.join(first, F.col("digest") == F.col("of"), "left").withColumn("again", F.coalesce(again, F.lit(False)))
