@@ -215,6 +215,45 @@ def pdf_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "x.width", "x.height", F.array_join("x.filters", ",").alias("filters")).join(told, "doc_id").select("doc_id", "images_recompressed", "width", "height", "filters", "smaller")
 
 
+@_query("""
+WITH l AS (
+  SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents
+), p AS (
+  SELECT doc_id, greatest(ceil(len(lines) / 50.0), 1)::BIGINT AS pages, lines FROM l
+), i AS (
+  SELECT doc_id, pages, k, lines[k * 50 + 1 : k * 50 + 50] AS own FROM (SELECT doc_id, pages, lines, unnest(range(0, pages)) AS k FROM p)
+), m AS (
+  SELECT doc_id, pages, k, 25 + coalesce(list_sum(list_transform(own, lambda x: 15 + 2 * length(x))), 0)::BIGINT AS size, coalesce(list_sum(list_transform(own, lambda x: length(regexp_replace(x, '[ \t\n\r]', '', 'g')))), 0)::BIGINT AS chars FROM i
+), s AS (
+  SELECT *, pages <= 24 OR k IN (SELECT round(j * (m.pages - 1) / 23.0) FROM range(0, 24) AS r(j)) AS seen FROM m
+), g AS (
+  SELECT doc_id, pages, count(*) FILTER (seen) AS looked, sum(chars) FILTER (seen)::DOUBLE AS chars,
+         -- the header, three objects, the list of pages, pages with their contents, the trailer
+         (9 + 46 + 81 + 66 + length(pages::VARCHAR) + (pages - 1) + sum(length((4 + 2 * k)::VARCHAR) + 4)
+          + sum(80 + length((4 + 2 * k)::VARCHAR) + length((5 + 2 * k)::VARCHAR)) + sum(45 + length((5 + 2 * k)::VARCHAR) + length(size::VARCHAR) + size)
+          + 47 + length((4 + 2 * pages)::VARCHAR))::BIGINT AS bytes
+  FROM s GROUP BY doc_id, pages
+), c AS (
+  SELECT *, bytes::DOUBLE / pages AS bpp, chars / looked AS tpp FROM g
+), v AS (
+  SELECT *, least(greatest(least(bpp, 180000.0::DOUBLE) / 180000.0::DOUBLE * 45 - 10, 8.0::DOUBLE), 99.0::DOUBLE) AS cov,
+         least(greatest((140 - least(tpp, 140.0::DOUBLE)) / 140 * 45 + least(bpp, 240000.0::DOUBLE) / 240000.0::DOUBLE * 25 - 30, 5.0::DOUBLE), 99.0::DOUBLE) AS conf FROM c
+), w AS (
+  SELECT *, CASE WHEN conf >= 80 THEN 'maximum' WHEN conf >= 48 THEN 'balanced' ELSE 'conservative' END AS preset FROM v
+)
+SELECT doc_id::VARCHAR AS doc_id, bytes::DOUBLE AS file_size_bytes, pages::INTEGER AS page_count, round(conf, 6) AS scanned_confidence, round(cov, 6) AS image_coverage, preset AS recommended_preset, 5.0::DOUBLE AS estimated_savings_percent,
+       (CASE preset WHEN 'maximum' THEN 1700 WHEN 'balanced' THEN 2200 ELSE 2700 END)::INTEGER AS recommended_max_image_size_px, (CASE preset WHEN 'maximum' THEN 46 WHEN 'balanced' THEN 60 ELSE 72 END)::INTEGER AS recommended_image_quality
+FROM w
+""")
+def pdf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDF files, analysed: sizes, scores and recommended settings."""
+    a = pdf.analyze(_made(spark, sf_dir))
+    return a.select(
+        "doc_id", "file_size_bytes", "page_count", F.round("scanned_confidence", 6).alias("scanned_confidence"), F.round("image_coverage", 6).alias("image_coverage"), "recommended_preset",
+        F.round("estimated_savings_percent", 6).alias("estimated_savings_percent"), "recommended_max_image_size_px", "recommended_image_quality",
+    )
+
+
 @_query("""
 WITH f AS (SELECT p_partkey, 6 + p_size % 20 AS n, p_partkey % 2 AS kind, p_partkey % 5 = 0 AS unsafe FROM part), g AS (SELECT *, 1 + p_partkey % (n - 1) AS glyph FROM f)
 SELECT p_partkey, n::INTEGER AS glyphs, CASE WHEN unsafe THEN 0 ELSE 1 END AS subsetted, (CASE WHEN unsafe THEN n WHEN kind = 0 AND glyph = n - 1 THEN 3 ELSE 2 END)::INTEGER AS kept FROM g
