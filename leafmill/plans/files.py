@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from leafmill.functions import aes, fax, jpeg, planes
 from leafmill.plans.registry import _made, _query, _read
 from leafmill.sources import pdf, pdf_make
-from leafmill.sources.pdf_model import Name, Ref, Stream, decoded, rc4
+from leafmill.sources.pdf_model import MAX_STREAM, Name, Ref, Stream, decoded, rc4
 
 
 def _each(rows: DataFrame, one: Callable[..., tuple], schema: str) -> DataFrame:
@@ -368,13 +368,15 @@ SELECT doc_id, (doc_id % 6)::INTEGER AS chain, sha256(text) AS digest FROM docum
 def stream_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as streams in chains of filters, decoded again."""
 
-    def one(key: int, text: str) -> tuple:
-        data = text.encode()
-        found = decoded(pdf_make.filtered(data, key % pdf_make.FILTERS))
+    def one(key: int | None, data: bytes, chain: int | None) -> tuple:
+        # the limit is against files of others; these are known to be whole texts
+        found = decoded(pdf_make.filtered(data, (chain or 0) % pdf_make.FILTERS), max(MAX_STREAM, 2 * len(data)))
         # rows of a predictor are filled up with zeros
-        return key, key % pdf_make.FILTERS, hashlib.sha256(found[: len(data)] if not any(found[len(data) :]) else found).hexdigest()
+        return key, chain, hashlib.sha256(found[: len(data)] if not any(found[len(data) :]) else found).hexdigest()
 
-    docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    # the remainder is SQL's: negative of a negative id, null of none
+    chain = F.expr(f"doc_id % {pdf_make.FILTERS}").cast("int")
+    docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary"), chain)
     return _each(docs, one, "doc_id long, chain int, digest string")
 
 

@@ -792,3 +792,28 @@ def test_text_signals_of_long_documents(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.page_count, r.text_chars) for r in registry.pdf_text_signals(spark, str(tmp_path)).collect()}
     assert got == {str(k): (-(-len(t.split("\n")) // 50), len("".join(t.split()))) for k, t in texts.items()}
+
+
+def test_streams_of_nothing_and_of_damaged_data():
+    for nothing in (zlib.compress(b""), b"\x03\0"):
+        assert decoded(Stream({b"Filter": Name(b"FlateDecode")}, nothing)) == b""
+    for kind in range(pdf_make.FILTERS):
+        assert decoded(pdf_make.filtered(b"", kind)) == b""
+    with pytest.raises(PdfError, match="damaged"):
+        decoded(Stream({b"Filter": Name(b"FlateDecode")}, zlib.compress(b"")[:2]))
+    for n in (1599, 1600, 1601, 3200):
+        assert unlzw(pdf_make.lzw(bytes(k * k % 251 for k in range(n)))) == bytes(k * k % 251 for k in range(n))
+
+
+def test_stream_filters_of_odd_rows(spark, tmp_path):
+    import duckdb
+
+    from leafmill.plans import registry
+
+    texts = ["", "\0", "ab\0\0", "é " * 40, None]
+    rows = [(6 * i + k, t) for i, t in enumerate(texts) for k in range(6)] + [(None, "no id"), (None, ""), *((-k, "x" * k) for k in range(1, 7)), (7, "again"), (7, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in registry.QUERIES["stream_filters"](spark, str(tmp_path)).collect()]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(got, key=str) == sorted(duck.execute(registry.ORACLES["stream_filters"]).fetchall(), key=str)
